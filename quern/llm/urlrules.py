@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written
+
 #: Behind every character of a host: with it behind a label, all subdomains come before the end.
 LAST = "\U0010ffff"
 #: Ranges of keys, and urls that one window holds at most on average.
@@ -74,7 +76,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     tree = F.array(*[F.lit(x) for x in cut]) if cut else F.array().cast("array<bigint>")
     # A key equal to a cut lies in the range that the cut begins.
     of = lambda n: F.size(F.filter(tree, lambda x: x <= n))
-    ranged = numbered.withColumn("range", of(F.col("n")))
+    # Written, as it is read twice (and the optimiser fails on unions of such derived columns).
+    ranged = written(numbered.select("page_id", "host", "path", "key", of(F.col("n")).alias("range")), "urls")
     sizes = ranged.groupBy("range").agg((F.floor((F.count("*") - 1) / MOST) + 1).cast("int").alias("salts"))  # at most RANGES rows
     events = events.withColumn("range", of(_number(F.col("at.key"))))
     carried = events.groupBy("range").agg(F.max_by("open", "at").alias("open"))  # at most RANGES rows
