@@ -10,13 +10,11 @@ has seen, up to ``MOST`` of them.
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-MOST = 500_000
-ODD = re.compile(r"\s\s|^\s|\s$")
-STOPS = {".", ","}
+MOST = 1_200_000
+STOPS = (".", ",")
 
 
 class Encoder:
@@ -30,57 +28,74 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.seen: dict[str, bytes] = {}
         # A character that is one token between any two pieces: with it many pieces are one text.
         self.mark, self.mark_id = next((m, ids[0]) for m in ("\n", "7") if len(ids := self.tokenizer.encode(m, add_special_tokens=False).ids) == 1)
         self.between = self.mark if self.mark == "\n" else f" {self.mark} "
+        self.line_end = self._whole(["\n"])[0]
+        self._forget()
 
-    def _pieces(self, pieces: list[str]) -> list[tuple[str, bytes]]:
-        """Pieces (without runs of white space) with their ids."""
-        apart = [x for x in pieces if not x or self.mark in x]
-        joined = [x for x in pieces if x and self.mark not in x]
-        out = list(zip(apart, self._ids(apart), strict=True))
-        for k in range(0, len(joined), 4096):
-            some = joined[k : k + 4096]
+    def _forget(self) -> None:
+        self.first: dict[str, bytes] = {}  # pieces at the start of a line
+        self.later: dict[str, bytes] = {}  # pieces behind a space, without it
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that do not hold the mark, all encoded as one text."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), 4096):
+            some = pieces[k : k + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             if len(ends) != len(some):
                 raise ValueError("a piece holds the token that stands between pieces")
             data, ends = ids.tobytes(), (ends * 4).tolist()
-            out += [(x, data[a:b]) for x, a, b in zip(some, [0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
+            out += [data[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
         return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, table: dict[str, bytes], new: set[str], lead: str) -> None:
+        """Adds the ids of new pieces; a full stop or comma behind a letter is a piece of its own."""
+        stems, stopped = set(), []
+        for x in new:
+            if x[-1] in STOPS and x[-2:-1].isalpha():
+                stopped.append(x)
+                if x[:-1] not in table:
+                    stems.add(x[:-1])
+            else:
+                stems.add(x)
+        apart = [x for x in stems if self.mark in x]
+        joined = [x for x in stems if self.mark not in x]
+        table.update(zip(joined, self._joined([lead + x for x in joined]), strict=True))
+        table.update(zip(apart, self._whole([lead + x for x in apart]), strict=True))
+        stops = dict(zip(STOPS, self._whole(list(STOPS)), strict=True))
+        table.update([(x, table[x[:-1]] + stops[x[-1]]) for x in stopped])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        pieces: list[list[str] | None] = []
-        seen = self.seen
-        for text in texts:
-            if not text or ODD.search(text):
-                pieces.append(None)
-                continue
-            own: list[str] = []
-            for line in text.split("\n"):
-                head, *rest = line.split(" ")
-                own.append(head)
-                own += [" " + x for x in rest]
-                own.append("\n")
-            own.pop()
-            pieces.append(own)
-        used = {x for own in pieces if own for x in own}
-        new = used.difference(seen)
-        stems = {x[:-1] for x in new if x[-1:] in STOPS and x[-2:-1].isalpha()}
-        order = list({x for x in new if not (x[-1:] in STOPS and x[-2:-1].isalpha())} | stems.difference(seen) | STOPS.difference(seen))
-        if len(seen) + len(order) + len(stems) > MOST and seen:  # what recurs comes back soon
-            seen.clear()
+        lines = [[line.split(" ") for line in text.split("\n")] for text in texts]
+        first, later = {own[0] for text in lines for own in text}, set()
+        for text in lines:
+            for own in text:
+                later.update(own[1:])
+        first.difference_update(self.first)
+        later.difference_update(self.later)
+        if self.first and len(self.first) + len(self.later) + len(first) + len(later) > MOST:
+            self._forget()  # what recurs comes back soon
             return self.encode(texts)
-        seen.update(self._pieces(order))
-        seen.update((x, seen[x[:-1]] + seen[x[-1]]) for x in new if x not in seen)
-        whole = iter(self._ids([t for t, own in zip(texts, pieces, strict=True) if own is None]))
-        get = seen.__getitem__
-        return [next(whole) if own is None else b"".join(map(get, own)) for own in pieces]
+        # White space at a piece's edge, or nothing between two white spaces: the text is encoded whole.
+        odd = {x for x in first | later if not x or x[0].isspace() or x[-1].isspace()}
+        self._learn(self.first, first - odd, "")
+        self._learn(self.later, later - odd, " ")
+        out: list[bytes | None] = []
+        get_first, get, end = self.first.__getitem__, self.later.__getitem__, self.line_end
+        for text in lines:
+            try:
+                out.append(end.join([get_first(own[0]) + b"".join(map(get, own[1:])) for own in text]))
+            except KeyError:
+                out.append(None)
+        whole = iter(self._whole([t for t, ids in zip(texts, out, strict=True) if ids is None]))
+        return [next(whole) if ids is None else ids for ids in out]
 
 
 _encoders: dict[str, Encoder] = {}
