@@ -47,30 +47,41 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 1) -> N
     ordered.mapInArrow(encode, SCHEMA).write.options(**FORMAT).parquet(path)
 
 
+def _bases(found: DataFrame) -> DataFrame:
+    """_file and _base: the ids in all files before it. One row for each file; reads no ids."""
+    files = found.groupBy("_file").agg(F.min("doc_id").alias("lo"), F.sum("n_tokens").alias("n"))
+    return files.select("_file", F.coalesce(F.sum("n").over(Window.orderBy("lo", "_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).parquet(path).withColumn("_file", F.col("_metadata.file_path"))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids; in no order."""
-    found = spark.read.schema(SCHEMA).parquet(path).withColumn("_file", F.col("_metadata.file_path"))
-    files = found.groupBy("_file").agg(F.min("doc_id").alias("lo"), F.sum("n_tokens").alias("n"))  # one row for each file; reads two columns
-    base = files.select("_file", F.coalesce(F.sum("n").over(Window.orderBy("lo", "_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return found.join(base, "_file").select("doc_id", (F.col("_base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+    found = _files(spark, path)
+    return found.join(_bases(found), "_file").select("doc_id", (F.col("_base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
-def checksums(tokens: DataFrame) -> DataFrame:
+def checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, the unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start_in_file", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("_file", pa.string())])
 
     def crc(batches):
         for b in batches:
-            lists = b.column(3)
-            data, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
-            sums = [zlib.crc32(data[i:j].tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([j - i for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()), pa.array(sums, pa.int64())], schema=schema)
+            lists = b.column(2)
+            data, at = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B"), lists.offsets.to_numpy()
+            sums = [zlib.crc32(data[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64()), b.column(3)], schema=schema)
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(crc, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    found = _files(spark, path)
+    # Only digests meet the files' bases; the ids do not move.
+    sums = found.select("doc_id", "start_in_file", "ids", "_file").mapInArrow(crc, "doc_id bigint, start_in_file bigint, n_tokens bigint, ids_crc32 bigint, _file string")
+    return sums.join(_bases(found), "_file").select("doc_id", (F.col("_base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, vocabulary: str, end: int = 1) -> DataFrame:
     """Writes the ids of ``docs`` to the shared folder and gives each document's digest as read back."""
     path = fresh_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, vocabulary, end)
-    return checksums(read_tokens(docs.sparkSession, path))
+    return checksums(docs.sparkSession, path)
