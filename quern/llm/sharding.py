@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +24,12 @@ MANIFEST = "path string, bytes bigint, rows bigint, tier int"
 @dataclass(frozen=True)
 class Layout:
     """``target``: bytes of a finished shard. ``smallest``: bytes of tier 0. ``fan_in``: shards of a
-    tier that are merged at once, and the step in size from tier to tier. ``jobs``: merges in one Spark job."""
+    tier that are merged at once, and the step in size from tier to tier. ``jobs``: merges at one time, each a Spark job of one task."""
 
     target: int = 128 << 20
     smallest: int = 1 << 20
     fan_in: int = 4
-    jobs: int = 64
+    jobs: int = 16
 
     def tier(self, size: int) -> int:
         """The tier of a shard; -1: finished."""
@@ -114,13 +115,8 @@ def compact(spark: SparkSession, root: str, schema, layout: Layout | None = None
         groups = plan(shards, layout)
         if not groups:
             return version
-        made: list[tuple] = []
-        for k in range(0, len(groups), layout.jobs):
-            merged = None
-            for group in groups[k : k + layout.jobs]:
-                one = spark.read.schema(schema).parquet(*[s[0] for s in group]).coalesce(1)
-                merged = one if merged is None else merged.union(one)
-            made += _write(merged, root, layout)
+        with ThreadPoolExecutor(layout.jobs) as pool:
+            made = [s for own in pool.map(lambda g: _write(spark.read.schema(schema).parquet(*[s[0] for s in g]).coalesce(1), root, layout), groups) for s in own]
         gone = {s[0] for group in groups for s in group}
         version += 1
         commit(spark, root, [s for s in shards if s[0] not in gone] + made, version)
