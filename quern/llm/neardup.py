@@ -254,4 +254,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = written(classes(docs), "classes")
     kept = docs.join(found.filter("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi")
     repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -20,8 +20,8 @@ from .common import text_of, written
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = "doc_id bigint, lang string, source string, " + ", ".join(f"{c} bigint" for c in COUNTS)
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), *[(c, pa.int64()) for c in COUNTS]])
+FEATURES = "doc_id bigint, key bigint, lang string, source string, " + ", ".join(f"{c} bigint" for c in COUNTS)
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lang", pa.string()), ("source", pa.string()), *[(c, pa.int64()) for c in COUNTS]])
 
 #: measure: (does a low value count against a text, does a high one, least width of a fence). The
 #: expressions are in ``measures``. Widths keep ordinary texts in groups that hardly vary.
@@ -60,16 +60,17 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every whole text (null: empty). Other columns go."""
+    """doc_id, key (of the text), lang, source and the counts of every whole text (null: empty). Other columns go."""
 
     def count(batches):
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                rows = [counts(t) for t in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]], schema=_FEATURES)
+                rows = [counts(t) for t in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]], schema=_FEATURES)
 
-    return text_of(docs, "doc_id", "lang", "source").mapInArrow(count, FEATURES)
+    keyed = text_of(docs, "doc_id", "lang", "source").select("doc_id", F.xxhash64("text").alias("key"), "lang", "source", "text")
+    return keyed.mapInArrow(count, FEATURES)
 
 
 def with_measures(found: DataFrame) -> DataFrame:
@@ -107,6 +108,15 @@ def thresholds(measured: DataFrame) -> DataFrame:
     return own.select("_lang", "_source", *[F.coalesce(f"g_{m}_{s}", f"l_{m}_{s}", F.lit(top[f"{m}_{s}"]).cast("double")).alias(f"{m}_{s}") for m in MEASURES for s in ("low", "high")])
 
 
+def _judged(docs: DataFrame) -> DataFrame:
+    found = with_measures(written(features(docs), "features")).withColumns({"_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))})
+    joined = found.join(thresholds(found), ["_lang", "_source"])
+    inside = F.lit(True)
+    for m in MEASURES:
+        inside = inside & F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True)) & F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True))
+    return joined.withColumn("kept", ~F.col("base_failed") & inside)
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
@@ -115,9 +125,10 @@ def judged(docs: DataFrame) -> DataFrame:
     sources are groups like any other. Repeated rows are judged each; other columns go. An empty
     table gives an empty one.
     """
-    found = with_measures(written(features(docs), "features")).withColumns({"_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))})
-    joined = found.join(thresholds(found), ["_lang", "_source"])
-    inside = F.lit(True)
-    for m in MEASURES:
-        inside = inside & F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True)) & F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True))
-    return joined.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"))
+    return _judged(docs).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+def filtered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text is kept."""
+    kept = _judged(docs).filter("kept").select("doc_id", F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(kept, ["doc_id", "_key"], "left_semi").select(*docs.columns)
