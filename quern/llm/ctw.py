@@ -122,21 +122,20 @@ def weigh(at: np.ndarray, depth: np.ndarray, parent: np.ndarray, zeros: np.ndarr
 
     Slots without counts have the weight -1: nothing was seen there.
     """
-    block = np.zeros(len(at))
-    for k in range(0, len(at), 1 << 20):
-        a, b = zeros[k : k + (1 << 20)].astype(float), ones[k : k + (1 << 20)].astype(float)
-        block[k : k + (1 << 20)] = _lgamma(a + 0.5) + _lgamma(b + 0.5) - math.log(math.pi) - _lgamma(a + b + 1)
     below = np.zeros(slots)
     estimate, weight = np.full(slots, 0.5, np.float32), np.full(slots, -1, np.float32)
     half, deepest = math.log(0.5), int(depth.max(initial=0))
     for d in range(deepest, -1, -1):
-        on = depth == d
-        s, own = at[on], block[on]
-        total = own if d == deepest else np.logaddexp(half + own, half + below[s])
-        weight[s] = 1 if d == deepest else np.exp(half + own - total)
-        estimate[s] = (ones[on] + 0.5) / (zeros[on] + ones[on] + 1.0)
-        if d:
-            np.add.at(below, parent[on], total)
+        rows = np.flatnonzero(depth == d)
+        for k in range(0, len(rows), 1 << 20):
+            on = rows[k : k + (1 << 20)]
+            s, a, b = at[on], zeros[on].astype(float), ones[on].astype(float)
+            own = _lgamma(a + 0.5) + _lgamma(b + 0.5) - math.log(math.pi) - _lgamma(a + b + 1)
+            total = own if d == deepest else np.logaddexp(half + own, half + below[s])
+            weight[s] = 1 if d == deepest else np.exp(half + own - total)
+            estimate[s] = (b + 0.5) / (a + b + 1.0)
+            if d:
+                np.add.at(below, parent[on], total)
     return estimate, weight
 
 
@@ -242,6 +241,7 @@ def train(docs: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> tuple:
     table = counted.mapInArrow(nodes, "slot int, depth int, parent int, zeros double, ones double").groupBy("slot").agg(F.min(F.struct("depth", "parent")).alias("own"), F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones"))
     found = table.select("slot", F.col("own.depth").cast("byte").alias("depth"), F.col("own.parent").alias("parent"), "zeros", "ones").toArrow()  # SLOTS rows at most
     columns = [found.column(c).to_numpy() for c in ("slot", "depth", "parent", "zeros", "ones")]
+    del found
     return (*weigh(*columns, slots), code)
 
 
