@@ -125,19 +125,19 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end: int =
     """
 
     def cut(batches):
-        ends = np.array([end], "<u4").tobytes()
         for b in batches:
-            ids, (data, at) = b.column(0), utf8(b.column(1))
-            for i, j in blocks(np.diff(at), 1 << 21):
-                rows = []
-                for doc, own in zip(ids[i:j].to_pylist(), encoder(vocabulary).encode(b.column(1)[i:j].to_pylist()), strict=True):
-                    own += ends
-                    total = len(own) // 4
-                    start, first = 0, total % size or size
-                    for piece in range(-(-total // size)):
-                        n = first if piece == 0 else size
-                        rows.append((doc, piece, start, n, zlib.crc32(own[4 * start : 4 * (start + n)])))
-                        start += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+            docs_, (data, at) = b.column(0), utf8(b.column(1))
+            for i, j in blocks(np.diff(at), 1 << 20):
+                ids, ends = encoder(vocabulary).encode(data, at[i : j + 1], end)
+                total = np.diff(ends)
+                pieces = -(-total // size)
+                doc = np.repeat(np.arange(j - i), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = (total - (pieces - 1) * size)[doc]
+                start = np.where(piece == 0, 0, first + (piece - 1) * size)
+                length = np.where(piece == 0, first, size)
+                raw, at_ = memoryview(ids.astype("<u4", copy=False)).cast("B"), (ends[doc] + start) * 4
+                sums = [zlib.crc32(raw[x : x + 4 * n]) for x, n in zip(at_.tolist(), length.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([docs_[i:j].take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())], schema=_PIECES)
 
     return text_of(docs, "doc_id").mapInArrow(cut, PIECES)

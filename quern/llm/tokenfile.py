@@ -32,15 +32,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 1) -> N
     """
 
     def encode(batches):
-        start, last = 0, np.array([end], "<u4").tobytes()
+        start = 0
         for b in batches:
-            docs_, (_, at) = b.column(0), utf8(b.column(1))
-            for i, j in blocks(np.diff(at), 1 << 21):
-                own = [x + last for x in encoder(vocabulary).encode(b.column(1)[i:j].to_pylist())]
-                n = np.array([len(x) // 4 for x in own], np.int64)
-                ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.frombuffer(b"".join(own), "<i4")))
-                yield pa.RecordBatch.from_arrays([docs_[i:j], pa.array(n), pa.array(start + ends - n), ids], schema=_SCHEMA)
+            docs_, (data, at) = b.column(0), utf8(b.column(1))
+            for i, j in blocks(np.diff(at), 1 << 20):
+                ids, ends = encoder(vocabulary).encode(data, at[i : j + 1], end)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([docs_[i:j], pa.array(np.diff(ends)), pa.array(start + ends[:-1]), lists], schema=_SCHEMA)
                 start += int(ends[-1])
 
     ordered = text_of(docs, "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
