@@ -46,6 +46,21 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+_tables: dict[str, object] = {}
+
+
+def keeps(name: str, forget) -> None:
+    """Says how to drop what an operator keeps in a Python worker from task to task."""
+    _tables[name] = forget
+
+
+def begins(name: str) -> None:
+    """At the start of a task: a worker process keeps the tables of one operator only."""
+    for other, forget in _tables.items():
+        if other != name:
+            forget()
+
+
 def text_of(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The kept columns and the text, a null text as an empty one; other columns go."""
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text))

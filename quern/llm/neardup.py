@@ -7,10 +7,12 @@ ranks below a threshold that is in proportion to 1 / total weight are looked at,
 hardly depends on the text's length. The earliest dart on each coordinate is the signature; two
 texts agree on a coordinate with the probability of their weighted Jaccard similarity.
 
-Texts that agree on a whole band share a bucket. In a bucket all texts are compared (exactly) with
-one of them, the pivot; the distance obeys the triangle inequality, so the rest falls apart into
-those near to the pivot and those far from it, and only parts that still hold different classes are
-looked at again. Thus a bucket of n copies takes n comparisons and no link is lost.
+Texts that agree on a whole band share a bucket. Elements that only one of the texts in question has
+bound the sizes of the texts that it can be similar to; texts without a partner of such a size leave
+the bucket. Those that stay are compared (exactly) with a few of them, the pivots, if they are in
+another class yet and the sizes allow it; then the pivots leave. Buckets that still hold different
+classes go on, with pivots from the smallest classes. So a bucket of n copies takes some n
+comparisons, not n squared, and no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -22,15 +24,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import blocks, mix, text_of, utf8, written
+from .common import begins, blocks, keeps, mix, text_of, utf8, written
 
 SHINGLE, LEAST = 5, 0.8
 #: 25 bands of 5: of the pairs at similarity 0.8 one in 20,000 shares no band, above that fewer.
 BANDS, ROWS = 25, 5
 BLOCK = 4 << 20
-#: Buckets of this size at most are compared pair by pair after the first round.
-SMALL = 12
+#: Pivots of a bucket in the first round and in each later one (what is left then are a few outsiders of
+#: each bucket), and rounds of leaving by size.
+PIVOTS, LATER, LEAVING = 4, 24, 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -39,13 +43,14 @@ class Words(dict):
     """Words to 64-bit hashes; forgets when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 18:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 _words = Words()
+keeps("words", _words.clear)
 
 
 def elements(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,13 +136,14 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the exact text; null without words) and bands of every document."""
+    """doc_id, key (of the exact text; null without words), n (unit elements) and bands of every document."""
 
     def sign(batches):
+        begins("words")
         for b in batches:
             data, at = utf8(b.column(1))
             for i, j in blocks(np.diff(at), BLOCK):
@@ -147,9 +153,9 @@ def signed(docs: DataFrame) -> DataFrame:
                 raw, ends = memoryview(data), at[i : j + 1].tolist()
                 keys = [xxhash.xxh3_128_digest(raw[x:y]) if ok else None for x, y, ok in zip(ends[:-1], ends[1:], has.tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * BANDS)).astype(np.int32)), pa.array(found[has].ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(keys, pa.binary()), lists], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(keys, pa.binary()), pa.array(np.diff(offsets)), lists], schema=_SIGNED)
 
-    return text_of(docs, "doc_id").mapInArrow(sign, "doc_id bigint, key binary, bands array<bigint>")
+    return text_of(docs, "doc_id").mapInArrow(sign, "doc_id bigint, key binary, n bigint, bands array<bigint>")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -163,6 +169,7 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     schema = pa.schema([("pivot", pa.int64()), ("doc", pa.int64()), ("similarity", pa.float64())])
 
     def compare(batches):
+        begins("words")
         known: tuple[int | None, np.ndarray | None] = (None, None)
         for b in batches:
             (data, at), (pivots, ends) = utf8(b.column(2)), utf8(b.column(3))
@@ -178,24 +185,73 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("pivot", "doc", "text", "pivot_text").mapInArrow(compare, "pivot bigint, doc bigint, similarity double")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node of its component) for edges (a, b).
-
-    Each round takes every node to the smallest label around it and then to that one's label; each
-    is written, and the rounds end when nothing changes.
-    """
-    edges = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+def _to_roots(parents: DataFrame) -> DataFrame:
+    """node, label: every node's pointer followed to its end, by doubling."""
+    labels = written(parents, "labels")
     while True:
-        around = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        joined = labels.join(around, labels["node"] == around["a"]).select("node", "label", F.least("label", "near").alias("new"))
-        above = labels.select(F.col("node").alias("new"), F.col("label").alias("above"))
-        stepped = written(joined.join(above, "new").select("node", F.least("new", "above").alias("label"), (F.least("new", "above") != F.col("label")).alias("changed")), "labels")
+        above = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        stepped = written(labels.join(above, "label").select("node", F.col("above").alias("label"), (F.col("above") != F.col("label")).alias("changed")), "labels")
         labels = stepped.select("node", "label")
         if not stepped.filter("changed").limit(1).count():
             return labels
 
 
+def components(edges: DataFrame) -> DataFrame | None:
+    """node, label (the smallest node of its component) for edges (a, b); None without edges.
+
+    In each round every node points to the smallest one around it, pointers are followed to their ends, and
+    the edges between different ends are the next round's, of which there are far fewer.
+    """
+    edges, labels = written(edges.filter("a <> b").distinct(), "edges"), None
+    while edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        found = _to_roots(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+        labels = found if labels is None else _relabelled(labels, found)
+        ends = edges.join(found.select(F.col("node").alias("a"), F.col("label").alias("end_a")), "a").join(found.select(F.col("node").alias("b"), F.col("label").alias("end_b")), "b")
+        edges = written(ends.select(F.col("end_a").alias("a"), F.col("end_b").alias("b")).filter("a <> b").distinct(), "edges")
+    return labels
+
+
+def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels taken to what they are called in ``found``, whose nodes are labels or new nodes."""
+    to = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return written(old.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+def _all_elements(texts: DataFrame) -> DataFrame:
+    """doc, element: every unit element of every text (doc_id, text)."""
+    schema = pa.schema([("doc", pa.int64()), ("element", pa.int64())])
+
+    def explode(batches):
+        begins("words")
+        for b in batches:
+            data, at = utf8(b.column(1))
+            for i, j in blocks(np.diff(at), BLOCK):
+                h, offsets = elements(data, at[i : j + 1])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j].take(pa.array(np.repeat(np.arange(j - i), np.diff(offsets)))), pa.array(h.view(np.int64))], schema=schema)
+
+    return texts.select("doc_id", "text").mapInArrow(explode, "doc bigint, element bigint")
+
+
+def _with_partners(state: DataFrame, bodies: DataFrame) -> DataFrame:
+    """bucket, doc, n, most: the members of buckets that can be similar to another one by size.
+
+    With u elements that no other text has, a text of n elements shares n - u at most, so what is similar to
+    it has at most ``most`` = (n - u) (1 + LEAST) / LEAST - n elements.
+    """
+    for _ in range(LEAVING):
+        there = bodies.join(state.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        own = _all_elements(there).groupBy("element").agg(F.count("*").alias("times"), F.min("doc").alias("doc")).filter("times = 1").groupBy("doc").agg(F.count("*").alias("u"))
+        most = (F.col("n") - F.coalesce("u", F.lit(0))) * F.lit((1 + LEAST) / LEAST) - F.col("n") + F.lit(1e-6)
+        state = state.select("bucket", "doc", "n").join(own, "doc", "left").select("bucket", "doc", "n", most.alias("most"))
+        sizes = state.groupBy("bucket").agg(F.min("n").alias("lo"), F.max("most").alias("hi"))
+        state = state.join(sizes, "bucket").filter("most >= lo and n <= hi").select("bucket", "doc", "n", "most")
+        several = state.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
+        state = written(state.join(several, "bucket"), "members")
+    return state
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, copy_of, class_id of every document.
 
@@ -205,42 +261,42 @@ def classes(docs: DataFrame) -> DataFrame:
     empty table gives an empty one.
     """
     sign = written(signed(docs), "signed")
-    texts = sign.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
+    texts = sign.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     texts = written(texts, "texts")
-    members = texts.select(F.explode("bands").alias("bucket"), "doc")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    state = written(members.join(shared, "bucket").withColumn("label", F.col("doc")), "members")
+    members = texts.select(F.explode("bands").alias("bucket"), "doc", "n")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
+    state = written(members.join(shared, "bucket"), "members")
+    wanted = state.select(F.col("doc").alias("doc_id")).distinct()
+    bodies = written(text_of(docs, "doc_id").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
+    state = _with_partners(state, bodies).withColumn("label", F.col("doc"))
     labels = None
-    if state.limit(1).count():
-        wanted = state.select(F.col("doc").alias("doc_id")).distinct()
-        bodies = written(text_of(docs, "doc_id").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
-        edges, first = None, True
-        while True:
-            mixed = state.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.min_by("label", "doc").alias("pivot_label"), F.count("*").alias("n"))
-            joined = state.join(mixed, "bucket")
-            asked = joined.filter("doc <> pivot and label <> pivot_label").select("pivot", "doc")
-            if not first:
-                # Small buckets: each member with every later one.
-                other = state.select("bucket", F.col("doc").alias("later"), F.col("label").alias("later_label"))
-                small = joined.filter(F.col("n") <= SMALL).join(other, "bucket").filter("later > doc and later_label <> label")
-                asked = joined.filter(F.col("n") > SMALL).filter("doc <> pivot and label <> pivot_label").select("pivot", "doc").unionByName(small.select(F.col("doc").alias("pivot"), F.col("later").alias("doc")))
-            met = written(_compared(asked.distinct(), bodies), "compared")
-            new = met.filter(F.col("similarity") >= LEAST).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-            edges = new if edges is None else edges.unionByName(new)
-            labels = components(edges)
-            # What is left: parts near to the pivot and far from it, without the pivot.
-            left = joined if first else joined.filter(F.col("n") > SMALL)
-            parts = left.filter("doc <> pivot").join(met, ["pivot", "doc"], "left").select("bucket", "doc", F.explode(F.array_compact(F.array(
-                F.when(F.col("similarity").isNull() | (F.col("similarity") >= 2 * LEAST - 1), F.lit(0)),
-                F.when(F.col("similarity").isNull() | (F.col("similarity") < LEAST), F.lit(1))))).alias("part"))
-            parts = parts.select(F.xxhash64("bucket", "part").alias("bucket"), "doc")
-            parts = parts.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
-            parts = written(parts, "parts")
-            still = parts.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-            state = written(parts.join(still, "bucket"), "members")
-            first = False
-            if not state.limit(1).count():
-                break
+    most_pivots = PIVOTS
+    while state.limit(1).count():
+        sizes = state.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+        slack = F.col("most") / F.col("n")
+        order = Window.partitionBy("bucket").orderBy("size", slack.desc(), "doc")
+        pivots = state.join(sizes, ["bucket", "label"]).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most_pivots)
+        pivot = F.struct(F.col("doc").alias("pivot"), F.col("label").alias("pivot_label"), F.col("n").alias("pivot_n"), F.col("most").alias("pivot_most"))
+        lists = pivots.groupBy("bucket").agg(F.collect_list(pivot).alias("pivots"))  # most_pivots at most
+        # A pair meets in many buckets; each text's distinct pivots come first.
+        own = state.join(lists, "bucket").groupBy("doc", "label", "n", "most").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
+        fits = F.filter("pivots", lambda p: (p["pivot_label"] != F.col("label")) & (F.col("n") <= p["pivot_most"]) & (p["pivot_n"] <= F.col("most")))
+        joined = own.select("doc", F.explode(F.transform(fits, lambda p: p["pivot"])).alias("pivot"))
+        asked = joined.select(F.least("pivot", "doc").alias("pivot"), F.greatest("pivot", "doc").alias("doc")).distinct()
+        met = written(_compared(asked, bodies), "compared")
+        links = met.filter(F.col("similarity") >= LEAST).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+        if labels is not None:
+            for end in ("a", "b"):
+                links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        found = components(links)
+        if found is not None:
+            labels = found if labels is None else _relabelled(labels, found)
+        left = state.drop("label").join(pivots.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
+        named = left.withColumn("label", F.col("doc")) if labels is None else left.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        left = written(named, "left")
+        still = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("lo"), F.max("most").alias("hi")).filter("a < b")
+        state = written(left.join(still.select("bucket"), "bucket", "left_semi"), "members")
+        most_pivots = LATER
     named = texts.select("key", "doc")
     if labels is None:
         named = named.select("key", F.col("doc").alias("copy_of"), F.col("doc").alias("class_id"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, mix, text_of, utf8, written
+from .common import begins, blocks, mix, text_of, utf8, written
 from .induced import repeated_starts
 
 LENGTH, GRAM = 200, 64
@@ -89,6 +89,7 @@ def _all_contexts(docs: DataFrame) -> DataFrame:
     """The contexts of all documents. Of equal ones in one block one goes on to meet others; the others are decided and dealt out anyhow."""
 
     def find(batches):
+        begins("repeats")
         for b in batches:
             data, at = utf8(b.column(2))
             ids, keys = b.column(0), b.column(1)
@@ -133,6 +134,7 @@ def _sorted_shards(asked: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(rows), table.column("key").combine_chunks().take(rows), pa.array(start.astype(np.int32)), pa.array((hi - lo).astype(np.int32))], schema=schema)
 
     def shards(batches):
+        begins("repeats")
         held, size = [], 0
         for b in batches:
             anchors = b.column(0).to_numpy()

@@ -14,10 +14,10 @@ import os
 
 import numpy as np
 
-from .common import mix
+from .common import begins, keeps, mix
 
 #: Pieces that a worker keeps, and the places for them (a power of two).
-MOST, PLACES = 1_200_000, 1 << 21
+MOST, PLACES = 700_000, 1 << 20
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ODD = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
@@ -186,10 +186,13 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+keeps("tokens", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
     """This process's encoder for a vocabulary file."""
     if path not in _encoders:
+        begins("tokens")
+        _encoders.clear()
         _encoders[path] = Encoder(path)
     return _encoders[path]
