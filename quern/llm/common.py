@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +48,7 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+BATCH = 1000
 _tables: dict[str, object] = {}
 
 
@@ -55,14 +58,37 @@ def keeps(name: str, forget) -> None:
 
 
 def begins(name: str) -> None:
-    """At the start of a task: a worker process keeps the tables of one operator only."""
+    """At the start of a task: a worker process keeps the tables of one operator only, and gives freed memory back."""
     for other, forget in _tables.items():
         if other != name:
             forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def _c_library():
+    """glibc, told to take large arrays from the system and to return them when they are freed; else None."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        return None
+    return libc
+
+
+_libc = _c_library()
 
 
 def text_of(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """The kept columns and the text, a null text as an empty one; other columns go."""
+    """The kept columns and the text, a null text as an empty one; other columns go.
+
+    Texts go to Python in batches of ``BATCH`` rows at most: 10,000 long ones are too much for a worker.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text))
 
 

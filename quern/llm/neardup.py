@@ -31,7 +31,7 @@ from .common import begins, blocks, keeps, mix, text_of, utf8, written
 SHINGLE, LEAST = 5, 0.8
 #: 25 bands of 5: of the pairs at similarity 0.8 one in 20,000 shares no band, above that fewer.
 BANDS, ROWS = 25, 5
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Pivots of a bucket in the first round and in each later one (what is left then are a few outsiders of
 #: each bucket), and rounds of leaving by size.
 PIVOTS, LATER, LEAVING = 4, 24, 2

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, text_of, utf8, written
+from .common import begins, blocks, text_of, utf8, written
 from .tokens import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -125,9 +125,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end: int =
     """
 
     def cut(batches):
+        begins("tokens")
         for b in batches:
             docs_, (data, at) = b.column(0), utf8(b.column(1))
-            for i, j in blocks(np.diff(at), 1 << 20):
+            for i, j in blocks(np.diff(at), 1 << 19):
                 ids, ends = encoder(vocabulary).encode(data, at[i : j + 1], end)
                 total = np.diff(ends)
                 pieces = -(-total // size)

@@ -24,7 +24,7 @@ from .induced import repeated_starts
 
 LENGTH, GRAM = 200, 64
 #: Grams of a window; text bytes that are looked at once; bytes of a shard, unless one anchor has more.
-GRAMS, BLOCK, SHARD = LENGTH - GRAM + 1, 4 << 20, 4 << 20
+GRAMS, BLOCK, SHARD = LENGTH - GRAM + 1, 1 << 20, 2 << 20
 #: What is known of a context: it was met several times, it is decided, it may repeat itself.
 SEVERAL, DECIDED, ITSELF = 1, 2, 4
 #: Stands between contexts; no byte of UTF-8 text, plus one, is that.
@@ -163,6 +163,7 @@ def _bodies(docs: DataFrame, need: DataFrame) -> DataFrame:
     schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("body", pa.binary())])
 
     def cut(batches):
+        begins("repeats")
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
@@ -248,6 +249,7 @@ def report(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def digest(batches):
+        begins("repeats")
         for b in batches:
             rows = [(len(data), len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()) for data, starts, _, kept in _kept(b, 1, 2)]
             if rows:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, fresh_path, text_of, utf8
+from .common import begins, blocks, fresh_path, text_of, utf8
 from .tokens import encoder
 
 SCHEMA = "doc_id bigint, n_tokens bigint, start_in_file bigint, ids array<int>"
@@ -32,10 +32,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 1) -> N
     """
 
     def encode(batches):
+        begins("tokens")
         start = 0
         for b in batches:
             docs_, (data, at) = b.column(0), utf8(b.column(1))
-            for i, j in blocks(np.diff(at), 1 << 20):
+            for i, j in blocks(np.diff(at), 1 << 19):
                 ids, ends = encoder(vocabulary).encode(data, at[i : j + 1], end)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([docs_[i:j], pa.array(np.diff(ends)), pa.array(start + ends[:-1]), lists], schema=_SCHEMA)

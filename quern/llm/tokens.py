@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-from .common import begins, keeps, mix
+from .common import keeps, mix
 
 #: Pieces that a worker keeps, and the places for them (a power of two).
 MOST, PLACES = 700_000, 1 << 20
@@ -139,7 +139,7 @@ class Encoder:
             begins, ends, doc = begins[own], ends[own], doc[own]
         if len(self.power) <= n:
             with np.errstate(over="ignore"):
-                grown = np.full(max(n + 1, 1 << 20), _R)
+                grown = np.full(max(n + 1, 1 << 19), _R)
                 grown[0] = 1
                 self.power = np.cumprod(grown)
                 grown[1:] = _R_INVERSE
@@ -192,7 +192,6 @@ keeps("tokens", _encoders.clear)
 def encoder(path: str) -> Encoder:
     """This process's encoder for a vocabulary file."""
     if path not in _encoders:
-        begins("tokens")
         _encoders.clear()
         _encoders[path] = Encoder(path)
     return _encoders[path]
