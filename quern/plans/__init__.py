@@ -1,0 +1,6 @@
+"""The queries over the test tables, by subject."""
+
+from . import catalog_queries, language_queries, retrieval_queries, text_queries  # noqa: F401  (they register their queries)
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -232,3 +232,19 @@ b AS (SELECT query_id, doc_id, CAST(max(score) AS DOUBLE) AS score, max_by(match
 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM b""")
 def exact_code_lookup(spark, sf):
     return R.code_hits(FX_CODES.df(spark), FX_FILES.df(spark), FX_CODE_QUERIES.df(spark))
+
+
+@query()
+def cascade_search(spark, sf):
+    """Benchmark items as queries over all documents (the source as file name and drafter)."""
+    from .cascade import cascade
+
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit(".pdf")).alias("filename"), "text", F.col("source").alias("drafter"))
+    codes = spark.createDataFrame([], "doc_id bigint, norm_code string")
+    return cascade(docs, codes, _queries(spark, sf).withColumnRenamed("text", "query"))
+
+
+@query(f"WITH {FX_FILES.sql()} SELECT doc_id, filename, CASE WHEN regexp_matches(filename, '_[0-9]\\.pdf$') THEN 'copy' ELSE 'single' END AS kind FROM fx_files WHERE regexp_matches(lower(filename), '\\.(pdf|txt)$')")
+def filename_copies(spark, sf):
+    kind = F.when(F.col("filename").rlike(r"_[0-9]\.pdf$"), "copy").otherwise("single")
+    return FX_FILES.df(spark).filter(F.lower("filename").rlike(r"\.(pdf|txt)$")).select("doc_id", "filename", kind.alias("kind"))
