@@ -59,8 +59,7 @@ def fts_or_match(spark, sf):
 
 @query(f"""WITH {_INDEX} SELECT term, df, CAST(sum(tf) AS BIGINT) AS cf, CAST(max(tf) AS BIGINT) AS max_tf, round(avg(dl), 6) AS mean_dl FROM postings JOIN terms USING (term) JOIN lengths USING (doc_id) GROUP BY term, df""")
 def index_term_stats(spark, sf):
-    index = R.Index(table(spark, sf, "documents"))
-    found = index.postings.join(index.lengths, "doc_id").groupBy("term")
+    found = R.Index(table(spark, sf, "documents")).postings.groupBy("term")
     return found.agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.round(F.avg("dl"), 6).alias("mean_dl"))
 
 
