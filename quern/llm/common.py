@@ -49,6 +49,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 BATCH = 1000
+#: Rows of ids (some 40 bytes each in a hash table) that are broadcast at most.
+FEW = 500_000
 _tables: dict[str, object] = {}
 
 
@@ -92,6 +94,11 @@ def text_of(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """A written table of ids for the small side of a join: broadcast if it has ``FEW`` rows at most, else as it is."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string column (without nulls) and its n + 1 offsets, not copied."""
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32

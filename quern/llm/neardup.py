@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import begins, blocks, keeps, mix, text_of, utf8, written
+from .common import begins, blocks, few, keeps, mix, text_of, utf8, written
 
 SHINGLE, LEAST = 5, 0.8
 #: 25 bands of 5: of the pairs at similarity 0.8 one in 20,000 shares no band, above that fewer.
@@ -266,8 +266,8 @@ def classes(docs: DataFrame) -> DataFrame:
     members = texts.select(F.explode("bands").alias("bucket"), "doc", "n")
     shared = members.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
     state = written(members.join(shared, "bucket"), "members")
-    wanted = state.select(F.col("doc").alias("doc_id")).distinct()
-    bodies = written(text_of(docs, "doc_id").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
+    wanted = written(state.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
+    bodies = written(text_of(docs, "doc_id").join(few(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
     state = _with_partners(state, bodies).withColumn("label", F.col("doc"))
     labels = None
     most_pivots = PIVOTS
@@ -308,6 +308,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its class's; of repeated rows one stays."""
     found = written(classes(docs), "classes")
-    kept = docs.join(found.filter("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    gone = written(found.filter("not doc_id <=> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.join(few(gone), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
     repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begins, text_of, written
+from .common import begins, few, text_of, written
 
 #: White space that parts words: space, and tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -130,6 +130,8 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, as they are, whose text is kept."""
-    kept = _judged(docs).filter("kept").select("doc_id", F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(kept, ["doc_id", "_key"], "left_semi").select(*docs.columns)
+    """The rows of ``docs``, as they are, whose text is kept. A text of which some rows are kept (under other languages, say) keeps those of its doc_id."""
+    judged = written(_judged(docs).groupBy("doc_id", "key").agg(F.max("kept").alias("kept")), "judged")
+    gone = judged.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_text"))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(few(gone), docs["doc_id"].eqNullSafe(F.col("_gone")) & (key == F.col("_text")), "left_anti")
