@@ -63,3 +63,36 @@ def test_windows(spark, sf, tmp_path, kind):
     found = spark.table(q.name).agg(F.sum("n")).first()[0]
     total = spark.read.parquet(f"{sf}/events.parquet").count()
     assert found == total if kind == "tumbling" else 0 < found <= total
+
+
+def test_ewma_state(spark, sf):
+    """The processor over micro-batches, with a stand-in for Spark's state, against the batch form."""
+    import pandas as pd
+
+    from quern.operators.evaluate import ewma_rate
+    from quern.streaming.events import _Rate
+
+    class Value:
+        kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    class Handle:
+        def getValueState(self, name, schema, ttlDurationMs):  # noqa: N802, N803
+            return Value()
+
+    events = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'click'")
+    times = sorted(r[0] for r in events.selectExpr("unix_micros(cast(ts as timestamp)) / 1e6").collect())
+    processor = _Rate(60.0, 1000)
+    processor.init(Handle())
+    for k in range(0, len(times), 37):
+        out = next(processor.handleInputRows(("click",), [pd.DataFrame({"t": times[k : k + 37]})], None))
+    assert out["n"][0] == len(times)
+    assert ewma_rate(events, "event_type", "ts").first().rate == pytest.approx(out["rate"][0], abs=1e-8)
