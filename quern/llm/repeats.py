@@ -24,7 +24,7 @@ from .induced import repeated_starts
 
 LENGTH, GRAM = 200, 64
 #: Grams of a window; text bytes that are looked at once; bytes of a shard, unless one anchor has more.
-GRAMS, BLOCK, SHARD = LENGTH - GRAM + 1, 1 << 20, 2 << 20
+GRAMS, BLOCK, SHARD = LENGTH - GRAM + 1, 1 << 20, 1 << 20
 #: What is known of a context: it was met several times, it is decided, it may repeat itself.
 SEVERAL, DECIDED, ITSELF = 1, 2, 4
 #: Stands between contexts; no byte of UTF-8 text, plus one, is that.
