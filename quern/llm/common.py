@@ -59,17 +59,37 @@ def keeps(name: str, forget) -> None:
     _tables[name] = forget
 
 
-def begins(name: str) -> None:
-    """At the start of a task: a worker process keeps the tables of one operator only, and gives freed memory back."""
-    for other, forget in _tables.items():
-        if other != name:
-            forget()
+def _trim() -> None:
+    """Gives freed memory back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
 
 
+def task(name: str):
+    """For functions over batches in Python workers.
+
+    A worker keeps the tables of one operator only, and gives back what a task has used when it ends:
+    idle workers stay beside those of the next stages.
+    """
+
+    def wrap(f):
+        def run(batches):
+            for other, forget in _tables.items():
+                if other != name:
+                    forget()
+            _trim()
+            try:
+                yield from f(batches)
+            finally:
+                _trim()
+
+        return run
+
+    return wrap
+
+
 def _c_library():
     """glibc, told to take large arrays from the system and to return them when they are freed; else None."""
     try:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begins, blocks, mix, text_of, utf8, written
+from .common import blocks, mix, task, text_of, utf8, written
 
 DEPTH, SLOTS, END = 5, 1 << 23, 10
 #: Text bytes that a task counts or scores at once; n-grams that it keeps apart before they are added up.
@@ -193,8 +193,8 @@ def train(docs: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> tuple:
     """The model from whole texts: estimates and weights by slot, and the Huffman code."""
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
+    @task("ctw")
     def count(batches):
-        begins("ctw")
         kept: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged():
@@ -222,8 +222,8 @@ def train(docs: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> tuple:
     code = huffman(histogram)
     node_schema = pa.schema([("slot", pa.int32()), ("depth", pa.int32()), ("parent", pa.int32()), ("zeros", pa.float64()), ("ones", pa.float64())])
 
+    @task("ctw")
     def nodes(batches):
-        begins("ctw")
         def folded():
             table = pa.Table.from_batches(held)
             columns = fold(table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy(), code, slots, depth)
@@ -255,8 +255,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary) and n of all words of the texts."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
+    @task("ctw")
     def count(batches):
-        begins("ctw")
         from collections import Counter
 
         found: Counter = Counter()
@@ -296,8 +296,8 @@ def scored(docs: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> DataFrame
     known = {bytes(w.as_py()): c for b in head.toArrow().to_batches() for w, c in zip(b.column(0), b.column(1).to_pylist(), strict=True)}  # HEAD rows at most
     shared = spark.sparkContext.broadcast((model, known))
 
+    @task("ctw")
     def score(batches):
-        begins("ctw")
         (own, counts), end = shared.value, (math.log10((ends + 0.1) / below), int(ends > 0))
         probability = Scorer(own, depth)
         logs = {w: math.log10((c + 0.1) / below) for w, c in counts.items()}

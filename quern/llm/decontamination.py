@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begins, blocks, text_of, utf8
+from .common import blocks, task, text_of, utf8
 
 #: Words of a window, text bytes of a shard, benchmark bytes that are broadcast at once, distance of sampled positions.
 WINDOW, SHARD, BLOCK, SAMPLED = 10, 8 << 20, 1 << 20, 8
@@ -215,8 +215,8 @@ def _one_block(docs: DataFrame, items: list[tuple], keep_text: bool, hits_only:
     phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items))  # of BLOCK bytes of text at most, or one item
     schema = _FOUND if keep_text else _FOUND.remove(1)
 
+    @task("phrases")
     def find(batches):
-        begins("phrases")
         own = phrases.value
         for b in batches:
             data, at = utf8(b.column(1))

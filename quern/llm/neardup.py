@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import begins, blocks, few, keeps, mix, text_of, utf8, written
+from .common import blocks, few, keeps, mix, task, text_of, utf8, written
 
 SHINGLE, LEAST = 5, 0.8
 #: 25 bands of 5: of the pairs at similarity 0.8 one in 20,000 shares no band, above that fewer.
@@ -142,8 +142,8 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int6
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the exact text; null without words), n (unit elements) and bands of every document."""
 
+    @task("words")
     def sign(batches):
-        begins("words")
         for b in batches:
             data, at = utf8(b.column(1))
             for i, j in blocks(np.diff(at), BLOCK):
@@ -168,8 +168,8 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pivot, doc, similarity of pairs (pivot, doc), from texts (doc_id, text)."""
     schema = pa.schema([("pivot", pa.int64()), ("doc", pa.int64()), ("similarity", pa.float64())])
 
+    @task("words")
     def compare(batches):
-        begins("words")
         known: tuple[int | None, np.ndarray | None] = (None, None)
         for b in batches:
             (data, at), (pivots, ends) = utf8(b.column(2)), utf8(b.column(3))
@@ -223,8 +223,8 @@ def _all_elements(texts: DataFrame) -> DataFrame:
     """doc, element: every unit element of every text (doc_id, text)."""
     schema = pa.schema([("doc", pa.int64()), ("element", pa.int64())])
 
+    @task("words")
     def explode(batches):
-        begins("words")
         for b in batches:
             data, at = utf8(b.column(1))
             for i, j in blocks(np.diff(at), BLOCK):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import begins, blocks, text_of, utf8, written
+from .common import blocks, task, text_of, utf8, written
 from .tokens import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -124,8 +124,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end: int =
     null or empty text has one piece, ``end`` alone. Other columns go; repeated rows stay.
     """
 
+    @task("tokens")
     def cut(batches):
-        begins("tokens")
         for b in batches:
             docs_, (data, at) = b.column(0), utf8(b.column(1))
             for i, j in blocks(np.diff(at), 1 << 19):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begins, few, text_of, written
+from .common import few, task, text_of, written
 
 #: White space that parts words: space, and tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -62,8 +62,8 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the text), lang, source and the counts of every whole text (null: empty). Other columns go."""
 
+    @task("counts")
     def count(batches):
-        begins("counts")
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import begins, blocks, mix, text_of, utf8, written
+from .common import blocks, mix, task, text_of, utf8, written
 from .induced import repeated_starts
 
 LENGTH, GRAM = 200, 64
@@ -88,8 +88,8 @@ CONTEXTS = "anchor bigint, hash bigint, doc_id bigint, key bigint, start int, n
 def _all_contexts(docs: DataFrame) -> DataFrame:
     """The contexts of all documents. Of equal ones in one block one goes on to meet others; the others are decided and dealt out anyhow."""
 
+    @task("repeats")
     def find(batches):
-        begins("repeats")
         for b in batches:
             data, at = utf8(b.column(2))
             ids, keys = b.column(0), b.column(1)
@@ -133,8 +133,8 @@ def _sorted_shards(asked: DataFrame) -> DataFrame:
         rows = pa.array(row)
         return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(rows), table.column("key").combine_chunks().take(rows), pa.array(start.astype(np.int32)), pa.array((hi - lo).astype(np.int32))], schema=schema)
 
+    @task("repeats")
     def shards(batches):
-        begins("repeats")
         held, size = [], 0
         for b in batches:
             anchors = b.column(0).to_numpy()
@@ -162,8 +162,8 @@ def _bodies(docs: DataFrame, need: DataFrame) -> DataFrame:
     """The texts of contexts: anchor, doc_id, key, start, body."""
     schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("body", pa.binary())])
 
+    @task("repeats")
     def cut(batches):
-        begins("repeats")
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
@@ -248,8 +248,8 @@ def report(docs: DataFrame) -> DataFrame:
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
+    @task("repeats")
     def digest(batches):
-        begins("repeats")
         for b in batches:
             rows = [(len(data), len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()) for data, starts, _, kept in _kept(b, 1, 2)]
             if rows:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import begins, blocks, fresh_path, text_of, utf8
+from .common import blocks, fresh_path, task, text_of, utf8
 from .tokens import encoder
 
 SCHEMA = "doc_id bigint, n_tokens bigint, start_in_file bigint, ids array<int>"
@@ -31,8 +31,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 1) -> N
     one file, as many as there are. An empty table gives a folder without ids. Other columns go.
     """
 
+    @task("tokens")
     def encode(batches):
-        begins("tokens")
         start = 0
         for b in batches:
             docs_, (data, at) = b.column(0), utf8(b.column(1))
