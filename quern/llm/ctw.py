@@ -5,27 +5,36 @@ behind the last. Each byte is a row of binary decisions along a Huffman code; th
 node of the code in one context (the last 0 to ``DEPTH`` bytes) have a Krichevsky-Trofimov estimate, and the
 estimates of all depths are mixed with the weights of context-tree weighting.
 
-Training counts n-grams of bytes in each task, adds them up by a shuffle, and folds the sums into a
-table of ``SLOTS`` hashed nodes, so what the driver weighs and broadcasts has a fixed size however
-large the corpus is; nothing is left out of the counts, nodes with one hash share a slot.
+Training counts n-grams of bytes in each task and adds them up by a shuffle; nodes have exact keys (the
+context and the node of the code). All n-grams of one context of ``CUT`` bytes meet in one task, which
+weighs the contexts from there to ``DEPTH``; the shorter ones (their number is bounded by the bytes there
+are, not by the corpus) are added up and weighed on the driver. Each distinct n-gram of the documents then
+gets its probability once. That table grows with the corpus: it goes to each executor as sorted files,
+which tasks map and look their n-grams up in.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import os
+import tempfile
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, mix, task, text_of, utf8, written
 
-DEPTH, SLOTS, END = 5, 1 << 23, 10
+DEPTH, CUT, END = 5, 3, 10
 #: Text bytes that a task counts or scores at once; n-grams that it keeps apart before they are added up.
 BLOCK, MERGE = 4 << 20, 1 << 24
+#: N-grams that are folded, weighed or looked up at once.
+GRAMS = 1 << 17
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256)], np.uint8)
 
 
@@ -81,31 +90,42 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return nodes, bits, longest
 
 
-def slot(code: np.ndarray, depth: int, node: np.ndarray, slots: int) -> np.ndarray:
-    """The slot of a node of the Huffman code in the context of the last ``depth`` bytes."""
-    context = (code >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)
-    return (mix(context << np.uint64(8) | node.astype(np.uint64) ^ np.uint64(depth + 1) << np.uint64(56)) & np.uint64(slots - 1)).astype(np.int64)
+def node_keys(codes: np.ndarray, depth: int, node: np.ndarray) -> np.ndarray:
+    """The key of a node of the Huffman code in the context of the last ``depth`` bytes: the context, and the node in the lowest eight bits."""
+    return (codes.view(np.int64) >> 8 & (1 << 8 * depth) - 1) << 8 | node
 
 
-def fold(codes: np.ndarray, counts: np.ndarray, code: tuple, slots: int, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
-    """slot, depth, parent (slot of the shorter context, -1: none), zeros and ones of all nodes that n-grams touch."""
+def shorter(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Of keys at ``depth`` those of the same nodes in the context that is one byte shorter."""
+    return (keys >> 8 & (1 << 8 * (depth - 1)) - 1) << 8 | keys & 255
+
+
+def added(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, ascending, and the sums of their values."""
+    own, inverse = np.unique(keys, return_inverse=True)
+    return own, *[np.bincount(inverse, v, len(own)) for v in values]
+
+
+def fold(codes: np.ndarray, counts: np.ndarray, code: tuple, block: int, depth: int = DEPTH, least: int = 0) -> tuple[list, list, list]:
+    """Keys (ascending), zeros and ones of all nodes that n-grams touch, for each depth from ``least`` on; ``block``: n-grams at once."""
     nodes, bits, longest = code
-    out = []
-    for d in range(depth + 1):
-        low = codes & np.uint64((1 << (8 * (d + 1))) - 1)
-        own, inverse = np.unique(low, return_inverse=True)
-        n = np.bincount(inverse, counts)
-        symbol = (own & np.uint64(255)).astype(np.int64)
+    found = []
+    for k in range(0, len(codes), block):
+        c, n = codes[k : k + block], counts[k : k + block]
+        symbol, parts = (c & np.uint64(255)).astype(np.int64), []
         for j in range(longest):
             on = nodes[symbol, j] >= 0
             if not on.any():
                 break
-            s, node, bit = own[on], nodes[symbol[on], j], bits[symbol[on], j]
-            parent = slot(s, d - 1, node, slots) if d else np.full(len(s), -1)
-            out.append((slot(s, d, node, slots), np.full(len(s), d), parent, np.where(bit == 0, n[on], 0), np.where(bit == 1, n[on], 0)))
-    at, d, parent, zeros, ones = (np.concatenate(x) for x in zip(*out, strict=True))
-    own, first, inverse = np.unique(at, return_index=True, return_inverse=True)
-    return own, d[first], parent[first], np.bincount(inverse, zeros), np.bincount(inverse, ones)
+            bit = bits[symbol[on], j]
+            parts.append((node_keys(c[on], depth, nodes[symbol[on], j]), np.where(bit == 0, n[on], 0), np.where(bit == 1, n[on], 0)))
+        found.append(added(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+    level = added(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    levels = [level]
+    for d in range(depth, least, -1):
+        level = added(shorter(level[0], d), *level[1:])
+        levels.append(level)
+    return tuple(list(x) for x in zip(*levels[::-1], strict=True))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -117,26 +137,34 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return shift + (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3)
 
 
-def weigh(at: np.ndarray, depth: np.ndarray, parent: np.ndarray, zeros: np.ndarray, ones: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each slot the estimate of a one, and the weight of its own estimate against longer contexts'.
+def weighed(keys: list, zeros: list, ones: list, block: int, least: int = 0, below: np.ndarray | None = None) -> tuple[list, list, np.ndarray]:
+    """For each depth from ``least`` on the keys with the estimates of a one, and the weights of the own estimates against longer contexts'.
 
-    Slots without counts have the weight -1: nothing was seen there.
+    Last comes the log probability that each node of the least depth gives to all that it has seen. ``below``: the
+    sums of that over the longer contexts of the deepest nodes; without it those are the tree's leaves.
     """
-    below = np.zeros(slots)
-    estimate, weight = np.full(slots, 0.5, np.float32), np.full(slots, -1, np.float32)
-    half, deepest = math.log(0.5), int(depth.max(initial=0))
-    for d in range(deepest, -1, -1):
-        rows = np.flatnonzero(depth == d)
-        for k in range(0, len(rows), 1 << 20):
-            on = rows[k : k + (1 << 20)]
-            s, a, b = at[on], zeros[on].astype(float), ones[on].astype(float)
+    estimate, weight, half = [], [], math.log(0.5)
+    for d in range(least + len(keys) - 1, least - 1, -1):
+        k = d - least
+        total, e, w = (np.ones(len(keys[k])) for _ in range(3))
+        for i in range(0, len(total), block):
+            on = slice(i, i + block)
+            a, b = zeros[k][on].astype(float), ones[k][on].astype(float)
             own = _lgamma(a + 0.5) + _lgamma(b + 0.5) - math.log(math.pi) - _lgamma(a + b + 1)
-            total = own if d == deepest else np.logaddexp(half + own, half + below[s])
-            weight[s] = 1 if d == deepest else np.exp(half + own - total)
-            estimate[s] = (b + 0.5) / (a + b + 1.0)
-            if d:
-                np.add.at(below, parent[on], total)
-    return estimate, weight
+            total[on] = own if below is None else np.logaddexp(half + own, half + below[on])
+            if below is not None:
+                w[on] = np.exp(half + own - total[on])
+            e[on] = (b + 0.5) / (a + b + 1.0)
+        estimate.append((keys[k], e))
+        weight.append(w)
+        if k:
+            below = np.bincount(np.searchsorted(keys[k - 1], shorter(keys[k], d)), total, len(keys[k - 1]))
+    return estimate[::-1], weight[::-1], total
+
+
+def weigh(keys: list, zeros: list, ones: list, block: int) -> tuple[list, list]:
+    """``weighed`` of a whole tree, without the total."""
+    return weighed(keys, zeros, ones, block)[:2]
 
 
 def log10_probability(codes: np.ndarray, model: tuple, depth: int = DEPTH) -> np.ndarray:
@@ -150,21 +178,24 @@ def log10_probability(codes: np.ndarray, model: tuple, depth: int = DEPTH) -> np
         c, node, bit = codes[on], nodes[symbol[on], j], bits[symbol[on], j]
         p = np.full(len(on), np.nan)
         for d in range(depth, -1, -1):
-            s = slot(c, d, node, len(estimate))
-            w, e = weight[s].astype(float), estimate[s].astype(float)
-            p = np.where(w < 0, p, np.where(np.isnan(p), e, w * e + (1 - w) * p))
+            (keys, e), w = estimate[d], weight[d]
+            if not len(keys):
+                continue
+            key = node_keys(c, d, node)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            p = np.where(keys[at] != key, p, np.where(np.isnan(p), e[at], w[at] * e[at] + (1 - w[at]) * p))
         p = np.where(np.isnan(p), 0.5, p)
         out[on] += np.log10(np.where(bit == 1, p, 1 - p))
     return out
 
 
 class Scorer:
-    """Log probabilities of n-grams with a memory of those met before."""
+    """Log probabilities of n-grams from a table of all of them (ascending), with a memory of those met before."""
 
     SIZE = 1 << 21
 
-    def __init__(self, model: tuple, depth: int = DEPTH):
-        self.model, self.depth = model, depth
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        self.table = grams, values
         self.codes, self.values = np.zeros(self.SIZE, np.uint64), np.full(self.SIZE, np.nan)
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
@@ -172,8 +203,12 @@ class Scorer:
         out = np.where(self.codes[at] == codes, self.values[at], np.nan)
         new = np.isnan(out)
         if new.any():
+            grams, values = self.table
             own, inverse = np.unique(codes[new], return_inverse=True)
-            found = np.concatenate([log10_probability(own[k : k + (1 << 18)], self.model, self.depth) for k in range(0, len(own), 1 << 18)])
+            place = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+            if (grams[place] != own).any():
+                raise ValueError("an n-gram was not counted: the documents have changed between two readings")
+            found = values[place]
             out[new] = found[inverse]
             at = (mix(own) & np.uint64(self.SIZE - 1)).astype(np.int64)
             self.codes[at], self.values[at] = own, found
@@ -189,8 +224,13 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def train(docs: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> tuple:
-    """The model from whole texts: estimates and weights by slot, and the Huffman code."""
+def _is_held_out(ids: pa.Array) -> np.ndarray:
+    """``held_out`` in a task."""
+    return np.array([zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0 for d in ids.to_pylist()], bool)
+
+
+def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """gram and n of all n-grams of the texts; those of held-out texts count nothing."""
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     @task("ctw")
@@ -201,11 +241,14 @@ def train(docs: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> tuple:
             own, inverse = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
             return own, np.bincount(inverse, np.concatenate([k[1] for k in kept])).astype(np.int64)
 
+        mark = np.uint64(1 << 63)
         for b in batches:
             data, at = utf8(b.column(1))
+            held = _is_held_out(b.column(0)).astype(np.uint64) * mark
             for i, j in blocks(np.diff(at), BLOCK):
                 stream, ends = canonical(data, at[i : j + 1])
-                kept.append(np.unique(grams(stream, ends, depth), return_counts=True))
+                own, n = np.unique(grams(stream, ends, depth) | np.repeat(held[i:j], np.diff(ends)), return_counts=True)
+                kept.append((own & ~mark, np.where(own & mark, 0, n)))
                 if sum(len(k[0]) for k in kept) > MERGE // 4:
                     kept = [merged()]
                     if len(kept[0][0]) > MERGE // 8:  # too many to keep: the shuffle adds them up
@@ -215,36 +258,111 @@ def train(docs: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> tuple:
             own, n = merged()
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], schema=schema)
 
-    counted = written(docs.select("doc_id", "text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    return docs.select("doc_id", "text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _whole_contexts(batches):
+    """N-grams and their counts, from batches (gram, n, context) in order of contexts; each context's come at once."""
+    held, size = [], 0
+
+    def joined():
+        table = pa.Table.from_batches(held)
+        return table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+
+    for b in batches:
+        context = b.column(2).to_numpy()
+        if not len(context):
+            continue
+        if size >= GRAMS:
+            # Up to where the first new context begins.
+            last = held[-1].column(2)[-1].as_py()
+            cut = int(np.searchsorted(context, last, "right"))
+            held.append(b.slice(0, cut))
+            if cut == len(context):
+                size += cut
+                continue
+            yield joined()
+            b, held, size = b.slice(cut), [], 0
+        held.append(b)
+        size += b.num_rows
+    if held:
+        yield joined()
+
+
+def train(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """gram and value: of each n-gram of the documents the log10 of its last byte's probability in the bytes before, by the texts that are not held out."""
+    cut = min(CUT, depth)
+    counted = written(gram_counts(docs, depth), "grams")
     histogram = np.zeros(256, np.int64)
     for symbol, n in counted.groupBy(F.col("gram").bitwiseAND(F.lit(255).cast("bigint"))).agg(F.sum("n")).collect():  # 256 rows at most
         histogram[symbol] = n
     code = huffman(histogram)
-    node_schema = pa.schema([("slot", pa.int32()), ("depth", pa.int32()), ("parent", pa.int32()), ("zeros", pa.float64()), ("ones", pa.float64())])
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * cut) - 1).cast("bigint"))
+    dealt = counted.select("gram", "n", context.alias("context")).repartition("context").sortWithinPartitions("context")
+
+    def tree(codes: np.ndarray, n: np.ndarray) -> tuple:
+        """The nodes of contexts of ``cut`` bytes and more."""
+        return fold(codes[n > 0], n[n > 0], code, GRAMS, depth, cut)
+
+    schema = pa.schema([("key", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("below", pa.float64())])
 
     @task("ctw")
-    def nodes(batches):
-        def folded():
-            table = pa.Table.from_batches(held)
-            columns = fold(table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy(), code, slots, depth)
-            return pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip(columns, node_schema, strict=True)], schema=node_schema)
+    def tops(batches):
+        for codes, n in _whole_contexts(batches):
+            keys, zeros, ones = tree(codes, n)
+            total = weighed(keys, zeros, ones, GRAMS, cut)[2]
+            columns = added(shorter(keys[0], cut), zeros[0], ones[0], total)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
+
+    top: tuple = ([], [])
+    if cut:
+        sums = dealt.mapInArrow(tops, "key bigint, zeros double, ones double, below double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+        found = sums.toArrow().sort_by("key")  # contexts of CUT - 1 bytes: a bounded number, however large the corpus
+        levels = [tuple(found.column(c).to_numpy() for c in ("key", "zeros", "ones"))]
+        for d in range(cut - 1, 0, -1):
+            levels.append(added(shorter(levels[-1][0], d), *levels[-1][1:]))
+        top = weighed(*(list(x) for x in zip(*levels[::-1], strict=True)), GRAMS, 0, found.column("below").to_numpy())[:2]
+    shared = docs.sparkSession.sparkContext.broadcast(top)
+    values = pa.schema([("gram", pa.int64()), ("value", pa.float64())])
 
-        held, size = [], 0
+    @task("ctw")
+    def valued(batches):
+        for codes, n in _whole_contexts(batches):
+            estimate, weight, _ = weighed(*tree(codes, n), GRAMS, cut)
+            model = (shared.value[0] + estimate, shared.value[1] + weight, code)
+            for k in range(0, len(codes), GRAMS):
+                own = codes[k : k + GRAMS]
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(log10_probability(own, model, depth))], schema=values)
+
+    return written(dealt.mapInArrow(valued, "gram bigint, value double"), "values")
+
+
+def _sent(values: DataFrame) -> str:
+    """Sends gram and value, in order of grams, to each executor; returns what their files are named by.
+
+    The driver holds one piece at a time. The files stay until the application ends.
+    """
+    schema = pa.schema([("first", pa.int64()), ("gram", pa.binary()), ("value", pa.binary())])
+
+    def packed(batches):
         for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size >= 1 << 19:
-                yield folded()
-                held, size = [], 0
-        if held:
-            yield folded()
-
-    # A slot that nodes share belongs to the shallowest of them.
-    table = counted.mapInArrow(nodes, "slot int, depth int, parent int, zeros double, ones double").groupBy("slot").agg(F.min(F.struct("depth", "parent")).alias("own"), F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones"))
-    found = table.select("slot", F.col("own.depth").cast("byte").alias("depth"), F.col("own.parent").alias("parent"), "zeros", "ones").toArrow()  # SLOTS rows at most
-    columns = [found.column(c).to_numpy() for c in ("slot", "depth", "parent", "zeros", "ones")]
-    del found
-    return (*weigh(*columns, slots), code)
+            if b.num_rows:
+                g, v = (x.to_numpy() for x in b.columns)
+                yield pa.RecordBatch.from_arrays([pa.array(g[:1]), pa.array([g.tobytes()]), pa.array([v.tobytes()])], schema=schema)
+
+    name, last = f"lm-{uuid.uuid4().hex}", -1
+    at = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quern-lm-")), name)
+    pieces = values.repartitionByRange("gram").sortWithinPartitions("gram").mapInArrow(packed, "first bigint, gram binary, value binary")
+    with open(f"{at}.grams", "wb") as own, open(f"{at}.values", "wb") as logs:
+        for first, g, v in pieces.toLocalIterator():
+            if first <= last:
+                raise ValueError("pieces of the table of n-grams came out of order")
+            last = first
+            own.write(g)
+            logs.write(v)
+    for kind in ("grams", "values"):
+        values.sparkSession.sparkContext.addFile(f"{at}.{kind}")
+    return name
 
 
 #: Words that are broadcast with their counts; the others meet theirs in a join.
@@ -276,7 +394,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.binary()))])
 
 
-def scored(docs: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> DataFrame:
+RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
+
+
+def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document.
 
     Documents that are not held out are learned from, and all are scored. score is the log10
@@ -286,7 +407,9 @@ def scored(docs: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> DataFrame
     """
     spark = docs.sparkSession
     docs = text_of(docs, "doc_id")
-    model = train(_training(docs), slots, depth)
+    if docs.isEmpty():
+        return spark.createDataFrame([], RESULT)
+    table = _sent(train(docs, depth))
     counted = written(word_counts(_training(docs)), "words")
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = _training(docs).count()
@@ -294,12 +417,12 @@ def scored(docs: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> DataFrame
     below = total + 0.1 * (distinct + 1)
     head = counted.orderBy(F.desc("n"), "word").limit(HEAD)
     known = {bytes(w.as_py()): c for b in head.toArrow().to_batches() for w, c in zip(b.column(0), b.column(1).to_pylist(), strict=True)}  # HEAD rows at most
-    shared = spark.sparkContext.broadcast((model, known))
+    shared = spark.sparkContext.broadcast(known)
 
     @task("ctw")
     def score(batches):
-        (own, counts), end = shared.value, (math.log10((ends + 0.1) / below), int(ends > 0))
-        probability = Scorer(own, depth)
+        counts, end = shared.value, (math.log10((ends + 0.1) / below), int(ends > 0))
+        probability = Scorer(*(np.memmap(SparkFiles.get(f"{table}.{kind}"), t, "r") for kind, t in (("grams", np.uint64), ("values", np.float64))))
         logs = {w: math.log10((c + 0.1) / below) for w, c in counts.items()}
         for b in batches:
             data, at = utf8(b.column(1))
@@ -313,8 +436,7 @@ def scored(docs: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> DataFrame
                     rows.append((len(words) + 1, len(words) - len(rare) + end[1], math.fsum(logs[w] for w in words if w in logs) + end[0], rare))
                 tokens, n_known, base, rare = zip(*rows, strict=True)
                 ids = b.column(0)[i:j]
-                held = pa.array([zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0 for d in ids.to_pylist()])
-                yield pa.RecordBatch.from_arrays([ids, held, pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(sums), pa.array(np.diff(ends_)), pa.array(rare, pa.list_(pa.binary()))], schema=_SCORED)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(_is_held_out(ids)), pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(sums), pa.array(np.diff(ends_)), pa.array(rare, pa.list_(pa.binary()))], schema=_SCORED)
 
     rows = docs.mapInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint, rare array<binary>")
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")

@@ -447,6 +447,61 @@ def test_lm_scoring(spark, documents, monkeypatch):
     assert ctw.scored(documents.limit(0)).count() == 0
 
 
+def test_lm_scores_are_of_exact_contexts(spark, monkeypatch):
+    """Against a tree of dictionaries that has every node by its own name."""
+    import math
+
+    monkeypatch.setattr(ctw, "GRAMS", 200)
+    rng = random.Random(8)
+    rows = [(k, " ".join("".join(rng.choice("abcdeé7") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 60)))) for k in range(60)]
+    streams = {d: (b"\n" * 5 + b" ".join(t.encode().split()) + b"\n") for d, t in rows}
+    learned = [b for d, b in streams.items() if zlib.crc32(str(d).encode()) % 10]
+    assert 0 < len(learned) < len(rows)
+    histogram = np.bincount(np.frombuffer(b"".join(b[5:] for b in learned), np.uint8), minlength=256)
+    nodes, bits, _ = ctw.huffman(histogram)
+    path = [[(int(n), int(b)) for n, b in zip(nodes[c], bits[c], strict=True) if n >= 0] for c in range(256)]
+    seen, longer = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for b in learned:
+        for k in range(5, len(b)):
+            for node, bit in path[b[k]]:
+                for d in range(6):
+                    seen[b[k - d : k], node][bit] += 1
+                    if d:
+                        longer[b[k - d + 1 : k], node].add((b[k - d : k], node))
+
+    own = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    total, weight = {}, {}
+    for key in sorted(seen, key=lambda x: -len(x[0])):
+        e = own(*seen[key])
+        total[key] = e if len(key[0]) == 5 else float(np.logaddexp(e, sum(total[x] for x in longer[key])) + math.log(0.5))
+        weight[key] = 1.0 if len(key[0]) == 5 else math.exp(math.log(0.5) + e - total[key])
+
+    def probability(context, node, bit):
+        p = None
+        for d in range(5, -1, -1):
+            key = context[5 - d :], node
+            if key in seen:
+                e = (seen[key][1] + 0.5) / (sum(seen[key]) + 1)
+                p = e if p is None else weight[key] * e + (1 - weight[key]) * p
+        p = 0.5 if p is None else p
+        return p if bit else 1 - p
+
+    expected = {d: sum(math.log10(probability(b[k - 5 : k], node, bit)) for k in range(5, len(b)) for node, bit in path[b[k]]) for d, b in streams.items()}
+    got = {r.doc_id: r.score for r in ctw.scored(docs_of(spark, rows)).collect()}
+    assert got == {d: pytest.approx(x, rel=1e-7) for d, x in expected.items()}
+
+
+def test_lm_table_grows_with_the_corpus(spark):
+    """Every n-gram of all texts has its own row, whatever their number."""
+    rows = [(k, f"{zlib.crc32(str(k).encode()):x} {k:x}") for k in range(3000)]
+    own = set()
+    for _, t in rows:
+        b = b"\n" * 5 + t.encode() + b"\n"
+        own.update(b[k - 5 : k + 1] for k in range(5, len(b)))
+    table = ctw.train(docs_of(spark, rows).select("doc_id", "text"))
+    assert table.count() == table.select("gram").distinct().count() == len(own)
+
+
 def test_model_beats_words_on_held_out_texts(spark):
     rows = ctw.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]
