@@ -5,6 +5,8 @@ it, so equal windows have equal anchors. Neighbouring windows of one anchor are
 meet by their anchors; equal ones are repeated as they are, and of each anchor under which different
 contexts stand (or one that may hold a window twice) the contexts' texts form shards, which are
 sorted by external induced sorting: there a window is repeated if it shares ``LENGTH`` bytes with a neighbour.
+The contexts of an anchor that has more than a shard are split by the bytes beside the anchor (``parted``), again and
+again as long as a key has more; in the end by whole windows, so that no task sorts much more than two shards.
 Windows belong to one context each, so no window meets itself, and no repetition is split between shards.
 """
 
@@ -19,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, mix, task, text_of, utf8, written
+from .common import blocks, few, mix, task, text_of, utf8, written
 from .induced import repeated_starts
 
 LENGTH, GRAM = 200, 64
-#: Grams of a window; text bytes that are looked at once; bytes of a shard, unless one anchor has more.
+#: Grams of a window; text bytes that are looked at once; bytes of a shard, and the most of one key.
 GRAMS, BLOCK, SHARD = LENGTH - GRAM + 1, 1 << 20, 1 << 20
 #: What is known of a context: it was met several times, it is decided, it may repeat itself.
 SEVERAL, DECIDED, ITSELF = 1, 2, 4
@@ -81,12 +83,60 @@ def contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[first], anchor, hashes, first - at[doc[first]], n, itself * ITSELF
 
 
+def zone_lengths() -> list[int]:
+    """The bytes around the anchor by which windows meet, for each level of parting: half of what is left is added each time."""
+    out = [GRAM]
+    while out[-1] < LENGTH:
+        out.append(out[-1] + (LENGTH - out[-1] + 1) // 2)
+    return out
+
+
+def parted(data: np.ndarray, at: np.ndarray, anchor: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+    """body, key, hash, start and number of windows of the parts of some contexts' bodies.
+
+    In each window a zone around its first anchor grows to ``zone_lengths()[level]`` bytes: by half of what is left of
+    the window before it if there is so much, else by as much behind it. That depends on the window alone, so equal
+    windows have equal zones, whose bytes are the key. Neighbouring windows with one zone are a part; it holds no window twice.
+    """
+    at = at - (base := at[0])
+    text = data[base : base + at[-1]]
+    body = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = np.arange(len(text))
+    w = place[place + LENGTH <= at[body + 1]]
+    if not len(w):
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    h = gram_hashes(text)
+    met = np.flatnonzero(h == anchor[body[: len(h)]])
+    met = met[met + GRAM <= at[body[met] + 1]]
+    left, sizes = met[np.searchsorted(met, w)] - w, zone_lengths()
+    for before, now in zip(sizes[:level], sizes[1 : level + 1], strict=True):
+        left = np.where(left >= now - before, left - (now - before), left)
+    zone, own = w + left, body[w]
+    first = np.flatnonzero(np.append(True, (zone[1:] != zone[:-1]) | (own[1:] != own[:-1])))
+    n = np.diff(np.append(first, len(w)))
+    raw, begin, zone = text.tobytes(), w[first], zone[first]
+    keys = np.array([xxhash.xxh3_64_intdigest(raw[a : a + sizes[level]]) for a in zone.tolist()], np.uint64)
+    hashes = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), (begin + n + LENGTH - 1).tolist(), strict=True)], np.uint64)
+    return own[first], keys, hashes, begin - at[own[first]], n
+
+
+def settled(doc: np.ndarray, anchor: np.ndarray, hashes: np.ndarray, start: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors and what is known: of equal contexts in one block one goes on to meet others; the others are decided and dealt out anyhow."""
+    _, first, inverse, count = np.unique(anchor ^ mix(hashes), return_index=True, return_inverse=True, return_counts=True)
+    known = known | np.where(count[inverse] > 1, SEVERAL, 0)
+    later = np.ones(len(doc), bool)
+    later[first] = False
+    with np.errstate(over="ignore"):
+        anchor = np.where(later, mix(anchor + start.astype(np.uint64) * _P[0] + doc.astype(np.uint64) * _P[1]), anchor)
+    return anchor, np.where(later, DECIDED, known)
+
+
 _CONTEXTS = pa.schema([("anchor", pa.int64()), ("hash", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("known", pa.int32())])
 CONTEXTS = "anchor bigint, hash bigint, doc_id bigint, key bigint, start int, n int, known int"
 
 
 def _all_contexts(docs: DataFrame) -> DataFrame:
-    """The contexts of all documents. Of equal ones in one block one goes on to meet others; the others are decided and dealt out anyhow."""
+    """The contexts of all documents."""
 
     @task("repeats")
     def find(batches):
@@ -97,13 +147,7 @@ def _all_contexts(docs: DataFrame) -> DataFrame:
                 doc, anchor, hashes, start, n, known = contexts(data, at[i : j + 1])
                 if not len(doc):
                     continue
-                _, first, inverse, count = np.unique(anchor ^ mix(hashes), return_index=True, return_inverse=True, return_counts=True)
-                known = known | np.where(count[inverse] > 1, SEVERAL, 0)
-                later = np.ones(len(doc), bool)
-                later[first] = False
-                known = np.where(later, DECIDED, known)
-                with np.errstate(over="ignore"):
-                    anchor = np.where(later, mix(anchor + start.astype(np.uint64) * _P[0] + doc.astype(np.uint64) * _P[1]), anchor)
+                anchor, known = settled(doc, anchor, hashes, start, known)
                 rows = pa.array(doc + i)
                 columns = [pa.array(anchor.view(np.int64)), pa.array(hashes.view(np.int64)), ids.take(rows), keys.take(rows), *[pa.array(x.astype(np.int32)) for x in (start, n, known)]]
                 yield pa.RecordBatch.from_arrays(columns, schema=_CONTEXTS)
@@ -182,23 +226,73 @@ def _bodies(docs: DataFrame, need: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, "anchor bigint, doc_id bigint, key bigint, start int, body binary")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, key, start, n: runs of windows (n of them from byte start on) that occur elsewhere too.
+def _parts(bodies: DataFrame, level: int) -> DataFrame:
+    """The parts of contexts, from their bodies: as contexts, with the gram of their anchor."""
+    schema = _CONTEXTS.append(pa.field("gram", pa.int64()))
 
-    ``docs`` has doc_id, key (of doc_id and text) and text.
-    """
+    @task("repeats")
+    def part(batches):
+        for b in batches:
+            data, at = utf8(b.column(4))
+            grams, starts = b.column(0).to_numpy().view(np.uint64), b.column(3).to_numpy()
+            for i, j in blocks(np.diff(at), BLOCK):
+                # A body may be cut between windows: those of one key meet again.
+                for k in range(0, max(1, int(at[j] - at[i]) - LENGTH + 1), BLOCK) if j == i + 1 else (0,):
+                    ends = np.array([at[i] + k, min(at[j], at[i] + k + BLOCK + LENGTH - 1)]) if j == i + 1 else at[i : j + 1]
+                    body, anchor, hashes, start, n = parted(data, ends, grams[i:j], level)
+                    if not len(body):
+                        continue
+                    start = start + starts[i:j][body] + k
+                    anchor, known = settled(body + i, anchor, hashes, start, np.zeros(len(body), np.int64))
+                    rows = pa.array(body + i)
+                    columns = [pa.array(anchor.view(np.int64)), pa.array(hashes.view(np.int64)), b.column(1).take(rows), b.column(2).take(rows), *[pa.array(x.astype(np.int32)) for x in (start, n, known)], b.column(0).take(rows)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return bodies.mapInArrow(part, f"{CONTEXTS}, gram bigint")
+
+
+def _met(contexts: DataFrame) -> DataFrame:
+    """Contexts (and their grams) that are repeated, and those that are asked for: whose texts have to be compared."""
     own = Window.partitionBy("anchor")
     ordered = own.orderBy("hash", "doc_id", "key", "start")
-    met = _all_contexts(docs).withColumns({"before": F.lag("hash").over(ordered), "after": F.lead("hash").over(ordered)})
+    met = contexts.withColumns({"before": F.lag("hash").over(ordered), "after": F.lead("hash").over(ordered)})
     met = met.withColumn("different", F.max((F.col("before") != F.col("hash")).cast("int")).over(own))
     again, next_same = F.coalesce(F.col("before") == F.col("hash"), F.lit(False)), F.coalesce(F.col("after") == F.col("hash"), F.lit(False))
     repeated = again | next_same | (F.col("known").bitwiseAND(F.lit(SEVERAL | DECIDED)) > 0)
     # One of each kind of context under an anchor with several kinds, and those that may repeat themselves.
     asked = ~again & (F.col("known").bitwiseAND(F.lit(DECIDED)) == 0) & ((F.coalesce("different", F.lit(0)) == 1) | ((F.col("known").bitwiseAND(F.lit(ITSELF)) > 0) & ~repeated))
-    found = met.withColumns({"repeated": repeated, "asked": asked}).filter("repeated or asked").select("anchor", "doc_id", "key", "start", "n", "repeated", "asked")
-    found = written(found, "contexts")
-    shards = _sorted_shards(_bodies(docs, found.filter("asked").select("anchor", "doc_id", "key", "start", "n")))
-    return found.filter("repeated").select("doc_id", "key", "start", "n").unionByName(shards)
+    found = met.withColumns({"repeated": repeated, "asked": asked}).filter("repeated or asked")
+    # The anchor of a context that is asked for is its gram, but for parts.
+    return found.select("anchor", "doc_id", "key", "start", "n", "repeated", "asked", *[c for c in contexts.columns if c == "gram"])
+
+
+def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs of windows that are repeated, and contexts (anchor, doc_id, key, start, n) to be sorted, of no key more than a shard."""
+    runs, context = ["doc_id", "key", "start", "n"], ["anchor", "doc_id", "key", "start", "n"]
+    found = written(_met(_all_contexts(docs)), "contexts")
+    repeated, asked, small = found.filter("repeated").select(*runs), found.filter("asked").withColumn("gram", F.col("anchor")), []
+    for level in range(1, len(zone_lengths())):
+        large = written(asked.groupBy("anchor").agg(F.sum(F.col("n") + F.lit(LENGTH - 1)).alias("size")).filter(F.col("size") > SHARD).select("anchor"), "large")
+        if large.isEmpty():
+            break
+        large = few(large)
+        small.append(asked.join(large, "anchor", "left_anti").select(*context))
+        need = asked.join(large, "anchor", "left_semi").select(F.col("gram").alias("anchor"), *runs)
+        found = written(_met(_parts(_bodies(docs, need), level)), "parts")
+        repeated, asked = repeated.unionByName(found.filter("repeated").select(*runs)), found.filter("asked")
+    asked = asked.select(*context)
+    for other in small:
+        asked = asked.unionByName(other)
+    return repeated, asked
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """doc_id, key, start, n: runs of windows (n of them from byte start on) that occur elsewhere too.
+
+    ``docs`` has doc_id, key (of doc_id and text) and text.
+    """
+    repeated, asked = groups(docs)
+    return repeated.unionByName(_sorted_shards(_bodies(docs, asked)))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -398,6 +398,20 @@ def test_repeats(spark, documents):
     assert {r.doc_id for r in left.collect()} == expected
 
 
+def test_repeats_of_an_anchor_with_more_than_a_shard(spark, monkeypatch):
+    """Passages of 100 to 199 bytes in all texts, with other bytes around them: no key keeps more than a shard, and nothing is lost."""
+    monkeypatch.setattr(repeats, "SHARD", 3000)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages, tails = [text(n) for n in (100, 150, 190, 199)], [text(90) for _ in range(5)]
+    rows = [(k, "".join(rng.choice([text(150), rng.choice(tails)]) + p + rng.choice([text(150), rng.choice(tails)]) for p in passages)) for k in range(60)]
+    rows += [(100, "ab" * 4000), (101, "a" * 5000), (102, text(300) + "c" * 900), (103, rows[0][1]), (104, rows[1][1][:700])]
+    docs = docs_of(spark, rows)
+    assert Counter(tuple(r) for r in repeats.report(docs).collect()) == Counter(brute_repeats(rows))
+    _, asked = repeats.groups(repeats._keyed(docs))
+    assert max(r[0] for r in asked.groupBy("anchor").agg(F.sum(F.col("n") + 199)).select(F.col("sum((n + 199))")).collect()) <= 3000
+
+
 def test_ctw_adds_up_to_one():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 101, 4000).astype(np.uint8)
