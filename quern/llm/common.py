@@ -6,34 +6,105 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a local session) a temporary folder is set.
+    Only where that setting is absent in a local session (tests) a temporary folder is set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quern-checkpoint-')}")
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/quern-{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder that goes when the application ends, if it has not gone before."""
+    path = f"{shared_dir(spark)}/quern-{what}-{uuid.uuid4().hex}"
+    fs, p = filesystem(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Texts go to Python in batches of ``BATCH`` rows at most in here: 10,000 long ones are too much for a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if int(before) > BATCH or int(before) <= 0:
+        spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: Rows that a task writes at least, where their number is known before.
+TASK_ROWS = 50_000
+_rows: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def fewer(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has ``rows`` rows at most, in no more tasks than these need."""
+    tasks = rows // TASK_ROWS + 1
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _stored(df: DataFrame, what: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """The written table and its path. ``rows`` bounds the rows: few of them are written by few tasks."""
+    spark, path, seen = df.sparkSession, fresh_path(df.sparkSession, what), Observation()
+    if rows is not None:
+        df = fewer(df, rows)
+    with small_batches(spark):
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _rows[table] = seen.get["rows"]
+    return table, path
+
+
+def rows_of(table: DataFrame) -> int:
+    """The number of rows, known if the table was written by ``Work``."""
+    return _rows[table] if table in _rows else table.count()
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, and safe against lost executors."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder: computed once, and safe against lost executors; it stays until the application ends."""
+    return _stored(df, what)[0]
+
+
+class Work:
+    """Tables in the shared folder that go when the work ends, but for its results."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Work:
+        return self
+
+    def written(self, df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+        """A table for use within the work; ``rows``: it cannot have more."""
+        table, path = _stored(df, what, rows)
+        self.paths.append(path)
+        return table
+
+    def result(self, df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+        """A table that outlives the work."""
+        return _stored(df, what, rows)[0]
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -104,19 +175,13 @@ _libc = _c_library()
 
 
 def text_of(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """The kept columns and the text, a null text as an empty one; other columns go.
-
-    Texts go to Python in batches of ``BATCH`` rows at most: 10,000 long ones are too much for a worker.
-    """
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    """The kept columns and the text, a null text as an empty one; other columns go."""
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """A written table of ids for the small side of a join: broadcast if it has ``FEW`` rows at most, else as it is."""
-    return F.broadcast(ids) if ids.count() <= FEW else ids
+def few(ids: DataFrame, at_most: int = FEW, rows: int | None = None) -> DataFrame:
+    """A written table of ids for the small side of a join: broadcast if it has ``at_most`` rows, else as it is."""
+    return F.broadcast(ids) if (rows_of(ids) if rows is None else rows) <= at_most else ids
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -347,6 +347,54 @@ def test_near_dedup_against_all_pairs(spark, documents):
     assert neardup.classes(df.limit(0)).count() == 0 and neardup.classes(documents).count() == len(odd_rows())
 
 
+def test_near_dedup_keyed_by_text(spark):
+    """One doc_id at several texts, and null ones."""
+    rng = random.Random(5)
+    base, other = ([f"w{rng.randint(0, 10**6)}" for _ in range(200)] for _ in range(2))
+    near = [*base[:50], "changed", *base[51:]]
+    a, b, n, more = (" ".join(x) for x in (other, base, near, [*base, "word"]))
+    df = docs_of(spark, [(1, a), (1, b), (2, n), (None, more), (None, more), (3, None), (3, ""), (None, "")])
+    found = Counter(tuple(r) for r in neardup.classes(df).collect())
+    assert found == Counter({(1, 1, 1): 2, (2, 2, 1): 1, (None, None, 1): 2, (3, 3, 3): 2, (None, None, None): 1})
+    kept = Counter((r.doc_id, r.text) for r in neardup.deduplicated(df).collect())
+    assert kept == Counter([(1, a), (1, b), (3, None), (3, ""), (None, "")])
+    rows = docs_of(spark, [(1, "a b c d e f"), (1, "u v w x y z"), (0, "u v w x y z")])
+    assert sorted((r.doc_id, r.text[0]) for r in neardup.deduplicated(rows).collect()) == [(0, "u"), (1, "a")]
+    assert Counter(tuple(r) for r in neardup.classes(docs_of(spark, [(None, b), (None, n)])).collect()) == Counter({(None, None, None): 2})
+
+
+def test_components_of_many_edges(spark):
+    """Rounds over tables and one task give the same components."""
+    from quern.llm.common import Work
+
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 440)]
+    edges = spark.createDataFrame(rows, "a bigint, b bigint")
+    with Work(spark) as work:
+        found = [sorted(map(tuple, neardup.components(edges, work, bound=n).collect())) for n in (0, 10, 10**6)]
+        assert neardup.components(edges.limit(0), work) is None
+    assert found[0] == found[1] == found[2] and len(found[0]) > 200
+
+
+def test_near_dedup_recall(spark):
+    """Shares of the pairs that are found, by similarity: banding finds nearly all pairs at 0.8, and the exact check none below."""
+    rng = random.Random(9)
+    rows, like = [], []
+    for k in range(400):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        own = list(base)
+        for place in rng.sample(range(0, 196, 5), rng.randint(1, 9)):
+            own[place] = f"n{k}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(own))]
+        like.append(neardup.similarity(elements_of(rows[-1][1]), elements_of(rows[-2][1])))
+    found = {r.doc_id: r.class_id for r in neardup.classes(docs_of(spark, rows)).collect()}
+    caught = [found[2 * k] == found[2 * k + 1] for k in range(400)]
+    assert not any(c for c, x in zip(caught, like, strict=True) if x < 0.8)
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1)):
+        own = [c for c, x in zip(caught, like, strict=True) if low <= x < high]
+        assert len(own) > 20 and sum(own) >= 0.99 * len(own)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=80), st.integers(1, 5), st.integers(0, 2))
 def test_induced_sorting(values, times, limit):
