@@ -39,15 +39,16 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 @contextmanager
 def small_batches(spark: SparkSession):
-    """Texts go to Python in batches of ``BATCH`` rows at most in here: 10,000 long ones are too much for a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if int(before) > BATCH or int(before) <= 0:
-        spark.conf.set(name, str(BATCH))
+    """Rows go to Python in batches of ``BATCH`` rows and some ``BATCH_BYTES`` at most in here: 10,000 long texts are too much for a worker."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name) for name in most}
+    for name, n in most.items():
+        spark.conf.set(name, str(n))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 #: Rows that a task writes at least, where their number is known before.
@@ -119,7 +120,7 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-BATCH = 1000
+BATCH, BATCH_BYTES = 1000, 8 << 20
 #: Rows of ids (some 40 bytes each in a hash table) that are broadcast at most.
 FEW = 500_000
 _tables: dict[str, object] = {}

@@ -3,38 +3,42 @@
 Texts become canonical bytes: their words (A-Z lower-cased) with one space between and a line end
 behind the last. Each byte is a row of binary decisions along a Huffman code; the decisions of one
 node of the code in one context (the last 0 to ``DEPTH`` bytes) have a Krichevsky-Trofimov estimate, and the
-estimates of all depths are mixed with the weights of context-tree weighting.
-
-Training counts n-grams of bytes in each task and adds them up by a shuffle; nodes have exact keys (the
-context and the node of the code). All n-grams of one context of ``CUT`` bytes meet in one task, which
-weighs the contexts from there to ``DEPTH``; the shorter ones (their number is bounded by the bytes there
-are, not by the corpus) are added up and weighed on the driver. Each distinct n-gram of the documents then
-gets its probability once. That table grows with the corpus: it goes to each executor as sorted files,
-which tasks map and look their n-grams up in.
+estimates of all depths are mixed with the weights of context-tree weighting. Nodes have exact keys (the
+context and the node of the code).
+
+No table of the whole corpus is ever in one place. Texts are taken in blocks; each block asks for its distinct
+n-grams and words (with their counts in texts that are learned from), which are dealt to buckets, n-grams by the last ``CUT``
+bytes of their context. A bucket adds up its counts, weighs its part of the tree (contexts from ``CUT`` to
+``DEPTH`` bytes), and answers each block with the values of what that has asked for; the block's texts then meet the answers.
+The contexts shorter than ``CUT`` (their number is bounded by the bytes there are, not by the corpus) are
+added up from the buckets and weighed on the driver.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import os
-import tempfile
-import uuid
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, task, text_of, utf8, written
+from .common import Work, blocks, mix, task, text_of, utf8
 
 DEPTH, CUT, END = 5, 3, 10
-#: Text bytes that a task counts or scores at once; n-grams that it keeps apart before they are added up.
-BLOCK, MERGE = 4 << 20, 1 << 24
-#: N-grams that are folded, weighed or looked up at once.
-GRAMS = 1 << 17
+#: Canonical bytes of a block, and of those that are counted or scored at once.
+BLOCK, PIECE = 16 << 20, 2 << 20
+#: Text bytes for each bucket, and the most buckets (what is distinct in a bucket grows slowly then; a bucket's questions pass by in a stream).
+BUCKET, MOST_BUCKETS = 16 << 20, 1 << 14
+#: N-grams that are folded, weighed or looked up at once, and that are kept apart before they are added up.
+GRAMS, MERGE = 1 << 17, 1 << 21
+#: Buckets' sums over short contexts are added up by so many tasks before they reach the driver.
+TOPS = 16
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256)], np.uint8)
 
 
@@ -189,36 +193,6 @@ def log10_probability(codes: np.ndarray, model: tuple, depth: int = DEPTH) -> np
     return out
 
 
-class Scorer:
-    """Log probabilities of n-grams from a table of all of them (ascending), with a memory of those met before."""
-
-    SIZE = 1 << 21
-
-    def __init__(self, grams: np.ndarray, values: np.ndarray):
-        self.table = grams, values
-        self.codes, self.values = np.zeros(self.SIZE, np.uint64), np.full(self.SIZE, np.nan)
-
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
-        at = (mix(codes) & np.uint64(self.SIZE - 1)).astype(np.int64)
-        out = np.where(self.codes[at] == codes, self.values[at], np.nan)
-        new = np.isnan(out)
-        if new.any():
-            grams, values = self.table
-            own, inverse = np.unique(codes[new], return_inverse=True)
-            place = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-            if (grams[place] != own).any():
-                raise ValueError("an n-gram was not counted: the documents have changed between two readings")
-            found = values[place]
-            out[new] = found[inverse]
-            at = (mix(own) & np.uint64(self.SIZE - 1)).astype(np.int64)
-            self.codes[at], self.values[at] = own, found
-        return out
-
-
-def _training(docs: DataFrame) -> DataFrame:
-    return docs.filter(~held_out())
-
-
 def held_out():
     """Whether crc32 of the doc_id as text leaves no remainder by 10 (null: as an empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
@@ -229,171 +203,275 @@ def _is_held_out(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0 for d in ids.to_pylist()], bool)
 
 
-def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """gram and n of all n-grams of the texts; those of held-out texts count nothing."""
-    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+def packed(grams: np.ndarray) -> bytes:
+    """N-grams of six bytes, ascending ones best, plane by plane: they compress well so."""
+    return grams.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view("<u8").ravel()
+
+
+#: What a row is: a text; a block's n-grams or words in one bucket; a bucket's; counts of bytes; sums over short contexts.
+TEXT, ASKED_GRAMS, ASKED_WORDS, GRAM_COUNTS, WORD_COUNTS, BYTES, SHORT = range(7)
+#: For texts: doc_id, held_out, the canonical bytes. For grams and words: those, and an array of numbers. n, v: numbers of each kind.
+ROWS = "kind int, block bigint, bucket int, doc_id bigint, held_out boolean, n bigint, v bigint, data binary, numbers binary"
+_ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("v", pa.int64()), ("data", pa.binary()), ("numbers", pa.binary())])
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, _ROWS)
+
+
+def _added(kept: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, ascending, and the sums of their counts."""
+    if not kept:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(kept) == 1:
+        return kept[0]
+    grams, counts = (np.concatenate(x) for x in zip(*kept, strict=True))
+    order = np.argsort(grams)
+    grams, counts = grams[order], counts[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+class Asked:
+    """The distinct n-grams and words of a block's texts, with their counts in the texts that are learned from."""
+
+    def __init__(self, depth: int, buckets: int, cut: int):
+        self.depth, self.buckets, self.cut = depth, buckets, cut
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words: Counter = Counter()
+        self.held: set[bytes] = set()
+        self.size = 0
+
+    def add(self, stream: np.ndarray, ends: np.ndarray, held: np.ndarray) -> None:
+        mark, sizes = np.uint64(1 << 63), np.diff(ends)
+        of_held = np.repeat(held, sizes)
+        own = np.sort(grams(stream, ends, self.depth) | np.where(of_held, mark, np.uint64(0)))
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+        count, own = np.diff(np.append(first, len(own))), own[first]
+        split = int(np.searchsorted(own, mark))
+        self.grams += [(own[:split], count[:split]), (own[split:] & ~mark, np.zeros(len(own) - split, np.int64))]
+        if sum(len(g) for g, _ in self.grams) > MERGE:
+            self.grams = [_added(self.grams)]
+        self.words.update(stream[~of_held].tobytes().split())
+        self.held.update(stream[of_held].tobytes().split())
+        self.size += len(stream)
+
+    def rows(self, block: int) -> Iterator[dict]:
+        own, count = _added(self.grams)
+        context = own >> np.uint64(8) & np.uint64((1 << 8 * self.cut) - 1)
+        bucket = (mix(context + np.uint64(1)) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(bucket, minlength=self.buckets)))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            on = order[ends[k] : ends[k + 1]]
+            yield {"kind": ASKED_GRAMS, "block": block, "bucket": k, "data": packed(own[on]), "numbers": count[on].astype("<u4").tobytes()}
+        dealt: dict[int, list[bytes]] = {}
+        for w in self.held:
+            self.words.setdefault(w, 0)
+        for w in self.words:
+            dealt.setdefault(zlib.crc32(w) % self.buckets, []).append(w)
+        for k, words in dealt.items():
+            yield {"kind": ASKED_WORDS, "block": block, "bucket": k, "data": b" ".join(words), "numbers": np.array([self.words[w] for w in words], "<u4").tobytes()}
+
+
+def _blocks(docs: DataFrame, depth: int, buckets: int, cut: int) -> DataFrame:
+    """Texts, with the block that each is in, and what the blocks ask for."""
 
     @task("ctw")
-    def count(batches):
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged():
-            own, inverse = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
-            return own, np.bincount(inverse, np.concatenate([k[1] for k in kept])).astype(np.int64)
-
-        mark = np.uint64(1 << 63)
+    def gather(batches):
+        block, asked, symbols = TaskContext.get().partitionId() << 32, Asked(depth, buckets, cut), np.zeros(256, np.int64)
         for b in batches:
             data, at = utf8(b.column(1))
-            held = _is_held_out(b.column(0)).astype(np.uint64) * mark
-            for i, j in blocks(np.diff(at), BLOCK):
+            held_ = _is_held_out(b.column(0))
+            for i, j in blocks(np.diff(at), PIECE):
                 stream, ends = canonical(data, at[i : j + 1])
-                own, n = np.unique(grams(stream, ends, depth) | np.repeat(held[i:j], np.diff(ends)), return_counts=True)
-                kept.append((own & ~mark, np.where(own & mark, 0, n)))
-                if sum(len(k[0]) for k in kept) > MERGE // 4:
-                    kept = [merged()]
-                    if len(kept[0][0]) > MERGE // 8:  # too many to keep: the shuffle adds them up
-                        yield pa.RecordBatch.from_arrays([pa.array(kept[0][0].view(np.int64)), pa.array(kept[0][1])], schema=schema)
-                        kept = []
-        if kept:
-            own, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], schema=schema)
-
-    return docs.select("doc_id", "text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _whole_contexts(batches):
-    """N-grams and their counts, from batches (gram, n, context) in order of contexts; each context's come at once."""
-    held, size = [], 0
-
-    def joined():
-        table = pa.Table.from_batches(held)
-        return table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
-
-    for b in batches:
-        context = b.column(2).to_numpy()
-        if not len(context):
-            continue
-        if size >= GRAMS:
-            # Up to where the first new context begins.
-            last = held[-1].column(2)[-1].as_py()
-            cut = int(np.searchsorted(context, last, "right"))
-            held.append(b.slice(0, cut))
-            if cut == len(context):
-                size += cut
-                continue
-            yield joined()
-            b, held, size = b.slice(cut), [], 0
-        held.append(b)
-        size += b.num_rows
-    if held:
-        yield joined()
-
-
-def train(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """gram and value: of each n-gram of the documents the log10 of its last byte's probability in the bytes before, by the texts that are not held out."""
-    cut = min(CUT, depth)
-    counted = written(gram_counts(docs, depth), "grams")
-    histogram = np.zeros(256, np.int64)
-    for symbol, n in counted.groupBy(F.col("gram").bitwiseAND(F.lit(255).cast("bigint"))).agg(F.sum("n")).collect():  # 256 rows at most
-        histogram[symbol] = n
-    code = huffman(histogram)
-    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * cut) - 1).cast("bigint"))
-    dealt = counted.select("gram", "n", context.alias("context")).repartition("context").sortWithinPartitions("context")
-
-    def tree(codes: np.ndarray, n: np.ndarray) -> tuple:
-        """The nodes of contexts of ``cut`` bytes and more."""
-        return fold(codes[n > 0], n[n > 0], code, GRAMS, depth, cut)
-
-    schema = pa.schema([("key", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("below", pa.float64())])
+                held = held_[i:j]
+                symbols += np.bincount(stream[~np.repeat(held, np.diff(ends))], minlength=256)
+                asked.add(stream, ends, held)
+                own = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(stream)])
+                none = pa.nulls(j - i, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, TEXT, np.int32)), pa.array(np.full(j - i, block)), pa.nulls(j - i, pa.int32()), b.column(0)[i:j], pa.array(held), none, none, own, pa.nulls(j - i, pa.binary())], schema=_ROWS)
+                if asked.size >= BLOCK:
+                    for row in asked.rows(block):
+                        yield _batch([row])
+                    block, asked = block + 1, Asked(depth, buckets, cut)
+        for row in asked.rows(block):
+            yield _batch([row])
+        if symbols.any():
+            yield _batch([{"kind": BYTES, "bucket": k, "n": int(n)} for k, n in enumerate(symbols.tolist()) if n])
+
+    return docs.mapInArrow(gather, ROWS)
+
+
+def _of_buckets(batches) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Each bucket with its rows, from batches in order of buckets."""
+    rows = (r for b in batches for r in b.select(["kind", "block", "bucket", "data", "numbers"]).to_pylist())
+    row = next(rows, None)
+    while row is not None:
+        bucket = row["bucket"]
+
+        def own():
+            nonlocal row
+            while row is not None and row["bucket"] == bucket:  # noqa: B023
+                yield row
+                row = next(rows, None)
+
+        each = own()
+        yield bucket, each
+        for _ in each:
+            pass
+
+
+def _counts(asked: DataFrame, code: tuple, depth: int, cut: int) -> DataFrame:
+    """The buckets' n-grams and words with the sums of their counts, and sums over their contexts of ``cut`` bytes."""
 
     @task("ctw")
-    def tops(batches):
-        for codes, n in _whole_contexts(batches):
-            keys, zeros, ones = tree(codes, n)
-            total = weighed(keys, zeros, ones, GRAMS, cut)[2]
-            columns = added(shorter(keys[0], cut), zeros[0], ones[0], total)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
-
-    top: tuple = ([], [])
-    if cut:
-        sums = dealt.mapInArrow(tops, "key bigint, zeros double, ones double, below double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
-        found = sums.toArrow().sort_by("key")  # contexts of CUT - 1 bytes: a bounded number, however large the corpus
-        levels = [tuple(found.column(c).to_numpy() for c in ("key", "zeros", "ones"))]
-        for d in range(cut - 1, 0, -1):
-            levels.append(added(shorter(levels[-1][0], d), *levels[-1][1:]))
-        top = weighed(*(list(x) for x in zip(*levels[::-1], strict=True)), GRAMS, 0, found.column("below").to_numpy())[:2]
-    shared = docs.sparkSession.sparkContext.broadcast(top)
-    values = pa.schema([("gram", pa.int64()), ("value", pa.float64())])
+    def count(batches):
+        for bucket, rows in _of_buckets(batches):
+            kept, size, words = [], 0, Counter()
+            for r in rows:
+                numbers = np.frombuffer(r["numbers"], "<u4").astype(np.int64)
+                if r["kind"] == ASKED_GRAMS:
+                    kept.append((unpacked(r["data"]), numbers))
+                    size += len(numbers)
+                    if size > MERGE:
+                        kept = [_added(kept)]
+                        size = len(kept[0][0]) // 2
+                else:
+                    for w, n in zip(r["data"].split(b" "), numbers.tolist(), strict=True):
+                        words[w] += n
+            own, n = _added(kept)
+            for k in range(0, len(own), MERGE):
+                yield _batch([{"kind": GRAM_COUNTS, "bucket": bucket, "data": packed(own[k : k + MERGE]), "numbers": n[k : k + MERGE].tobytes()}])
+            if words:
+                numbers = np.fromiter(words.values(), np.int64, len(words))
+                yield _batch([{"kind": WORD_COUNTS, "bucket": bucket, "n": int(numbers.sum()), "v": int((numbers > 0).sum()), "data": b" ".join(words), "numbers": numbers.tobytes()}])
+            if cut and (n > 0).any():
+                keys, zeros, ones = fold(own[n > 0], n[n > 0], code, GRAMS, depth, cut)
+                total = weighed(keys, zeros, ones, GRAMS, cut)[2]
+                sums = added(shorter(keys[0], cut), zeros[0], ones[0], total)
+                yield _batch([{"kind": SHORT, "bucket": bucket, "data": sums[0].tobytes(), "numbers": np.concatenate(sums[1:]).tobytes()}])
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, ROWS)
+
+
+def _sums(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, ...]:
+    """Keys with their zeros, ones and totals, added up."""
+    parts = [(np.frombuffer(d, np.int64), *np.frombuffer(x, np.float64).reshape(3, -1)) for d, x in rows]
+    return added(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else tuple(np.zeros(0, t) for t in (np.int64, float, float, float))
+
+
+def _short(counted: DataFrame, cut: int) -> tuple[list, list]:
+    """Estimates and weights of the contexts of fewer than ``cut`` bytes."""
+    if not cut:
+        return [], []
 
     @task("ctw")
-    def valued(batches):
-        for codes, n in _whole_contexts(batches):
-            estimate, weight, _ = weighed(*tree(codes, n), GRAMS, cut)
-            model = (shared.value[0] + estimate, shared.value[1] + weight, code)
-            for k in range(0, len(codes), GRAMS):
-                own = codes[k : k + GRAMS]
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(log10_probability(own, model, depth))], schema=values)
-
-    return written(dealt.mapInArrow(valued, "gram bigint, value double"), "values")
-
-
-def _sent(values: DataFrame) -> str:
-    """Sends gram and value, in order of grams, to each executor; returns what their files are named by.
-
-    The driver holds one piece at a time. The files stay until the application ends.
-    """
-    schema = pa.schema([("first", pa.int64()), ("gram", pa.binary()), ("value", pa.binary())])
-
-    def packed(batches):
+    def add(batches):
+        rows: list[tuple[bytes, bytes]] = []
         for b in batches:
-            if b.num_rows:
-                g, v = (x.to_numpy() for x in b.columns)
-                yield pa.RecordBatch.from_arrays([pa.array(g[:1]), pa.array([g.tobytes()]), pa.array([v.tobytes()])], schema=schema)
-
-    name, last = f"lm-{uuid.uuid4().hex}", -1
-    at = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quern-lm-")), name)
-    pieces = values.repartitionByRange("gram").sortWithinPartitions("gram").mapInArrow(packed, "first bigint, gram binary, value binary")
-    with open(f"{at}.grams", "wb") as own, open(f"{at}.values", "wb") as logs:
-        for first, g, v in pieces.toLocalIterator():
-            if first <= last:
-                raise ValueError("pieces of the table of n-grams came out of order")
-            last = first
-            own.write(g)
-            logs.write(v)
-    for kind in ("grams", "values"):
-        values.sparkSession.sparkContext.addFile(f"{at}.{kind}")
-    return name
-
-
-#: Words that are broadcast with their counts; the others meet theirs in a join.
-HEAD = 1 << 18
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (binary) and n of all words of the texts."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows.append((d, x))
+                if len(rows) > 16:
+                    keys, *values = _sums(rows)
+                    rows = [(keys.tobytes(), np.concatenate(values).tobytes())]
+        keys, *values = _sums(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([np.concatenate(values).tobytes()])], names=["data", "numbers"])
+
+    own = counted.filter(F.col("kind") == SHORT).select("data", "numbers", F.pmod("bucket", F.lit(TOPS)).alias("to"))
+    sums = own.repartition(TOPS, "to").select("data", "numbers").mapInArrow(add, "data binary, numbers binary")
+    # TOPS rows: contexts of CUT - 1 bytes are a bounded number, however large the corpus.
+    keys, zeros, ones, total = _sums([(bytes(d), bytes(x)) for d, x in sums.collect()])
+    levels = [(keys, zeros, ones)]
+    for d in range(cut - 1, 0, -1):
+        levels.append(added(shorter(levels[-1][0], d), *levels[-1][1:]))
+    return weighed(*(list(x) for x in zip(*levels[::-1], strict=True)), GRAMS, 0, total)[:2]
+
+
+def _answers(asked: DataFrame, counted: DataFrame, code: tuple, top: tuple, below: float, depth: int, cut: int) -> DataFrame:
+    """For each block and bucket the n-grams and words that it has asked for, with their log10 probabilities."""
+    shared, unknown = asked.sparkSession.sparkContext.broadcast(top), math.log10(0.1 / below)
 
     @task("ctw")
-    def count(batches):
-        from collections import Counter
-
-        found: Counter = Counter()
-        for b in batches:
-            data, at = utf8(b.column(1))
-            for i, j in blocks(np.diff(at), BLOCK):
-                found.update(canonical(data, at[i : j + 1])[0].tobytes().split())
-                if len(found) > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=schema)
-                    found.clear()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=schema)
-
-    return docs.select("doc_id", "text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.binary()))])
-
-
+    def answer(batches):
+        for _, rows in _of_buckets(batches):
+            counts, words, grams_, values = [], {}, None, None
+            for r in rows:
+                if r["kind"] == GRAM_COUNTS:
+                    counts.append((unpacked(r["data"]), np.frombuffer(r["numbers"], np.int64)))
+                elif r["kind"] == WORD_COUNTS:
+                    n = np.frombuffer(r["numbers"], np.int64)
+                    words.update(zip(r["data"].split(b" "), np.where(n > 0, np.log10((n + 0.1) / below), unknown).tolist(), strict=True))
+                elif r["kind"] == ASKED_WORDS:
+                    found = np.array([words[w] for w in r["data"].split(b" ")])
+                    yield _batch([{**r, "numbers": found.tobytes()}])
+                else:
+                    if grams_ is None:
+                        grams_, n = _added(counts)
+                        estimate, weight, _ = weighed(*fold(grams_[n > 0], n[n > 0], code, GRAMS, depth, cut), GRAMS, cut)
+                        model = (shared.value[0] + estimate, shared.value[1] + weight, code)
+                        values = np.concatenate([log10_probability(grams_[k : k + GRAMS], model, depth) for k in range(0, len(grams_), GRAMS)])
+                    yield _batch([{**r, "numbers": values[np.searchsorted(grams_, unpacked(r["data"]))].tobytes()}])
+
+    columns = ["kind", "block", "bucket", "doc_id", "held_out", "n", "v", "data", "numbers"]
+    both = counted.filter(F.col("kind").isin(GRAM_COUNTS, WORD_COUNTS)).unionByName(asked).select(*columns)
+    # Counts come before questions.
+    return both.repartition("bucket").sortWithinPartitions("bucket", F.col("kind").isin(ASKED_GRAMS, ASKED_WORDS)).mapInArrow(answer, ROWS)
+
+
+class Answers:
+    """What a block's texts are scored with."""
+
+    def __init__(self) -> None:
+        self.grams: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.words: dict[bytes, float] = {}
+        self.ready = False
+
+    def add(self, kind: int, data: bytes, numbers: bytes) -> None:
+        numbers = np.frombuffer(numbers, np.float64)
+        if kind == ASKED_GRAMS:
+            self.grams.append(unpacked(data))
+            self.values.append(numbers)
+        else:
+            self.words.update(zip(data.split(b" "), numbers.tolist(), strict=True))
+
+    def prepared(self) -> None:
+        if not self.ready:
+            own, values = np.concatenate(self.grams), np.concatenate(self.values)
+            order = np.argsort(own)
+            self.grams, self.values, self.ready = own[order], values[order], True
+
+    def scores(self, stream: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+        """The log10 probabilities of texts (65,536 at most)."""
+        self.prepared()
+        sizes = np.diff(ends)
+        own = np.sort(grams(stream, ends, depth) << np.uint64(16) | np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes))
+        gram = own >> np.uint64(16)
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+        value = self.values[np.searchsorted(self.grams, gram[first])]
+        return np.bincount((own & np.uint64(65535)).astype(np.int64), np.repeat(value, np.diff(np.append(first, len(gram)))), len(sizes))
+
+    def base(self, stream: np.ndarray, ends: np.ndarray, unknown: float) -> tuple[np.ndarray, ...]:
+        """For each text: words, words that are known, the sum of their logs."""
+        words = stream.tobytes().split()
+        value = np.fromiter(map(self.words.__getitem__, words), float, len(words))
+        # Behind each word stands a space or an end, and behind no word an end alone.
+        after = (stream == 32) | (stream == END)
+        after[ends[:-1]] = False
+        n = np.add.reduceat(after, ends[:-1], dtype=np.int64)
+        doc = np.repeat(np.arange(len(n)), n)
+        return n, np.bincount(doc, value != unknown, len(n)).astype(np.int64), np.bincount(doc, value, len(n))
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 
 
@@ -402,45 +480,69 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     Documents that are not held out are learned from, and all are scored. score is the log10
     probability of the words (A-Z lower-cased) with one space between, and of the end behind them; that is
-    what the base scores as tokens. A null text is an empty one, of which only the end is
+    what the base scores as tokens. A context that was never learned leaves the mixture of the shorter ones as it is.
+    A null text is an empty one, of which only the end is
     scored. Repeated rows count and are scored each; other columns go; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
+    if not 1 <= depth <= DEPTH:
+        raise ValueError(f"contexts have 1 to {DEPTH} bytes, not {depth}")
+    spark, cut = docs.sparkSession, min(CUT, depth)
     docs = text_of(docs, "doc_id")
-    if docs.isEmpty():
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    if not rows:
         return spark.createDataFrame([], RESULT)
-    table = _sent(train(docs, depth))
-    counted = written(word_counts(_training(docs)), "words")
-    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = _training(docs).count()
-    total, distinct = n + ends, v + (ends > 0)
-    below = total + 0.1 * (distinct + 1)
-    head = counted.orderBy(F.desc("n"), "word").limit(HEAD)
-    known = {bytes(w.as_py()): c for b in head.toArrow().to_batches() for w, c in zip(b.column(0), b.column(1).to_pylist(), strict=True)}  # HEAD rows at most
-    shared = spark.sparkContext.broadcast(known)
-
-    @task("ctw")
-    def score(batches):
-        counts, end = shared.value, (math.log10((ends + 0.1) / below), int(ends > 0))
-        probability = Scorer(*(np.memmap(SparkFiles.get(f"{table}.{kind}"), t, "r") for kind, t in (("grams", np.uint64), ("values", np.float64))))
-        logs = {w: math.log10((c + 0.1) / below) for w, c in counts.items()}
-        for b in batches:
-            data, at = utf8(b.column(1))
-            for i, j in blocks(np.diff(at), BLOCK):
-                stream, ends_ = canonical(data, at[i : j + 1])
-                sums = np.add.reduceat(probability(grams(stream, ends_, depth)), ends_[:-1])
-                raw, rows = stream.tobytes(), []
-                for x, y in zip(ends_[:-1].tolist(), ends_[1:].tolist(), strict=True):
-                    words = raw[x:y].split()
-                    rare = [w for w in words if w not in logs]
-                    rows.append((len(words) + 1, len(words) - len(rare) + end[1], math.fsum(logs[w] for w in words if w in logs) + end[0], rare))
-                tokens, n_known, base, rare = zip(*rows, strict=True)
-                ids = b.column(0)[i:j]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(_is_held_out(ids)), pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(sums), pa.array(np.diff(ends_)), pa.array(rare, pa.list_(pa.binary()))], schema=_SCORED)
-
-    rows = docs.mapInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint, rare array<binary>")
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    seen = rows.select("_row", F.explode("rare").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("times"))
-    met = seen.join(counted, "word", "left").groupBy("_row").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(below))).alias("rest"))
-    out = rows.drop("rare").join(met, "_row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
+    buckets = min(size // BUCKET + 1, MOST_BUCKETS)
+    with Work(spark) as work:
+        found = work.written(_blocks(docs, depth, buckets, cut), "blocks")
+        texts, asked = found.filter(F.col("kind") == TEXT), found.filter(F.col("kind").isin(ASKED_GRAMS, ASKED_WORDS))
+        histogram = np.zeros(256, np.int64)
+        for symbol, n in found.filter(F.col("kind") == BYTES).groupBy("bucket").agg(F.sum("n")).collect():  # 256 rows at most
+            histogram[symbol] = n
+        code = huffman(histogram)
+        counted = work.written(_counts(asked, code, depth, cut), "counts")
+        total, distinct = counted.filter(F.col("kind") == WORD_COUNTS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+        ends = texts.filter("not held_out").count()
+        total, distinct = total + ends, distinct + (ends > 0)
+        below = total + 0.1 * (distinct + 1)
+        answers = _answers(asked, counted, code, _short(counted, cut), below, depth, cut)
+
+        @task("ctw")
+        def score(batches):
+            unknown, end = math.log10(0.1 / below), math.log10((ends + 0.1) / below)
+            block, own, held, size = None, None, [], 0
+
+            def done():
+                table = pa.Table.from_batches(held).combine_chunks()
+                data, at = utf8(table.column("data").combine_chunks())
+                stream, at = data[at[0] : at[-1]], at - at[0]
+                n, known, base = own.base(stream, at, unknown)
+                sums = own.scores(stream, at, depth)
+                columns = [n + 1, known + int(ends > 0), np.full(len(n), total), base + end, sums, -sums * math.log2(10) / np.diff(at)]
+                arrays = [table.column(c).combine_chunks() for c in ("doc_id", "held_out")] + [pa.array(c, f.type) for c, f in zip(columns, list(_SCORED)[2:], strict=True)]
+                return pa.RecordBatch.from_arrays(arrays, schema=_SCORED)
+
+            for b in batches:
+                kinds, of = b.column("kind").to_numpy(), b.column("block").to_numpy()
+                cuts = np.append(np.flatnonzero(np.append(True, (kinds[1:] != kinds[:-1]) | (of[1:] != of[:-1]))[: len(kinds)]), len(kinds)).tolist()
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    if of[i] != block:
+                        if held:
+                            yield done()
+                        block, own, held, size = of[i], Answers(), [], 0
+                    part = b.slice(i, j - i)
+                    if kinds[i] != TEXT:
+                        for kind, d, x in zip(kinds[i:j].tolist(), part.column("data").to_pylist(), part.column("numbers").to_pylist(), strict=True):
+                            own.add(kind, d, x)
+                        continue
+                    held.append(part)
+                    size += int(np.diff(utf8(part.column("data"))[1]).sum())
+                    if size >= PIECE or sum(x.num_rows for x in held) > 1 << 14:
+                        yield done()
+                        held, size = [], 0
+            if held:
+                yield done()
+
+        columns = ["kind", "block", "doc_id", "held_out", "data", "numbers"]
+        both = answers.select(*columns).unionByName(texts.select(*columns))
+        # Answers come before texts.
+        return work.result(both.repartition("block").sortWithinPartitions("block", F.col("kind") == TEXT).mapInArrow(score, RESULT), "scored")

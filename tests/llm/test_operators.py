@@ -487,7 +487,8 @@ def test_canonical(texts):
 def test_lm_scoring(spark, documents, monkeypatch):
     import math
 
-    monkeypatch.setattr(ctw, "HEAD", 20)
+    for name, n in (("BLOCK", 3000), ("PIECE", 1000), ("BUCKET", 2000), ("MERGE", 500)):
+        monkeypatch.setattr(ctw, name, n)
     rows = odd_rows()
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0
     word = lambda t: (t or "").encode().lower().split() if (t or "").isascii() else "".join(c.lower() if c.isascii() else c for c in t).encode().split()
@@ -513,7 +514,8 @@ def test_lm_scores_are_of_exact_contexts(spark, monkeypatch):
     """Against a tree of dictionaries that has every node by its own name."""
     import math
 
-    monkeypatch.setattr(ctw, "GRAMS", 200)
+    for name, n in (("GRAMS", 200), ("BLOCK", 900), ("PIECE", 300), ("BUCKET", 1000), ("MERGE", 400)):
+        monkeypatch.setattr(ctw, name, n)
     rng = random.Random(8)
     rows = [(k, " ".join("".join(rng.choice("abcdeé7") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 60)))) for k in range(60)]
     streams = {d: (b"\n" * 5 + b" ".join(t.encode().split()) + b"\n") for d, t in rows}
@@ -560,8 +562,14 @@ def test_lm_table_grows_with_the_corpus(spark):
     for _, t in rows:
         b = b"\n" * 5 + t.encode() + b"\n"
         own.update(b[k - 5 : k + 1] for k in range(5, len(b)))
-    table = ctw.train(docs_of(spark, rows).select("doc_id", "text"))
-    assert table.count() == table.select("gram").distinct().count() == len(own)
+    from quern.llm.common import Work
+
+    with Work(spark) as work:
+        found = work.written(ctw._blocks(docs_of(spark, rows).select("doc_id", "text"), 5, 7, 3), "blocks").filter(F.col("kind").isin(ctw.ASKED_GRAMS, ctw.ASKED_WORDS))
+        histogram = np.bincount(np.frombuffer(b"".join(g[-1:] for g in own), np.uint8), minlength=256)
+        counted = ctw._counts(found, ctw.huffman(histogram), 5, 3).filter(F.col("kind") == ctw.GRAM_COUNTS).select("data").collect()
+    codes = np.concatenate([ctw.unpacked(bytes(r.data)) for r in counted])
+    assert len(codes) == len(np.unique(codes)) == len(own)
 
 
 def test_model_beats_words_on_held_out_texts(spark):
