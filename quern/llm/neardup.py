@@ -38,7 +38,7 @@ BANDS, ROWS = 25, 5
 BLOCK = 1 << 20
 #: Pivots of a bucket in the first round, how many times more in each later one (what is left then are the
 #: outsiders of each bucket), the most there are in a round (the others come in the next), and rounds of leaving by size.
-PIVOTS, MORE, MOST_PIVOTS, LEAVING = 4, 4, 512, 2
+PIVOTS, MORE, MOST_PIVOTS, LEAVING = 4, 4, 64, 2
 #: Elements of pivots (8 bytes each) that are broadcast at most; members of a bucket that are joined in one task on average.
 ELEMENTS, MEMBERS = 1 << 21, 10_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -300,7 +300,7 @@ def _all_labels(docs: DataFrame, work: Work) -> tuple[DataFrame, DataFrame, Data
     """The signed rows, the distinct texts (node, key, doc: the smallest doc_id) and the labels of linked ones."""
     sign = work.written(signed(docs), "signed")
     texts = sign.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    texts = work.written(texts.withColumn("node", F.monotonically_increasing_id()), "texts", rows_of(sign))
+    texts = work.written(texts.withColumn("node", F.monotonically_increasing_id()), "texts", 4 * rows_of(sign))  # a row has a list of bands
     members = texts.select(F.explode("bands").alias("bucket"), "node", "n")
     shared = members.groupBy("bucket").agg((F.floor((F.count("*") - 1) / MEMBERS) + 1).cast("int").alias("salts"), F.count("*").alias("c")).filter("c > 1").drop("c")
     shared = few(work.written(shared, "buckets", rows_of(texts) * BANDS // 2))
@@ -309,7 +309,7 @@ def _all_labels(docs: DataFrame, work: Work) -> tuple[DataFrame, DataFrame, Data
     wanted = texts.join(few(work.written(state.select("node").distinct(), "nodes", rows_of(state))), "node", "left_semi").select("node", "key", "doc", "n")
     wanted = work.written(wanted, "wanted", rows_of(texts))
     total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bodies = work.written(_bodies(docs, wanted), "bodies", total // 20)
+    bodies = work.written(_bodies(docs, wanted), "bodies", total // 40)
     state = _with_partners(state, bodies, total, work).withColumn("label", F.col("node"))
     labels, most_pivots = None, PIVOTS
     while members := rows_of(state):
@@ -325,10 +325,11 @@ def _all_labels(docs: DataFrame, work: Work) -> tuple[DataFrame, DataFrame, Data
         bound = rows_of(lists) + members // MEMBERS  # rows of lists with their salts
         met = state.drop("salts").join(few(_salted(lists), FEW // most_pivots, bound), ["bucket", "salt"])
         fits = F.filter("pivots", lambda p: (p["pivot_label"] != F.col("label")) & (F.col("n") <= p["pivot_most"]) & (p["pivot_n"] <= F.col("most")))
-        joined = met.select("node", "n", F.explode(fits).alias("p"))
-        # A pair meets in many buckets.
-        first = F.least(F.col("p.pivot"), F.col("node"))
-        asked = joined.select(first.alias("pivot"), F.greatest(F.col("p.pivot"), F.col("node")).alias("node")).distinct()
+        # A pair meets in many buckets: each text's distinct pivots come first.
+        met = met.select("node", F.transform(fits, lambda p: p["pivot"]).alias("p")).filter(F.size("p") > 0)
+        own = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("p"))
+        joined = fewer(own, members).select("node", F.explode("p").alias("pivot"))
+        asked = joined.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
         asked = work.written(asked, "pairs", members * most_pivots)
         pairs = rows_of(asked)
         if pairs:
