@@ -5,7 +5,8 @@ other than white space, whatever stands around it; around a line end that stands
 between a letter and a full stop or comma at a word's end. So the ids of a text are the ids of its
 pieces between such places, one after another. Pieces recur, so each worker keeps a table of
 pieces, by hashes of their bytes, with the ids that the library gave for them. Texts with other
-white space, or with several white spaces in a row, are encoded whole.
+white space, with several white spaces in a row, or with the string of an added token (which the
+library, as the file has it, takes for that token) are encoded whole.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         # A character that is one token between any two pieces: with it many pieces are one text.
@@ -122,6 +123,14 @@ class Encoder:
             bad[1:] |= (b[:-1] == 0xE3) & (b[1:] == 0x80)
         if n > 2:
             bad[2:] |= (b[:-2] == 0xE2) & ((b[1:-1] == 0x80) & ((b[2:] <= 0x8A) | (b[2:] == 0xA8) | (b[2:] == 0xA9) | (b[2:] == 0xAF)) | (b[1:-1] == 0x81) & (b[2:] == 0x9F))
+        raw = b.tobytes()
+        if self.added:
+            lower = raw.lower()
+            for token in self.added:
+                k = lower.find(token)
+                while k >= 0:
+                    bad[k] = True
+                    k = lower.find(token, k + 1)
         odd = np.zeros(docs, bool)
         odd[np.searchsorted(at, np.flatnonzero(bad), "right") - 1] = True
         start = edge[:-1] | white
@@ -160,7 +169,6 @@ class Encoder:
             if self.n + len(k) > MOST and self.n:
                 self._forget()  # what recurs comes back soon
                 return self.encode(data, at + base, end)
-            raw = b.tobytes()
             where, count = self._pieces([raw[x:y] for x, y in zip(begins[k].tolist(), ends[k].tolist(), strict=True)])
             self._insert(h[k], check[k], where, count)
             place[new] = self._find(h[new], check[new])
