@@ -46,24 +46,45 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
-def machine(roles: list[str], template: Template) -> str:
-    """"ok", or where and why the order of turns breaks off."""
-    state = ""
-    for k, role in enumerate(roles):
-        if role not in template.follows.get(state, ()):
-            return f"turn {k}: {role or '(none)'} after {state or 'start'}"
-        state = role
-    return "ok" if state in template.final else f"ends after {state or 'start'}"
-
-
-def segments(turns: list[tuple[str, str]], template: Template) -> Iterator[tuple[str, bool]]:
-    """Segments of the output with their loss flags; the learned ones are whole escaped texts."""
-    yield template.begin, False
+class Machine:
+    """The state machine over roles: each step takes a turn, moves on, and emits segments with their loss flags.
+
+    Its state is the last role ("" at the start) as long as the template allows the order; once it does not,
+    ``refused`` says where and why, and the machine goes on emitting, as the turns are written all the same.
+    """
+
+    def __init__(self, template: Template):
+        self.template, self.role, self.turns, self.refused = template, "", 0, ""
+
+    def start(self) -> Iterator[tuple[str, bool]]:
+        yield self.template.begin, False
+
+    def step(self, role: str, text: str) -> Iterator[tuple[str, bool]]:
+        t = self.template
+        if not self.refused and role not in t.follows.get(self.role, ()):
+            self.refused = f"turn {self.turns}: {role or '(none)'} after {self.role or 'start'}"
+        self.role, self.turns = role, self.turns + 1
+        yield t.head[0] + escape(role) + t.head[1], False
+        yield escape(text), role in t.loss
+        yield t.close, False
+
+    def stop(self) -> Iterator[tuple[str, bool]]:
+        if not self.refused and self.role not in self.template.final:
+            self.refused = f"ends after {self.role or 'start'}"
+        yield self.template.end, False
+
+    @property
+    def state(self) -> str:
+        """"ok", or where and why the order of turns breaks off."""
+        return self.refused or "ok"
+
+
+def segments(turns: list[tuple[str, str]], machine: Machine) -> Iterator[tuple[str, bool]]:
+    """All that the machine emits for the turns; the learned segments are whole escaped texts."""
+    yield from machine.start()
     for role, text in turns:
-        yield template.head[0] + escape(role) + template.head[1], False
-        yield escape(text), role in template.loss
-        yield template.close, False
-    yield template.end, False
+        yield from machine.step(role, text)
+    yield from machine.stop()
 
 
 def parse(formatted: str, template: Template) -> list[tuple[str, str]]:
@@ -97,13 +118,13 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
             rows = []
             for conv, turns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = [(t["role"], t["text"]) for t in turns]
-                parts, spans, at = [], [], 0
-                for part, loss in segments(own, template):
+                parts, spans, at, machine = [], [], 0, Machine(template)
+                for part, loss in segments(own, machine):
                     if loss:
                         spans.append({"start": at, "stop": at + len(part)})
                     parts.append(part)
                     at += len(part)
-                rows.append((conv, "".join(parts), spans, machine([r for r, _ in own], template)))
+                rows.append((conv, "".join(parts), spans, machine.state))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
