@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, task, text_of, utf8
+from .common import blocks, task, text_of, utf8, written
 
 #: Words of a window, text bytes of a shard, benchmark bytes that are broadcast at once, distance of sampled positions.
 WINDOW, SHARD, BLOCK, SAMPLED = 10, 8 << 20, 1 << 20, 8
@@ -235,6 +235,19 @@ def _one_block(docs: DataFrame, items: list[tuple], keep_text: bool, hits_only:
     return docs.mapInArrow(find, FOUND.replace("n_words", "text string, n_words") if keep_text else FOUND)
 
 
+def _benchmark_blocks(benchmark: DataFrame):
+    """Lists of items (item_id, text) of ``BLOCK`` characters at most, or of one larger item."""
+    part, size = [], 0
+    for item, text in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
+        if part and size + len(text) > BLOCK:
+            yield part
+            part, size = [], 0
+        part.append((item, text))
+        size += len(text)
+    if part:
+        yield part
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, (text,) n_words, spans (merged spans of hit words) and items (sorted ids) of every document.
 
@@ -243,23 +256,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False) -> Data
     table gives an empty one; an empty benchmark hits nothing; repeated rows are searched each.
     """
     docs = text_of(docs, "doc_id")
-    parts, part, size = [], [], 0
-    for item, text in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
-        if part and size + len(text) > BLOCK:
-            parts.append(part)
-            part, size = [], 0
-        part.append((item, text))
-        size += len(text)
-    first, *more = [*parts, part]
-    if not more:
+    # The driver holds one block and the next item.
+    blocks_, key = _benchmark_blocks(benchmark), F.struct("doc_id", F.md5("text").alias("text")).alias("_key")
+    first, second = next(blocks_, []), next(blocks_, None)
+    if second is None:
         return _one_block(docs, first, keep_text, False)
-    out = _one_block(docs, first, True, False).withColumn("_key", F.xxhash64("doc_id", "text"))
+    out = written(_one_block(docs, first, True, False), "hits").withColumn("_key", key)
     rest = None
-    for items in more:
-        one = _one_block(docs, items, True, True).select(F.xxhash64("doc_id", "text").alias("_key"), F.col("spans").alias("s"), F.col("items").alias("i"))
-        rest = one if rest is None else rest.unionByName(one)
+    while second is not None:
+        one = written(_one_block(docs, second, True, True).select(key, F.col("spans").alias("s"), F.col("items").alias("i")), "hits")
+        rest, second = one if rest is None else rest.unionByName(one), next(blocks_, None)
     rest = rest.groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_set("s"))).alias("s"), F.array_distinct(F.flatten(F.collect_set("i"))).alias("i"))
-    joined = out.join(rest, "_key", "left")
+    joined = out.join(rest.withColumnRenamed("_key", "_of"), F.col("_key").eqNullSafe(F.col("_of")), "left")
     every = F.array_sort(F.concat("spans", F.coalesce("s", F.slice("spans", 1, 0))))
     empty = F.slice("spans", 1, 0)
     joins = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["stop"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x)))
@@ -307,8 +315,8 @@ def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return pd.Series([cut(t, [(s["start"], s["stop"]) for s in own]) for t, own in zip(text, spans, strict=True)])
 
-    changed = found.select("doc_id", F.xxhash64("text").alias("_key"), without("text", "spans").alias("_cut"))
-    joined = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(changed, ["doc_id", "_key"], "left")
+    changed = found.select(F.col("doc_id").alias("_of"), F.md5("text").alias("_key"), without("text", "spans").alias("_cut"))
+    joined = docs.join(changed, docs["doc_id"].eqNullSafe(F.col("_of")) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == F.col("_key")), "left")
     left = joined.filter(F.col("_cut").isNull() | F.col("_cut").rlike(r"[0-9A-Za-z\x{80}-\x{10ffff}]"))
     text = F.coalesce("_cut", "text", F.lit(""))
     return left.select(*[text.alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
