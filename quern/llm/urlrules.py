@@ -20,8 +20,9 @@ from .common import written
 
 #: Behind every character of a host: with it behind a label, all subdomains come before the end.
 LAST = "\U0010ffff"
-#: Ranges of keys, and urls that one window holds at most on average.
-RANGES, MOST = 256, 2000
+#: Ranges of keys; urls that one window holds at most on average are MOST, or what leaves WINDOWS windows for each partition of
+#: a shuffle if that is more (so copies of rules grow with the cluster, not with the urls).
+RANGES, MOST, WINDOWS = 256, 2000, 8
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -72,13 +73,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
     numbered = points.withColumn("n", _number(F.col("key")))
     cuts = F.array_distinct(F.coalesce(F.percentile_approx("n", [k / RANGES for k in range(1, RANGES)], 10_000), F.array().cast("array<bigint>")))
-    cut = numbered.agg(cuts.alias("cuts")).first()["cuts"]  # at most RANGES numbers
+    cut, n_urls = numbered.agg(cuts.alias("cuts"), F.count("*")).first()  # at most RANGES numbers
+    most = max(MOST, n_urls // (WINDOWS * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     tree = F.array(*[F.lit(x) for x in cut]) if cut else F.array().cast("array<bigint>")
     # A key equal to a cut lies in the range that the cut begins.
     of = lambda n: F.size(F.filter(tree, lambda x: x <= n))
     # Written, as it is read twice (and the optimiser fails on unions of such derived columns).
     ranged = written(numbered.select("page_id", "host", "path", "key", of(F.col("n")).alias("range")), "urls")
-    sizes = ranged.groupBy("range").agg((F.floor((F.count("*") - 1) / MOST) + 1).cast("int").alias("salts"))  # at most RANGES rows
+    sizes = ranged.groupBy("range").agg((F.floor((F.count("*") - 1) / most) + 1).cast("int").alias("salts"))  # at most RANGES rows
     events = events.withColumn("range", of(_number(F.col("at.key"))))
     carried = events.groupBy("range").agg(F.max_by("open", "at").alias("open"))  # at most RANGES rows
     begins = sizes.select("range", "salts", F.lit(None).cast(carried.schema["open"].dataType).alias("open")).unionByName(carried.select("range", F.lit(None).cast("int").alias("salts"), "open"))
