@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -52,7 +51,7 @@ def small_batches(spark: SparkSession):
 
 
 #: Rows that a task writes at least, where their number is known before.
-TASK_ROWS = 50_000
+TASK_ROWS = 20_000
 _rows: WeakKeyDictionary = WeakKeyDictionary()
 
 
@@ -133,7 +132,6 @@ def keeps(name: str, forget) -> None:
 
 def _trim() -> None:
     """Gives freed memory back to the system."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
@@ -151,7 +149,6 @@ def task(name: str):
             for other, forget in _tables.items():
                 if other != name:
                     forget()
-            _trim()
             try:
                 yield from f(batches)
             finally:
@@ -163,10 +160,14 @@ def task(name: str):
 
 
 def _c_library():
-    """glibc, told to take large arrays from the system and to return them when they are freed; else None."""
+    """glibc, told to keep freed arrays for the next ones until a task ends; else None.
+
+    Fresh pages for each array cost more than most of what is done with it.
+    """
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):
         return None
     return libc
