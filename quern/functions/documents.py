@@ -12,15 +12,22 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
+#: fixed values: spellings of a day (year, month, day), the first that matches decides; and the century where the year has two digits
+DAYS = (
+    (r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일", ""),
+    (r"(?<!\d)(\d{2})\.\s*(\d{1,2})\.\s*(\d{1,2})(?!\d)", "20"),
+    (r"(?<!\d)(\d{4})[-./](\d{1,2})[-./](\d{1,2})(?!\d)", ""),
+    (r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)", ""),
+    (r"(?<!\d)(\d{2})-(\d{1,2})-(\d{1,2})(?!\d)", "20"),
+)
+
+
 def normalize_date(text: Column) -> Column:
     """``YYYY-MM-DD`` from the usual spellings (of a range the first date); else the text as it is."""
     s = F.trim(F.regexp_replace(text, r"[(){}\[\]]", " "))
     s = F.regexp_replace(s, r"\s+\d{1,2}:\d{2}(:\d{2})?\s*(AM|PM|am|pm)?", "")
     out = text
-    for pattern, century in reversed([
-        (r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일", ""), (r"(?<!\d)(\d{2})\.\s*(\d{1,2})\.\s*(\d{1,2})(?!\d)", "20"), (r"(?<!\d)(\d{4})[-./](\d{1,2})[-./](\d{1,2})(?!\d)", ""),
-        (r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)", ""), (r"(?<!\d)(\d{2})-(\d{1,2})-(\d{1,2})(?!\d)", "20"),
-    ]):
+    for pattern, century in reversed(DAYS):
         part = lambda g, p=pattern: F.regexp_extract(s, p, g)
         out = F.when(s.rlike(pattern), F.concat(F.lit(century), part(1), F.lit("-"), F.lpad(part(2), 2, "0"), F.lit("-"), F.lpad(part(3), 2, "0"))).otherwise(out)
     return out

@@ -10,15 +10,15 @@ from ..operators import catalog as C
 from ..operators import retrieval as R
 
 
-def cascade(docs: DataFrame, codes: DataFrame, queries: DataFrame, k: int = 20, use_fts: bool = True, **bm25) -> DataFrame:
+def cascade(docs: DataFrame, codes: DataFrame, queries: DataFrame, k: int = 20, use_fts: bool = True, index: R.Index | None = None, **bm25) -> DataFrame:
     """query_id, doc_id, stage, score, rank.
 
     ``docs``: doc_id, filename, text, drafter. ``queries``: query_id, query. All stages are planned for all
     queries; a query with code hits keeps those alone, else documents that hold any of its terms come
     first if there are at least half of ``k``, else BM25's follow them. Scores are of relevance with the
-    bonus for the file name; the first ``k`` stay.
+    bonus for the file name, over whole texts; the first ``k`` stay. ``index``: that of ``docs``, if there is one.
     """
-    index = R.Index(docs)
+    index = index or R.Index(docs)
     asked = queries.withColumn("text", F.col("query"))
     found = queries.select("query_id", F.explode(R.T.extract_codes(F.col("query"))).alias("code"))
     exact = R.code_hits(codes, docs, found, k).select("query_id", "doc_id", F.lit(0).alias("stage"))
@@ -30,5 +30,5 @@ def cascade(docs: DataFrame, codes: DataFrame, queries: DataFrame, k: int = 20,
     both = exact.unionByName(rest.join(exact.select("query_id").distinct(), "query_id", "left_anti"))
     first = C.first_of_key(both, ["query_id", "doc_id"], "stage")
     joined = first.join(docs.select("doc_id", "filename", "text", "drafter"), "doc_id").join(queries, "query_id")
-    score = R.relevance(F.col("query"), F.col("filename"), F.left("text", F.lit(1000)), F.col("drafter")) + R.filename_bonus(F.col("query"), F.col("filename"))
+    score = R.relevance(F.col("query"), F.col("filename"), F.col("text"), F.col("drafter")) + R.filename_bonus(F.col("query"), F.col("filename"))
     return R.ranked(joined.select("query_id", "doc_id", "stage", score.alias("score")), "score", k)

@@ -33,12 +33,16 @@ scored AS (
 )"""
 
 
+def _index(spark, sf):
+    return R.stored_index(table(spark, sf, "documents"), f"{sf}/documents.parquet")
+
+
 def _queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _bm25(spark, sf, idf="robertson"):
-    return R.bm25(R.Index(table(spark, sf, "documents")), _queries(spark, sf), idf=idf)
+    return R.bm25(_index(spark, sf), _queries(spark, sf), idf=idf)
 
 
 @query("WITH " + _bm25_sql("robertson") + " SELECT * FROM bm25")
@@ -54,12 +58,12 @@ def bm25_lucene_topk(spark, sf):
 @query(f"""WITH {_INDEX}, met AS (SELECT query_id, doc_id, count(*) AS terms_met, CAST(sum(tf) AS BIGINT) AS tf_sum FROM asked JOIN postings USING (term) GROUP BY ALL)
 SELECT query_id, doc_id, terms_met, tf_sum, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY terms_met DESC, tf_sum DESC, doc_id) AS rank FROM met) WHERE rank <= 10""")
 def fts_or_match(spark, sf):
-    return R.or_match(R.Index(table(spark, sf, "documents")), _queries(spark, sf))
+    return R.or_match(_index(spark, sf), _queries(spark, sf))
 
 
 @query(f"""WITH {_INDEX} SELECT term, df, CAST(sum(tf) AS BIGINT) AS cf, CAST(max(tf) AS BIGINT) AS max_tf, round(avg(dl), 6) AS mean_dl FROM postings JOIN terms USING (term) JOIN lengths USING (doc_id) GROUP BY term, df""")
 def index_term_stats(spark, sf):
-    found = R.Index(table(spark, sf, "documents")).postings.groupBy("term")
+    found = _index(spark, sf).postings.groupBy("term")
     return found.agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.round(F.avg("dl"), 6).alias("mean_dl"))
 
 
@@ -94,7 +98,7 @@ _RANK9 = " SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY
 
 
 def _two_lists(spark, sf):
-    index = R.Index(table(spark, sf, "documents"))
+    index = _index(spark, sf)
     return R.bm25(index, _queries(spark, sf), k1=1.6, idf="lucene"), R.bm25(index, _queries(spark, sf))
 
 
@@ -135,7 +139,7 @@ def _reranked(spark, sf):
     q = _queries(spark, sf).withColumnRenamed("text", "query")
     first = _bm25(spark, sf)
     both = first.select("query_id", "doc_id").join(docs, "doc_id").join(q, "query_id")
-    return first, R.ranked(both.select("query_id", "doc_id", R.keyword_score(F.col("query"), F.col("text")).alias("score")), "score")
+    return first, R.ranked(R.keyword_scores(both), "score")
 
 
 @query("WITH " + _bm25_sql("robertson") + _KW + " SELECT query_id, doc_id, score, rank FROM reranked")
@@ -239,8 +243,8 @@ def cascade_search(spark, sf):
     from .cascade import cascade
 
     docs = table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit(".pdf")).alias("filename"), "text", F.col("source").alias("drafter"))
-    codes = spark.createDataFrame([], "doc_id bigint, norm_code string")
-    return cascade(docs, codes, _queries(spark, sf).withColumnRenamed("text", "query"))
+    codes = docs.select("doc_id", F.explode(F.transform(R.T.extract_codes(F.col("text")), R.T.normalize_code)).alias("norm_code"))
+    return cascade(docs, codes, _queries(spark, sf).withColumnRenamed("text", "query"), index=_index(spark, sf))
 
 
 @query(f"WITH {FX_FILES.sql()} SELECT doc_id, filename, CASE WHEN regexp_matches(filename, '_[0-9]\\.pdf$') THEN 'copy' ELSE 'single' END AS kind FROM fx_files WHERE regexp_matches(lower(filename), '\\.(pdf|txt)$')")
