@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,23 +204,32 @@ def _is_held_out(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0 for d in ids.to_pylist()], bool)
 
 
-def packed(grams: np.ndarray) -> bytes:
-    """N-grams of six bytes, ascending ones best, plane by plane: they compress well so."""
-    return grams.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+def small(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :6] = planes.T
-    return out.view("<u8").ravel()
+def large(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-#: What a row is: a text; a block's n-grams or words in one bucket; a bucket's; counts of bytes; sums over short contexts.
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 64 bits, compressed plane by plane: ascending ones and small ones take a few bytes so."""
+    return small(numbers.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked(data: bytes, kind=np.int64) -> np.ndarray:
+    planes = np.frombuffer(large(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+#: What a row is: some texts; a block's n-grams or words in one bucket; a bucket's; counts of bytes; sums over short contexts.
 TEXT, ASKED_GRAMS, ASKED_WORDS, GRAM_COUNTS, WORD_COUNTS, BYTES, SHORT = range(7)
-#: For texts: doc_id, held_out, the canonical bytes. For grams and words: those, and an array of numbers. n, v: numbers of each kind.
-ROWS = "kind int, block bigint, bucket int, doc_id bigint, held_out boolean, n bigint, v bigint, data binary, numbers binary"
-_ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("v", pa.int64()), ("data", pa.binary()), ("numbers", pa.binary())])
+#: For texts: canonical bytes, and of each text the size, doc_id and marks. For grams and words: those, and their counts
+#: or values. n, v: for texts how many there are, and are learned from; for words the sum, and how many have a count.
+ROWS = "kind int, block bigint, bucket int, n bigint, v bigint, data binary, numbers binary"
+_ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("data", pa.binary()), ("numbers", pa.binary())])
+#: Marks of texts: held out; without a doc_id.
+HELD, NO_ID = 1, 2
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -271,14 +281,14 @@ class Asked:
         ends = np.append(0, np.cumsum(np.bincount(bucket, minlength=self.buckets)))
         for k in np.flatnonzero(np.diff(ends)).tolist():
             on = order[ends[k] : ends[k + 1]]
-            yield {"kind": ASKED_GRAMS, "block": block, "bucket": k, "data": packed(own[on]), "numbers": count[on].astype("<u4").tobytes()}
+            yield {"kind": ASKED_GRAMS, "block": block, "bucket": k, "data": packed(own[on]), "numbers": packed(count[on])}
         dealt: dict[int, list[bytes]] = {}
         for w in self.held:
             self.words.setdefault(w, 0)
         for w in self.words:
             dealt.setdefault(zlib.crc32(w) % self.buckets, []).append(w)
         for k, words in dealt.items():
-            yield {"kind": ASKED_WORDS, "block": block, "bucket": k, "data": b" ".join(words), "numbers": np.array([self.words[w] for w in words], "<u4").tobytes()}
+            yield {"kind": ASKED_WORDS, "block": block, "bucket": k, "data": small(b" ".join(words)), "numbers": packed(np.array([self.words[w] for w in words], np.int64))}
 
 
 def _blocks(docs: DataFrame, depth: int, buckets: int, cut: int) -> DataFrame:
@@ -295,9 +305,10 @@ def _blocks(docs: DataFrame, depth: int, buckets: int, cut: int) -> DataFrame:
                 held = held_[i:j]
                 symbols += np.bincount(stream[~np.repeat(held, np.diff(ends))], minlength=256)
                 asked.add(stream, ends, held)
-                own = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(stream)])
-                none = pa.nulls(j - i, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, TEXT, np.int32)), pa.array(np.full(j - i, block)), pa.nulls(j - i, pa.int32()), b.column(0)[i:j], pa.array(held), none, none, own, pa.nulls(j - i, pa.binary())], schema=_ROWS)
+                ids = b.column(0)[i:j]
+                none = ids.is_null().to_numpy(zero_copy_only=False)
+                about = np.concatenate([np.diff(ends), ids.fill_null(0).to_numpy(), held * HELD + none * NO_ID]).astype(np.int64)
+                yield _batch([{"kind": TEXT, "block": block, "n": j - i, "v": int((~held).sum()), "data": small(stream.tobytes()), "numbers": packed(about)}])
                 if asked.size >= BLOCK:
                     for row in asked.rows(block):
                         yield _batch([row])
@@ -337,22 +348,22 @@ def _counts(asked: DataFrame, code: tuple, depth: int, cut: int) -> DataFrame:
         for bucket, rows in _of_buckets(batches):
             kept, size, words = [], 0, Counter()
             for r in rows:
-                numbers = np.frombuffer(r["numbers"], "<u4").astype(np.int64)
+                numbers = unpacked(r["numbers"])
                 if r["kind"] == ASKED_GRAMS:
-                    kept.append((unpacked(r["data"]), numbers))
+                    kept.append((unpacked(r["data"], np.uint64), numbers))
                     size += len(numbers)
                     if size > MERGE:
                         kept = [_added(kept)]
                         size = len(kept[0][0]) // 2
                 else:
-                    for w, n in zip(r["data"].split(b" "), numbers.tolist(), strict=True):
+                    for w, n in zip(large(r["data"]).split(b" "), numbers.tolist(), strict=True):
                         words[w] += n
             own, n = _added(kept)
             for k in range(0, len(own), MERGE):
-                yield _batch([{"kind": GRAM_COUNTS, "bucket": bucket, "data": packed(own[k : k + MERGE]), "numbers": n[k : k + MERGE].tobytes()}])
+                yield _batch([{"kind": GRAM_COUNTS, "bucket": bucket, "data": packed(own[k : k + MERGE]), "numbers": packed(n[k : k + MERGE])}])
             if words:
                 numbers = np.fromiter(words.values(), np.int64, len(words))
-                yield _batch([{"kind": WORD_COUNTS, "bucket": bucket, "n": int(numbers.sum()), "v": int((numbers > 0).sum()), "data": b" ".join(words), "numbers": numbers.tobytes()}])
+                yield _batch([{"kind": WORD_COUNTS, "bucket": bucket, "n": int(numbers.sum()), "v": int((numbers > 0).sum()), "data": small(b" ".join(words)), "numbers": packed(numbers)}])
             if cut and (n > 0).any():
                 keys, zeros, ones = fold(own[n > 0], n[n > 0], code, GRAMS, depth, cut)
                 total = weighed(keys, zeros, ones, GRAMS, cut)[2]
@@ -395,9 +406,9 @@ def _short(counted: DataFrame, cut: int) -> tuple[list, list]:
     return weighed(*(list(x) for x in zip(*levels[::-1], strict=True)), GRAMS, 0, total)[:2]
 
 
-def _answers(asked: DataFrame, counted: DataFrame, code: tuple, top: tuple, below: float, depth: int, cut: int) -> DataFrame:
-    """For each block and bucket the n-grams and words that it has asked for, with their log10 probabilities."""
-    shared, unknown = asked.sparkSession.sparkContext.broadcast(top), math.log10(0.1 / below)
+def _answers(asked: DataFrame, counted: DataFrame, code: tuple, top: tuple, depth: int, cut: int) -> DataFrame:
+    """For each block and bucket the n-grams that it has asked for with the log10 of their probabilities, and the words with their counts."""
+    shared = asked.sparkSession.sparkContext.broadcast(top)
 
     @task("ctw")
     def answer(batches):
@@ -405,43 +416,43 @@ def _answers(asked: DataFrame, counted: DataFrame, code: tuple, top: tuple, belo
             counts, words, grams_, values = [], {}, None, None
             for r in rows:
                 if r["kind"] == GRAM_COUNTS:
-                    counts.append((unpacked(r["data"]), np.frombuffer(r["numbers"], np.int64)))
+                    counts.append((unpacked(r["data"], np.uint64), unpacked(r["numbers"])))
                 elif r["kind"] == WORD_COUNTS:
-                    n = np.frombuffer(r["numbers"], np.int64)
-                    words.update(zip(r["data"].split(b" "), np.where(n > 0, np.log10((n + 0.1) / below), unknown).tolist(), strict=True))
+                    words.update(zip(large(r["data"]).split(b" "), unpacked(r["numbers"]).tolist(), strict=True))
                 elif r["kind"] == ASKED_WORDS:
-                    found = np.array([words[w] for w in r["data"].split(b" ")])
-                    yield _batch([{**r, "numbers": found.tobytes()}])
+                    yield _batch([{**r, "numbers": packed(np.array([words[w] for w in large(r["data"]).split(b" ")], np.int64))}])
                 else:
                     if grams_ is None:
                         grams_, n = _added(counts)
                         estimate, weight, _ = weighed(*fold(grams_[n > 0], n[n > 0], code, GRAMS, depth, cut), GRAMS, cut)
                         model = (shared.value[0] + estimate, shared.value[1] + weight, code)
                         values = np.concatenate([log10_probability(grams_[k : k + GRAMS], model, depth) for k in range(0, len(grams_), GRAMS)])
-                    yield _batch([{**r, "numbers": values[np.searchsorted(grams_, unpacked(r["data"]))].tobytes()}])
+                    yield _batch([{**r, "numbers": packed(values[np.searchsorted(grams_, unpacked(r["data"], np.uint64))])}])
 
-    columns = ["kind", "block", "bucket", "doc_id", "held_out", "n", "v", "data", "numbers"]
+    columns = ["kind", "block", "bucket", "n", "v", "data", "numbers"]
     both = counted.filter(F.col("kind").isin(GRAM_COUNTS, WORD_COUNTS)).unionByName(asked).select(*columns)
     # Counts come before questions.
     return both.repartition("bucket").sortWithinPartitions("bucket", F.col("kind").isin(ASKED_GRAMS, ASKED_WORDS)).mapInArrow(answer, ROWS)
 
 
 class Answers:
-    """What a block's texts are scored with."""
+    """What a block's texts are scored with; ``below``: the base's denominator."""
 
-    def __init__(self) -> None:
+    def __init__(self, below: float):
+        self.below, self.unknown = below, math.log10(0.1 / below)
         self.grams: list[np.ndarray] = []
         self.values: list[np.ndarray] = []
         self.words: dict[bytes, float] = {}
         self.ready = False
 
     def add(self, kind: int, data: bytes, numbers: bytes) -> None:
-        numbers = np.frombuffer(numbers, np.float64)
         if kind == ASKED_GRAMS:
-            self.grams.append(unpacked(data))
-            self.values.append(numbers)
+            self.grams.append(unpacked(data, np.uint64))
+            self.values.append(unpacked(numbers, np.float64))
         else:
-            self.words.update(zip(data.split(b" "), numbers.tolist(), strict=True))
+            n = unpacked(numbers)
+            logs = np.where(n > 0, np.log10((n + 0.1) / self.below), self.unknown)
+            self.words.update(zip(large(data).split(b" "), logs.tolist(), strict=True))
 
     def prepared(self) -> None:
         if not self.ready:
@@ -459,7 +470,7 @@ class Answers:
         value = self.values[np.searchsorted(self.grams, gram[first])]
         return np.bincount((own & np.uint64(65535)).astype(np.int64), np.repeat(value, np.diff(np.append(first, len(gram)))), len(sizes))
 
-    def base(self, stream: np.ndarray, ends: np.ndarray, unknown: float) -> tuple[np.ndarray, ...]:
+    def base(self, stream: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each text: words, words that are known, the sum of their logs."""
         words = stream.tobytes().split()
         value = np.fromiter(map(self.words.__getitem__, words), float, len(words))
@@ -468,7 +479,7 @@ class Answers:
         after[ends[:-1]] = False
         n = np.add.reduceat(after, ends[:-1], dtype=np.int64)
         doc = np.repeat(np.arange(len(n)), n)
-        return n, np.bincount(doc, value != unknown, len(n)).astype(np.int64), np.bincount(doc, value, len(n))
+        return n, np.bincount(doc, value != self.unknown, len(n)).astype(np.int64), np.bincount(doc, value, len(n))
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
@@ -501,48 +512,31 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         code = huffman(histogram)
         counted = work.written(_counts(asked, code, depth, cut), "counts")
         total, distinct = counted.filter(F.col("kind") == WORD_COUNTS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-        ends = texts.filter("not held_out").count()
+        ends = texts.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
         total, distinct = total + ends, distinct + (ends > 0)
         below = total + 0.1 * (distinct + 1)
-        answers = _answers(asked, counted, code, _short(counted, cut), below, depth, cut)
+        answers = _answers(asked, counted, code, _short(counted, cut), depth, cut)
 
         @task("ctw")
         def score(batches):
-            unknown, end = math.log10(0.1 / below), math.log10((ends + 0.1) / below)
-            block, own, held, size = None, None, [], 0
-
-            def done():
-                table = pa.Table.from_batches(held).combine_chunks()
-                data, at = utf8(table.column("data").combine_chunks())
-                stream, at = data[at[0] : at[-1]], at - at[0]
-                n, known, base = own.base(stream, at, unknown)
-                sums = own.scores(stream, at, depth)
-                columns = [n + 1, known + int(ends > 0), np.full(len(n), total), base + end, sums, -sums * math.log2(10) / np.diff(at)]
-                arrays = [table.column(c).combine_chunks() for c in ("doc_id", "held_out")] + [pa.array(c, f.type) for c, f in zip(columns, list(_SCORED)[2:], strict=True)]
-                return pa.RecordBatch.from_arrays(arrays, schema=_SCORED)
-
-            for b in batches:
-                kinds, of = b.column("kind").to_numpy(), b.column("block").to_numpy()
-                cuts = np.append(np.flatnonzero(np.append(True, (kinds[1:] != kinds[:-1]) | (of[1:] != of[:-1]))[: len(kinds)]), len(kinds)).tolist()
-                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    if of[i] != block:
-                        if held:
-                            yield done()
-                        block, own, held, size = of[i], Answers(), [], 0
-                    part = b.slice(i, j - i)
-                    if kinds[i] != TEXT:
-                        for kind, d, x in zip(kinds[i:j].tolist(), part.column("data").to_pylist(), part.column("numbers").to_pylist(), strict=True):
-                            own.add(kind, d, x)
-                        continue
-                    held.append(part)
-                    size += int(np.diff(utf8(part.column("data"))[1]).sum())
-                    if size >= PIECE or sum(x.num_rows for x in held) > 1 << 14:
-                        yield done()
-                        held, size = [], 0
-            if held:
-                yield done()
-
-        columns = ["kind", "block", "doc_id", "held_out", "data", "numbers"]
+            end, block, own = math.log10((ends + 0.1) / below), None, Answers(below)
+            for r in (x for b in batches for x in b.to_pylist()):
+                if r["block"] != block:
+                    block, own = r["block"], Answers(below)
+                if r["kind"] != TEXT:
+                    own.add(r["kind"], r["data"], r["numbers"])
+                    continue
+                stream, (sizes, ids, marks) = np.frombuffer(large(r["data"]), np.uint8), unpacked(r["numbers"]).reshape(3, -1)
+                at = np.append(0, np.cumsum(sizes))
+                for k in range(0, len(sizes), 1 << 15):
+                    part, on = at[k : k + (1 << 15) + 1], slice(k, k + (1 << 15))
+                    data = stream[part[0] : part[-1]]
+                    n, known, base = own.base(data, part - part[0])
+                    sums = own.scores(data, part - part[0], depth)
+                    columns = [pa.array(ids[on], pa.int64(), mask=(marks[on] & NO_ID) > 0), (marks[on] & HELD) > 0, n + 1, known + int(ends > 0), np.full(len(n), total), base + end, sums, -sums * math.log2(10) / sizes[on]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCORED, strict=True)], schema=_SCORED)
+
+        columns = ["kind", "block", "data", "numbers"]
         both = answers.select(*columns).unionByName(texts.select(*columns))
         # Answers come before texts.
         return work.result(both.repartition("block").sortWithinPartitions("block", F.col("kind") == TEXT).mapInArrow(score, RESULT), "scored")

@@ -666,7 +666,7 @@ def test_lm_table_grows_with_the_corpus(spark):
         found = work.written(ctw._blocks(docs_of(spark, rows).select("doc_id", "text"), 5, 7, 3), "blocks").filter(F.col("kind").isin(ctw.ASKED_GRAMS, ctw.ASKED_WORDS))
         histogram = np.bincount(np.frombuffer(b"".join(g[-1:] for g in own), np.uint8), minlength=256)
         counted = ctw._counts(found, ctw.huffman(histogram), 5, 3).filter(F.col("kind") == ctw.GRAM_COUNTS).select("data").collect()
-    codes = np.concatenate([ctw.unpacked(bytes(r.data)) for r in counted])
+    codes = np.concatenate([ctw.unpacked(bytes(r.data), np.uint64) for r in counted])
     assert len(codes) == len(np.unique(codes)) == len(own)
 
 
