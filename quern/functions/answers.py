@@ -27,7 +27,7 @@ PLAIN, WIDE = "|".join(w.lower() for w in BASIC), "|".join(HYBRID)
 
 def cited_files(answer: Column) -> Column:
     """File names with ``.pdf`` in brackets or by themselves, distinct."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"([^\s\[\](),:]+\.pdf)"), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"([^\s\[\](),:]+\.pdf)"), F.lit(1)), lambda x: F.trim(x)))
 
 
 def citations(answer: Column, available: Column) -> Column:

@@ -54,7 +54,7 @@ def finances(text: Column) -> Column:
 
 def all_of(text: Column, patterns: Sequence[str]) -> Column:
     """What any pattern's group matches, distinct, in the order of the patterns."""
-    return F.array_distinct(F.transform(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])), F.trim))
+    return F.array_distinct(F.transform(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])), lambda x: F.trim(x)))
 
 
 def metadata(text: Column) -> Column:

@@ -16,7 +16,7 @@ from ..functions import text as T
 
 def sentences(df: DataFrame, *keep: str, text: str = "text", least: int = 10) -> DataFrame:
     """keep, pos (from 0), sentence: parts between ends of sentences or lines, of ``least`` characters or more."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"[.!?]\s+|\n+"), F.trim), lambda x: F.length(x) >= least)
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"[.!?]\s+|\n+"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
     return df.select(*keep, F.posexplode(parts).alias("pos", "sentence"))
 
 
