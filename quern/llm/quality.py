@@ -1,15 +1,19 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
 Each document gets a few measures. Quantile sketches (KLL) of each measure are built per language
-and source; the sketches of small groups are merged upwards (language, then everything) instead of
-being built anew. A document is kept if each measure lies within its group's fences, which are
-joined back to it.
+and source, and merged upwards (language, then everything). A group's quantiles are its own and those of its
+language, and these in turn those of everything, each weighed by its number of documents against ``PRIOR``: a small group
+leans on what is above it, a large one stands on its own, and there is no size at which the rule changes. A document is kept if each
+measure lies within its group's fences, which are joined back to it. Sketches of more than some hundred values are approximate
+(ranks to about 1.3 %) and depend a little on the order they were merged in, so a text right at a fence may fall on either side.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,22 +24,39 @@ from .common import few, task, text_of, written
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = "doc_id bigint, key bigint, lang string, source string, " + ", ".join(f"{c} bigint" for c in COUNTS)
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lang", pa.string()), ("source", pa.string()), *[(c, pa.int64()) for c in COUNTS]])
-
-#: measure: (does a low value count against a text, does a high one, least width of a fence). The
-#: expressions are in ``measures``. Widths keep ordinary texts in groups that hardly vary.
-MEASURES = {"mean_word": (True, True, 1.5), "symbol_share": (False, True, 0.03), "repeat_share": (False, True, 0.3), "dup_lines_share": (False, True, 0.1)}
-#: A fence lies this many times the middle spread (first to third quartile) outside of it.
-SPREADS = 4.0
-#: Groups with fewer documents take the merged sketch of their language, or of everything.
-LEAST_DOCS = 200
+ALL_COUNTS = [*COUNTS, "n_lines"]
+FEATURES = "doc_id bigint, key bigint, lang string, source string, " + ", ".join(f"{c} bigint" for c in ALL_COUNTS)
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lang", pa.string()), ("source", pa.string()), *[(c, pa.int64()) for c in ALL_COUNTS]])
+
+
+
+@dataclass(frozen=True)
+class Fence:
+    """Bounds ``times`` the distance of two quantiles outside of them; never nearer than ``least``.
+
+    ``low``: whether low values count against a text as well. ``least`` decides only where a group hardly varies.
+    """
+
+    low: bool
+    quantiles: tuple[float, float]
+    times: float
+    least: float
+
+
+#: The expressions are in ``with_measures``. Upper-tail quantiles for shares that most texts have none of, but the third quartile where
+#: the texts to find are more than a twentieth.
+MEASURES = {
+    "mean_word": Fence(True, (0.25, 0.75), 8.0, 0.5), "symbol_share": Fence(False, (0.5, 0.75), 8.0, 0.03),
+    "repeat_share": Fence(False, (0.5, 0.95), 8.0, 0.3), "dup_lines_share": Fence(False, (0.5, 0.95), 8.0, 0.5),
+}
+#: Documents that what is above a group counts for.
+PRIOR = 200
 #: Size parameter of the sketches: ranks are right to about 1.3 %.
 SKETCH_K = 200
 
 
-def counts(text: str) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a whole text."""
+def counts(text: str) -> tuple[int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (those with a word) of a whole text."""
     words = text.encode("utf-8", "surrogatepass").split()  # of bytes: at just the six white-space bytes
     n = len(words)
     chars = len(text) - sum(map(text.count, SPACES.decode()))
@@ -48,7 +69,7 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
             if found[w] > 1:
                 repeats += k + 2 - max(last, k - 1)
                 last = k + 2
-    duplicates = 0
+    duplicates, lines = 0, int(n > 0)
     if "\n" in text:
         seen = set()
         for line in text.split("\n"):
@@ -56,7 +77,8 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
                 duplicates += 1
             elif line.encode("utf-8", "surrogatepass").split():
                 seen.add(line)
-    return n, chars, sum(map(text.count, SYMBOLS)), duplicates, repeats
+        lines = len(seen) + duplicates
+    return n, chars, sum(map(text.count, SYMBOLS)), duplicates, repeats, lines
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -82,31 +104,40 @@ def with_measures(found: DataFrame) -> DataFrame:
         "mean_word": F.col("word_chars") / words,
         "symbol_share": F.col("n_symbols") / chars,
         "repeat_share": F.col("n_repeat_words") / words,
-        "dup_lines_share": F.col("n_dup_lines") / words,
+        "dup_lines_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
     })
 
 
-def _fences(sketch: str, low: bool, high: bool, least: float, enough) -> list:
-    """The bounds from a sketch, null where there are too few documents."""
-    q = [F.when(enough, F.kll_sketch_get_quantile_double(sketch, F.lit(x))) for x in (0.25, 0.75)]
-    width = F.greatest(F.lit(SPREADS) * (q[1] - q[0]), F.lit(least))
-    return [q[0] - width if low else F.lit(None).cast("double"), q[1] + width if high else F.lit(None).cast("double")]
+def _sketched(df: DataFrame, merge: bool, *keys: str) -> DataFrame:
+    """Documents that passed the base, and sketches of their measures, for each of the keys."""
+    ok = ~F.col("base_failed") if not merge else None
+    own = [F.kll_merge_agg_double(m) if merge else F.kll_sketch_agg_double(F.when(ok, F.col(m)), SKETCH_K) for m in MEASURES]
+    n = F.sum("n") if merge else F.count_if(ok)
+    return df.groupBy(*keys).agg(n.alias("n"), *[c.alias(m) for c, m in zip(own, MEASURES, strict=True)])
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """_lang, _source and, for each measure, its low and high bound (null: none)."""
-    ok = ~F.col("base_failed")
-    groups = measured.groupBy("_lang", "_source").agg(F.count_if(ok).alias("n"), *[F.kll_sketch_agg_double(F.when(ok, F.col(m)), SKETCH_K).alias(m) for m in MEASURES])
-    groups = written(groups, "sketches")  # a row for each group, read three times
-    langs = groups.groupBy("_lang").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in MEASURES])
-    total = groups.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in MEASURES])
-
-    def bounds(df: DataFrame, enough, prefix: str, *keys: str) -> DataFrame:
-        return df.select(*keys, *[b.alias(f"{prefix}{m}_{side}") for m, how in MEASURES.items() for b, side in zip(_fences(m, *how, enough), ("low", "high"), strict=True)])
-
-    top = bounds(total, F.col("n") > 0, "").first()  # one row of numbers
-    own = bounds(groups, F.col("n") >= LEAST_DOCS, "g_", "_lang", "_source").join(bounds(langs, F.col("n") >= LEAST_DOCS, "l_", "_lang"), "_lang")
-    return own.select("_lang", "_source", *[F.coalesce(f"g_{m}_{s}", f"l_{m}_{s}", F.lit(top[f"{m}_{s}"]).cast("double")).alias(f"{m}_{s}") for m in MEASURES for s in ("low", "high")])
+    groups = written(_sketched(measured, False, "_lang", "_source"), "sketches")  # a row for each group, read three times
+    names = [(m, k) for m in MEASURES for k in (0, 1)]
+
+    def quantiles(df: DataFrame, prefix: str, *keys: str) -> DataFrame:
+        """Two quantiles of each measure; null without documents."""
+        return df.select(*keys, F.col("n").alias(f"{prefix}n"), *[F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(m, F.lit(MEASURES[m].quantiles[k]))).alias(f"{prefix}{m}{k}") for m, k in names])
+
+    top = quantiles(_sketched(groups, True), "t_").first()  # one row of numbers
+    own = quantiles(groups, "g_", "_lang", "_source").join(quantiles(_sketched(groups, True, "_lang"), "l_", "_lang"), "_lang")
+
+    def leaning(prefix: str, m: str, k: int, above) -> object:
+        n, q = F.col(f"{prefix}n"), F.col(f"{prefix}{m}{k}")
+        return F.when(n > 0, (n * q + PRIOR * above) / (n + PRIOR)).otherwise(above)
+
+    out = []
+    for m, fence in MEASURES.items():
+        q = [leaning("g_", m, k, leaning("l_", m, k, F.lit(top[f"t_{m}{k}"]).cast("double"))) for k in (0, 1)]
+        width = F.greatest(F.lit(fence.times) * (q[1] - q[0]), F.lit(fence.least))
+        out += [(q[0] - width if fence.low else F.lit(None).cast("double")).alias(f"{m}_low"), (q[1] + width).alias(f"{m}_high")]
+    return own.select("_lang", "_source", *out)
 
 
 def _judged(docs: DataFrame) -> DataFrame:

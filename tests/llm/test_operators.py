@@ -292,7 +292,33 @@ def brute_counts(text):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab \n#\t\x1c\xa0", max_size=60))
 def test_quality_counts(text):
-    assert quality.counts(text) == brute_counts(text)
+    import re
+
+    assert quality.counts(text)[:5] == brute_counts(text)
+    assert quality.counts(text)[5] == sum(bool(re.search(r"[^\x20\x09-\x0D]", line)) for line in text.split("\n"))
+
+
+def test_quality_fences_lean_on_what_is_above(spark):
+    """A source of long words keeps them if it is large; a few such texts among a small source's are judged by what is above it."""
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(n - 2, n + 2))) for _ in range(60))
+    rows = [(k, text(5), "en", "plain") for k in range(600)] + [(1000 + k, text(13), "en", "long") for k in range(1500)] + [(3000 + k, text(5), "en", "small") for k in range(20)] + [(4000, text(30), "en", "small"), (4001, text(5), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    assert all(kept[d] for d, *_ in rows if d != 4000)
+    alone = {r.doc_id: r.kept for r in quality.judged(docs.filter("source = 'plain' or doc_id >= 4000").unionByName(docs.filter("doc_id between 1000 and 1003"))).collect()}
+    assert not any(alone[k] for k in range(1000, 1004)) and all(alone[k] for k in range(600)) and not alone[4000]
+    found = quality.with_measures(quality.features(docs)).withColumns({"_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))})
+    fences = {r._source: r for r in quality.thresholds(found).collect()}
+    assert fences["plain"].mean_word_high < fences["small"].mean_word_high and fences["plain"].mean_word_low < fences["long"].mean_word_low
+
+
+def test_quality_verdicts_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    a, b = ({r.doc_id: r.kept for r in quality.judged(docs.repartition(n)).collect()} for n in (1, 7))
+    assert a == b
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    assert sum(a[d] == (q == 1) for d, q in labels.items()) >= 0.9 * len(labels)
 
 
 def test_quality(spark, documents):
