@@ -17,11 +17,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, few, mix, task, text_of, utf8, written
+from .common import blocks, few, mix, task, utf8, written
 from .induced import repeated_starts
 
 LENGTH, GRAM = 200, 64
@@ -295,8 +295,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return repeated.unionByName(_sorted_shards(_bodies(docs, asked)))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return text_of(docs, "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text (null: empty), key and more of every row; a null doc_id has a number from the text in its place, so that joins find it."""
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(F.lit("no id"), text)).alias("doc_id"), text.alias("text"), *more)
+    return own.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def removal_spans(docs: DataFrame) -> DataFrame:
@@ -349,18 +352,18 @@ def report(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True)]], schema=schema)
 
-    return _with_spans(_keyed(docs)).select("doc_id", "text", "spans").mapInArrow(digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return _with_spans(_keyed(docs, F.col("doc_id").alias("_own"))).select("_own", "text", "spans").mapInArrow(digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The columns of documents, repeated strings removed from their texts; n_chars follows the text.
 
     Pieces of characters that a cut leaves go as well. Documents of which nothing is left go; so do
-    null and empty ones. Other documents stay as they are.
+    null and empty ones, and repeated rows that are copies of each other from end to end. Other documents stay as they are.
+    An empty table gives an empty one.
     """
     columns, fields = docs.columns, docs.schema
-    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("doc_id", "text"))
-    joined = _with_spans(keyed)
+    joined = _with_spans(_keyed(docs, F.struct(*columns).alias("_row")))
 
     @F.pandas_udf("string")
     def without(text, spans):
@@ -370,4 +373,4 @@ def cleaned(docs: DataFrame) -> DataFrame:
         return pd.Series([kept.decode("utf-8", "ignore") for *_, kept in _kept(batch, 0, 1)])
 
     changed = joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(without("text", "spans"))).filter(F.col("text") != "")
-    return changed.select(*[F.char_length("text").cast(fields[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns])
+    return changed.select(*[F.col("text") if c == "text" else F.char_length("text").cast(fields[c].dataType).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in columns])

@@ -584,6 +584,19 @@ def test_repeats_of_an_anchor_with_more_than_a_shard(spark, monkeypatch):
     assert max(r[0] for r in asked.groupBy("anchor").agg(F.sum(F.col("n") + 199)).select(F.col("sum((n + 199))")).collect()) <= 3000
 
 
+def test_repeats_without_ids_and_with_clashing_columns(spark):
+    text = "".join(f"word{k} " for k in range(100))
+    rows = [(None, text), (None, text), (1, text[:400] + "zzz"), (1, "short"), (None, "q" + text[100:])]
+    docs = docs_of(spark, rows)
+    assert Counter(tuple(r) for r in repeats.report(docs).collect()) == Counter(brute_repeats(rows))
+    left = repeats.cleaned(docs)
+    assert left.columns == docs.columns and left.schema == docs.schema
+    found = {(r.doc_id, r.text) for r in left.collect()}
+    assert (1, "short") in found and (1, "zzz") in found and (None, "q") in found
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    assert {tuple(r) for r in left.select(*others).collect()} == {tuple(r) for r in docs.select(*others).distinct().collect()}
+
+
 def test_ctw_adds_up_to_one():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 101, 4000).astype(np.uint8)
