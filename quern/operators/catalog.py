@@ -159,3 +159,97 @@ def consecutive_lines(docs: DataFrame, most: int = 1) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("pos")
     marked = lines.withColumn("_new", F.coalesce((F.col("line") != F.lag("line").over(w)).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
     return marked.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("pos"))).filter(F.col("_n") <= most).select("doc_id", "pos", "line")
+
+
+def extraction_quality(chars: Column, pages: Column) -> Column:
+    """zero, low (fewer than 100 characters, or 50 a page) or ok."""
+    return F.when(chars == 0, "zero").when((chars < 100) | (F.coalesce(F.try_divide(chars.cast("double"), pages.cast("double")), F.lit(0.0)) < 50), "low").otherwise("ok")
+
+
+def passing_all(df: DataFrame, key: str, *conditions: Column) -> DataFrame:
+    """The rows whose key has, for each condition, a row that meets it."""
+    met = df.groupBy(key).agg(F.bool_and(F.lit(True)).alias("_m"), *[F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(f"_c{n}") for n, c in enumerate(conditions)])
+    good = met
+    for n in range(len(conditions)):
+        good = good.filter(F.col(f"_c{n}") == 1)
+    return df.join(good.select(key), key, "left_semi")
+
+
+def in_all(key: str, *results: DataFrame) -> DataFrame:
+    """The keys that every result has."""
+    out = results[0].select(key).distinct()
+    for r in results[1:]:
+        out = out.join(r.select(key).distinct(), key, "left_semi")
+    return out
+
+
+def looked_up(hits: DataFrame, docs: DataFrame, key: str, defaults: dict[str, object], drafter: str | None = None, year: str | None = None) -> DataFrame:
+    """Each hit with its document's fields, or their defaults; with a filter on people hits without a document that passes go."""
+    own = docs
+    if drafter is not None:
+        own = own.filter(F.col("drafter") == drafter)
+    if year is not None:
+        own = own.filter(F.col("date").startswith(year))
+    one = own.dropDuplicates([key]).select(key, *defaults)
+    joined = hits.join(one, key, "left" if drafter is None else "inner")
+    return joined.select(*hits.columns, *[F.coalesce(F.col(c), F.lit(v)).alias(c) if v is not None else F.col(c) for c, v in defaults.items()])
+
+
+def top_codes(codes: DataFrame, n: int) -> DataFrame:
+    """norm_code, code (a sample), documents of the codes in most documents."""
+    found = codes.groupBy("norm_code").agg(F.min("code").alias("code"), F.count_distinct("doc_id").alias("documents"))
+    return found.orderBy(F.desc("documents"), "norm_code").limit(n)
+
+
+def expired(rows: DataFrame, now: Column, seconds: float, created: str, accessed: str | None = None) -> DataFrame:
+    """Rows older than a time to live: since they were made, or (sliding) since they were last used if that is later."""
+    last = F.greatest(created, accessed) if accessed else F.col(created)
+    return rows.filter(F.unix_micros(now.cast("timestamp")) / 1e6 - F.unix_micros(last.cast("timestamp")) / 1e6 > seconds)
+
+
+def cache_stats(rows: DataFrame, count: str) -> DataFrame:
+    """One row: entries, uses, mean uses."""
+    return rows.agg(F.count("*").alias("entries"), F.coalesce(F.sum(count), F.lit(0)).alias("uses"), F.round(F.coalesce(F.avg(count), F.lit(0.0)), 6).alias("mean_uses"))
+
+
+def with_columns_of(df: DataFrame, schema: str) -> DataFrame:
+    """Schema evolution: columns that are new in the schema come as nulls, others stay; types follow the schema."""
+    from pyspark.sql.types import StructType
+
+    wanted = StructType.fromDDL(schema)
+    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in wanted if f.name not in df.columns]
+    known = {f.name: f.dataType for f in wanted}
+    return df.select(*[F.col(c).cast(known[c]).alias(c) if c in known else F.col(c) for c in df.columns], *added)
+
+
+def dated_between(files: DataFrame, first: str, last: str, column: str = "filename") -> DataFrame:
+    """Files whose name's day lies between two days, in order of days."""
+    from ..functions.documents import filename_date
+
+    return files.withColumn("date", filename_date(F.col(column))).filter(F.col("date").between(first, last)).orderBy("date", column)
+
+
+def by_drafter(docs: DataFrame, name: str, n: int, key: str = "doc_id", *dates: str) -> DataFrame:
+    """The n newest documents whose drafter holds a name."""
+    return newest(docs.filter(F.col("drafter").contains(name)), n, key, *dates)
+
+
+def drafter_counts(docs: DataFrame, unknown: str = "미확인", column: str = "drafter") -> DataFrame:
+    """One row: documents, known, percent (whole), names, names of Hangul alone."""
+    known = F.coalesce(~F.col(column).isin(unknown, ""), F.lit(False))
+    out = docs.agg(F.count("*").alias("documents"), F.count_if(known).alias("known"), F.count_distinct(F.when(known, F.col(column))).alias("names"), F.count_distinct(F.when(known & F.col(column).rlike("^[가-힣]{2,4}$"), F.col(column))).alias("hangul"))
+    return out.withColumn("percent", F.floor(F.col("known") * 100 / F.greatest("documents", F.lit(1))))
+
+
+def error_stats(failures: DataFrame, key: str, at: str, recent: int = 5) -> DataFrame:
+    """One row: failed (distinct), errors, the ``recent`` last ones' keys, the latest first."""
+    last = failures.orderBy(F.desc(at), F.desc(key)).limit(recent).agg(F.transform(F.sort_array(F.collect_list(F.struct(at, key)), asc=False), lambda s: s[key]).alias("recent"))
+    return failures.agg(F.count_distinct(key).alias("failed"), F.count("*").alias("errors")).join(last)  # one row each
+
+
+def index_metrics(docs: DataFrame, **indexes: DataFrame) -> DataFrame:
+    """One row: documents, the size of each index, documents beyond the largest."""
+    out = docs.agg(F.count("*").alias("documents"))
+    for name, index in indexes.items():
+        out = out.join(index.agg(F.count("*").alias(name)))  # one row each
+    return out.withColumn("unindexed", F.greatest(F.lit(0), F.col("documents") - F.greatest(*[F.col(n) for n in indexes], F.lit(0))))

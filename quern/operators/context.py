@@ -108,3 +108,72 @@ def keyword_coverage(query: Column, texts: Column, words: list[str]) -> Column:
     """How many of the domain's words in the query stand in any of the texts."""
     asked = F.filter(F.array(*map(F.lit, words)), lambda w: query.contains(w))
     return F.size(F.filter(asked, lambda w: F.exists(texts, lambda t: t.contains(w))))
+
+
+#: fixed values: what makes a sentence a core one, and the points for it
+CORE_UNITS = ("원", "년", "월", "일", "개", "대", "만", "억", "식", "통", "건", "명", "권")
+CORE_WORDS = (
+    "기안", "구매", "수리", "교체", "렌즈", "마이크", "카메라", "케이블", "품목", "모델", "금액", "날짜", "작성", "신청", "배터리", "건전지", "소모품", "장비", "방송", "촬영", "사옥", "검토",
+)
+CORE_MARKS = ("따라서", "요약", "결론", "목적", "종합", "권고", "확정", "내용")
+
+
+def _count_of(text: Column, words: tuple[str, ...]) -> Column:
+    return sum((text.contains(w).cast("int") for w in words), F.lit(0))
+
+
+def core_score(sentence: Column, pos: Column, last: Column, numeric: float = 3.0, keyword: float = 1.0, conclusion: float = 2.0, edge: float = 1.0) -> Column:
+    """Points for numbers or units, for each word of the domain, for a mark of conclusions, and for the first and last sentence."""
+    number = sentence.rlike(r"\d") | (_count_of(sentence, CORE_UNITS) > 0)
+    return F.when(number, numeric).otherwise(0.0) + _count_of(sentence, CORE_WORDS) * keyword + F.when(_count_of(sentence, CORE_MARKS) > 0, conclusion).otherwise(0.0) + F.when((pos == 0) | (pos == last), edge).otherwise(0.0)
+
+
+def core_sentences(df: DataFrame, key: str, budget: int, text: str = "text") -> DataFrame:
+    """key, kept (positions): the core sentences of each text that fit into ``budget`` characters, better ones first."""
+    parts = sentences(df, key, text=text, least=11)
+    last = F.max("pos").over(Window.partitionBy(key))
+    scored = parts.withColumn("_last", last).withColumn("score", core_score(F.col("sentence"), F.col("pos"), F.col("_last")))
+    return compress_skip(scored, key, budget)
+
+
+def cut_at_paragraph(text: Column, most: int) -> Column:
+    """Whole paragraphs up to ``most`` characters (two for what parts them); the head of the text if the first is too long."""
+    parts = F.filter(F.transform(F.split(text, r"\n{2,}"), lambda p: F.trim(p)), lambda p: p != "")
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"), F.array().cast("array<string>").alias("kept"))
+    fits = lambda a, p: a["open"] & (a["n"] + F.length(p) + 2 <= most)
+    step = lambda a, p: F.struct(F.when(fits(a, p), a["n"] + F.length(p) + 2).otherwise(a["n"]).alias("n"), fits(a, p).alias("open"), F.when(fits(a, p), F.concat(a["kept"], F.array(p))).otherwise(a["kept"]).alias("kept"))
+    kept = F.aggregate(parts, start, step)["kept"]
+    return F.when(F.size(kept) > 0, F.array_join(kept, "\n\n")).otherwise(F.left(text, F.lit(most)))
+
+
+def same_document_first(hits: DataFrame, document: str, most: int = 10) -> DataFrame:
+    """query_id, doc_id, rank: the hits of the first one's document come first, then the others; ``most`` of each query."""
+    first = hits.groupBy("query_id").agg(F.min_by(document, "rank").alias("_first"))
+    order = Window.partitionBy("query_id").orderBy((F.col(document) != F.col("_first")).cast("int"), "rank")
+    out = hits.join(first, "query_id").withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most)
+    return out.select("query_id", "doc_id", F.col("_rank").alias("rank"))
+
+
+def priority_first(hits: DataFrame, pattern: str, most: int = 10, text: str = "text") -> DataFrame:
+    """query_id, doc_id, rank: hits whose text matches come first, in their order; ``most`` of each query."""
+    order = Window.partitionBy("query_id").orderBy((~F.coalesce(F.col(text).rlike(pattern), F.lit(False))).cast("int"), "rank")
+    return hits.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).select("query_id", "doc_id", F.col("_rank").alias("rank"))
+
+
+def full_text_if_short(snippet: Column, whole: Column, least: int = 1200, most: int = 5000) -> Column:
+    """The snippet; if it is shorter than ``least``, the head of the whole text where there is one."""
+    return F.when(F.length(snippet) >= least, snippet).otherwise(F.coalesce(F.left(whole, F.lit(most)), snippet))
+
+
+def compression_stats(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row from sentences (doc_id, sentence) before and after: documents, characters, ratio, mean per document, sentences, share kept."""
+    size = lambda df, p: df.agg(F.countDistinct("doc_id").alias(f"{p}_docs"), F.coalesce(F.sum(F.length("sentence")), F.lit(0)).alias(f"{p}_chars"), F.count("*").alias(f"{p}_sentences"))
+    both = size(before, "all").join(size(after, "kept"))  # one row each
+    part = lambda a, b, default: F.round(F.coalesce(F.try_divide(a, b), F.lit(default)), 6)
+    return both.select("all_docs", "all_chars", "kept_chars", "all_sentences", "kept_sentences", part(F.col("kept_chars"), F.col("all_chars"), 1.0).alias("ratio"), part(F.col("kept_chars"), F.col("kept_docs"), 0.0).alias("mean_chars"), part(F.col("kept_sentences"), F.col("all_sentences"), 0.0).alias("kept_share"))
+
+
+def chunk_stats(chunks: DataFrame, key: str, tokens: Column, least: int = 200) -> DataFrame:
+    """key, chunks, mean, median (the upper one), largest, small (below ``least``) and their share in percent, of the tokens of chunks."""
+    found = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.round(F.avg(tokens), 1).alias("mean"), F.sort_array(F.collect_list(tokens)).alias("_t"), F.max(tokens).alias("largest"), F.count_if(tokens < least).alias("small"))
+    return found.select(key, "chunks", "mean", F.get("_t", F.floor(F.size("_t") / 2).cast("int")).alias("median"), "largest", "small", F.round(F.col("small") / F.col("chunks") * 100, 2).alias("small_rate"))

@@ -95,3 +95,41 @@ def exposition(metrics: DataFrame) -> DataFrame:
 
 def decay(seconds: float, horizon: float = 60.0) -> float:
     return 1 - math.exp(-seconds / horizon)
+
+
+def verdicts(results: DataFrame) -> DataFrame:
+    """``results`` (expected_mode, actual_mode, expected_citations, has_citations, error) with status PASS, FAIL or ERROR."""
+    good = (F.col("actual_mode") == F.col("expected_mode")) & (F.col("has_citations") == F.col("expected_citations"))
+    return results.withColumn("status", F.when(F.col("error").isNotNull(), "ERROR").when(good, "PASS").otherwise("FAIL"))
+
+
+def verdict_report(judged: DataFrame, by: str) -> DataFrame:
+    """For each group and for all of them (null): total, passed, failed, errors, mean latency and score of those without an error."""
+    ok = F.col("status") != "ERROR"
+    return judged.cube(by).agg(
+        F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(n) for n, s in (("passed", "PASS"), ("failed", "FAIL"), ("errors", "ERROR"))],
+        F.round(F.coalesce(F.avg(F.when(ok, F.col("latency"))), F.lit(0.0)), 6).alias("mean_latency"), F.round(F.coalesce(F.avg(F.when(ok, F.col("top_score"))), F.lit(0.0)), 6).alias("mean_score"),
+    )
+
+
+def coverage_check(results: DataFrame, least: int) -> DataFrame:
+    """query_id, meets, ratio (1 at most): whether enough chunks were used."""
+    return results.select("query_id", (F.col("chunks_used") >= least).alias("meets"), F.least(F.lit(1.0), F.col("chunks_used") / F.lit(max(1, least))).alias("ratio"))
+
+
+def benchmark(hits: DataFrame, expected: DataFrame) -> DataFrame:
+    """query_id, hit, rr of retrieved (query_id, doc_id, rank) against expected (query_id, doc_id) documents."""
+    met = hits.join(expected.distinct(), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first"))
+    return expected.select("query_id").distinct().join(met, "query_id", "left").select("query_id", F.col("first").isNotNull().alias("hit"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 9).alias("rr"))
+
+
+def suite_summary(cases: DataFrame, latency: str = "latency") -> DataFrame:
+    """One row of cases (passed, hits_at_k, min_hits, rr): total, passed, hit rate, mean reciprocal rank, p95 of the latency."""
+    hit = F.avg((F.col("hits_at_k") >= F.col("min_hits")).cast("double"))
+    return cases.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.round(hit, 6).alias("hit_rate"), F.round(F.avg("rr"), 6).alias("mrr"), nearest_rank(latency, 0.95).alias("p95"))
+
+
+def call_summary(calls: DataFrame, name: str, seconds: str, failed: Column) -> DataFrame:
+    """One row: functions, calls, total time, errors, and the names with the longest, the shortest and the most calls (ties: the smallest name)."""
+    each = calls.groupBy(name).agg(F.count("*").alias("n"), F.sum(seconds).alias("t"), F.max(seconds).alias("hi"), F.min(seconds).alias("lo"), F.count_if(failed).alias("e"))
+    return each.agg(F.count("*").alias("functions"), F.sum("n").alias("calls"), F.round(F.sum("t"), 4).alias("total"), F.sum("e").alias("errors"), F.min_by(name, F.struct(-F.col("hi"), name)).alias("slowest"), F.min_by(name, F.struct("lo", name)).alias("fastest"), F.min_by(name, F.struct(-F.col("n"), name)).alias("most_called"))
