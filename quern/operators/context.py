@@ -20,20 +20,49 @@ def sentences(df: DataFrame, *keep: str, text: str = "text", least: int = 10) ->
     return df.select(*keep, F.posexplode(parts).alias("pos", "sentence"))
 
 
-def importance(query_words: Column, sentence: Column, pos: Column, last: Column) -> Column:
-    """5 x share of query words + 2 for each number + 1 for the first or 0.5 for the last; less if short or long."""
-    words = F.array_distinct(T.tokens(sentence, 1))
-    share = F.when(F.size(query_words) > 0, F.size(F.array_intersect(query_words, words)) / F.size(query_words)).otherwise(0.0)
-    numbers = F.regexp_count(sentence, F.lit(r"\d+(?:[,.]\d+)*"))
+#: fixed values: patterns of importance (each match counts), and words with their points
+IMPORTANT = (
+    r"(\d{1,3}(?:,\d{3})*)\s*원",
+    r"(\d+)\s*개",
+    r"(\d+)\s*대",
+    r"(\d+)\s*식",
+    r"총\s*(\d{1,3}(?:,\d{3})*)\s*원",
+    r"20\d{2}[.-]\d{1,2}[.-]\d{1,2}",
+    r"20\d{2}년\s*\d{1,2}월",
+    r"[A-Z]+-[A-Z0-9]+",
+    r"[A-Z]{2,}\s*\d+[A-Z]*",
+    r"워크스테이션|모니터|카메라|마이크|케이블|삼각대|드론|조명",
+    r"교체|구매|수리|설치|업그레이드|갱신",
+    r"검토|기안|계획|보고|요청",
+)
+VALUED = {
+    "금액": 3.0, "가격": 3.0, "비용": 3.0, "총액": 3.0, "예산": 3.0, "원": 2.5,
+    "HP": 2.8, "LG": 2.8, "Sony": 2.8, "Canon": 2.8, "TVLogic": 2.8, "Z8": 2.5, "워크스테이션": 2.5, "모니터": 2.5, "카메라": 2.5,
+    "교체": 2.0, "구매": 2.0, "수리": 2.0, "설치": 2.0, "검토": 1.8, "기안": 1.8, "계획": 1.8, "요청": 1.8,
+    "장비": 1.5, "기기": 1.5, "도구": 1.5, "시설": 1.5, "문서": 1.2, "보고서": 1.2, "기안서": 1.2,
+}
+
+
+def query_words(query: Column) -> Column:
+    """The distinct runs of Hangul, Latin letters and digits, lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit("([가-힣a-zA-Z0-9]+)"), F.lit(1)))
+
+
+def importance(asked: Column, sentence: Column, pos: Column, last: Column) -> Column:
+    """5 x share of query words, 2 for each important match, the points of valued words, 1 for the first or 0.5 for the last; less if short or long."""
+    words = query_words(sentence)
+    share = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words)) / F.size(asked)).otherwise(0.0)
+    matches = sum((F.regexp_count(sentence, F.lit(f"(?i){p}")) for p in IMPORTANT), F.lit(0))
+    low = F.lower(sentence)
+    valued = sum((F.when(low.contains(w.lower()), n).otherwise(0.0) for w, n in VALUED.items()), F.lit(0.0))
     place = F.when(pos == 0, 1.0).when(pos == last, 0.5).otherwise(0.0)
     length = F.length(sentence)
-    return (5 * share + 2 * numbers + place) * F.when(length < 20, 0.5).when(length > 200, 0.8).otherwise(1.0)
+    return (5 * share + 2 * matches + valued + place) * F.when(length < 20, 0.5).when(length > 200, 0.8).otherwise(1.0)
 
 
 def scored_sentences(df: DataFrame, query: Column, *keep: str) -> DataFrame:
     """keep, pos, sentence, score."""
-    words = F.array_distinct(T.tokens(query, 1))
-    parts = sentences(df.withColumn("_q", words), *keep, "_q")
+    parts = sentences(df.withColumn("_q", query_words(query)), *keep, "_q")
     last = F.max("pos").over(Window.partitionBy(*keep))
     return parts.withColumn("_last", last).select(*keep, "pos", "sentence", F.round(importance(F.col("_q"), F.col("sentence"), F.col("pos"), F.col("_last")), 6).alias("score"))
 

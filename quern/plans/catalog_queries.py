@@ -22,8 +22,9 @@ def docs_filter_sort_limit(spark, sf):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-03-01' AND '1995-06-30'")
 def docs_range(spark, sf):
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return table(spark, sf, "orders").filter(day.between("1995-03-01", "1995-06-30")).select("o_orderkey", "o_custkey", "o_totalprice")
+    # Compared as times, the range reaches the scan.
+    day = F.col("o_orderdate")
+    return table(spark, sf, "orders").filter((day >= F.lit("1995-03-01").cast("timestamp_ntz")) & (day < F.lit("1995-07-01").cast("timestamp_ntz"))).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query(f"WITH {FX_FILES.sql()} SELECT doc_id, filename FROM fx_files WHERE lower(filename) = lower('2023-11-05_xrn-1620b2_교체.pdf')")
@@ -44,7 +45,7 @@ def group_counts(spark, sf):
 
 @query("SELECT lang, count(DISTINCT source) AS sources, count(DISTINCT text) AS texts FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def distinct_counts(spark, sf):
-    return table(spark, sf, "documents").filter("lang is not null").groupBy("lang").agg(F.countDistinct("source").alias("sources"), F.countDistinct("text").alias("texts"))
+    return table(spark, sf, "documents").filter("lang is not null").groupBy("lang").agg(F.countDistinct("source").alias("sources"), F.countDistinct(F.md5("text")).alias("texts"))
 
 
 @query("SELECT lang, count(*) FILTER (n_chars < 500) AS short, count(*) FILTER (n_chars BETWEEN 500 AND 4999) AS middle, count(*) FILTER (n_chars >= 5000) AS long FROM documents GROUP BY lang")

@@ -53,12 +53,15 @@ def detect_section(spark, sf):
     return FX_QUERIES.df(spark).select("query_id", Q.section(F.col("query")).alias("section"))
 
 
-FX_KEYS = Fixture("fx_keys", "id int, query string", [(1, "LVM-180A  사양?"), (2, "lvm 180a 사양"), (3, "NVR 비용!"), (4, "녹화기 비용")])
+FX_KEYS = Fixture("fx_keys", "id int, query string", list(enumerate(f.format(a, b) for f in ("{0} {1}", "{0}  {1}?", "{1}, {0}!", " {0}/{1}", "{0}.") for a in ("LVM-180A", "lvm 180a", "NVR", "녹화기", "a b c", "XRN_1620 b2") for b in ("사양", "비용", "full ver", "2024"))))
+_PLAIN = "regexp_replace(regexp_replace(lower(trim(query)), '[?!.,;:]', '', 'g'), '[-/_]', ' ', 'g')"
+# Patterns that look at both sides of a space without taking them: twice is enough for pieces of one character.
+_JOINED = "regexp_replace(regexp_replace({0}, '([a-z0-9])\\s+([a-z0-9])', '\\1\\2', 'g'), '([a-z0-9])\\s+([a-z0-9])', '\\1\\2', 'g')"
 
 
-@query()
+@query(f"""WITH {FX_KEYS.sql()}, c AS (SELECT id, trim(regexp_replace({_JOINED.format(_PLAIN)}, '\\s+', ' ', 'g')) AS q FROM fx_keys)
+SELECT id, left(sha256(array_to_string(list_transform(string_split(q, ' '), lambda x: CASE WHEN x = '녹화기' THEN 'nvr' ELSE x END), ' ')), 16) AS key FROM c""")
 def smart_key(spark, sf):
-    """Look-around joins Latin pieces, which DuckDB's patterns lack; tests hold the keys against Python's."""
     return FX_KEYS.df(spark).select("id", Q.smart_key(F.col("query"), synonyms={"녹화기": "nvr"}).alias("key"))
 
 
@@ -79,10 +82,17 @@ def expand_variants(spark, sf):
 
 
 _W = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> ''))"
+_RUNS = "list_distinct(regexp_extract_all(lower({0}), '[가-힣a-zA-Z0-9]+'))"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 _SENTENCES = """, first AS (SELECT b.query_id, b.doc_id, d.text, q.text AS query FROM bm25 b JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = b.query_id WHERE b.rank = 1),
 parts AS (SELECT query_id, query, list_filter(list_transform(regexp_split_to_array(text, '[.!?]\\s+|\\n+'), lambda x: trim(x)), lambda x: length(x) >= 10) AS s FROM first),
 e AS (SELECT query_id, query, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos, len(s) - 1 AS last FROM parts),
-rated AS (SELECT query_id, CAST(pos AS INTEGER) AS pos, sentence, round((5 * len(list_intersect(""" + _W.format("query") + ", " + _W.format("sentence") + ")) / len(" + _W.format("query") + """) + 2 * len(regexp_extract_all(sentence, '\\d+(?:[,.]\\d+)*')) + CASE WHEN pos = 0 THEN 1.0 WHEN pos = last THEN 0.5 ELSE 0 END)
+rated AS (SELECT query_id, CAST(pos AS INTEGER) AS pos, sentence, round((5 * len(list_intersect(""" + _RUNS.format("query") + ", " + _RUNS.format("sentence") + ")) / len(" + _RUNS.format("query") + ") + 2 * (" + " + ".join(f"len(regexp_extract_all(sentence, {_quoted('(?i)' + p)}))" for p in X.IMPORTANT) + ") + " + " + ".join(f"CASE WHEN contains(lower(sentence), '{w.lower()}') THEN {n} ELSE 0 END" for w, n in X.VALUED.items()) + """ + CASE WHEN pos = 0 THEN 1.0 WHEN pos = last THEN 0.5 ELSE 0 END)
  * CASE WHEN length(sentence) < 20 THEN 0.5 WHEN length(sentence) > 200 THEN 0.8 ELSE 1.0 END, 6) AS score FROM e)"""
 
 

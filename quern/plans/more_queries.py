@@ -37,11 +37,14 @@ def priority_union(spark, sf):
 
 
 FX_HITS = Fixture("fx_hits", "filename string, date string, drafter string, category string, content string, score double", [
-    ("a_b.pdf", "2024-01-02", "kim", "구매", "text  one", 0.5), ("a b (1).PDF", "2024-01-02", "kim", "구매", "text two", 0.9), ("c.pdf", "2024-03-01", "lee", None, None, 0.1), ("d.pdf", None, "", "x", "  ", 0.3),
-])
+    (f"{stem}{tail}{suffix}", (f"2024-0{k % 9 + 1}-02", None)[k % 5 == 0], ("kim", "", None)[k % 3], ("구매", None, " x ")[k % 4 % 3], ("text  one", None, "  ", "two\nlines " * 30)[k % 4], round(k * 37 % 101 / 100, 2))
+    for k, (stem, tail, suffix) in enumerate((s, t, x) for s in ("a_b", "a b", "a-b", "report 2024", "c") for t in ("", " (1)", "_2", "(12)") for x in (".pdf", ".PDF", ".txt"))
+])
+_KEY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(filename, '\\.[A-Za-z0-9]+$', ''), '[\\s\\-]+', '_', 'g'), '_*\\(\\d+\\)$', ''), '_\\d$', ''), '_+', '_', 'g') || lower(regexp_extract(filename, '(\\.[A-Za-z0-9]+)$', 1))"
 
 
-@query(f"""WITH {FX_HITS.sql()}, e(filename, snippet) AS (VALUES ('a b (1).PDF', 'text two'), ('c.pdf', 'lee | 2024-03-01'), ('d.pdf', 'x')) SELECT filename, score, snippet FROM fx_hits JOIN e USING (filename)""")
+@query(f"""WITH {FX_HITS.sql()}, k AS (SELECT *, {_KEY} AS key, trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g')) AS t, concat_ws(' | ', nullif(trim(category), ''), nullif(trim(drafter), ''), nullif(trim(date), '')) AS about FROM fx_hits),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, filename) AS n FROM k) SELECT filename, score, CASE WHEN t = '' THEN about ELSE left(t, 200) END AS snippet FROM r WHERE n = 1""")
 def result_list(spark, sf):
     return C.result_list(FX_HITS.df(spark)).select("filename", "score", "snippet")
 
@@ -76,9 +79,25 @@ def drop_foreign_lines(spark, sf):
     return FX_LINES.df(spark).select("id", T.drop_foreign_lines(F.col("text")).alias("text"))
 
 
-@query()
+FX_SCANS = Fixture("fx_scans", "id int, text string", list(enumerate(f.format(n) for f in ("합계 l{0},300,000 원", "HP O8 {0} , 0 0 0", "XRN{0}B2 워크스테이숀", "중 계 차  보 수", "I{0},000,000 and 3 3 6", "none {0}") for n in (10, 79, 42, 5))))
+
+
+def _repaired(column: str) -> str:
+    for p, standing in T.OCR_ERRORS:
+        column = f"regexp_replace({column}, '{p}', '{standing.replace('$', chr(92))}', 'g')"
+    return f"trim(regexp_replace(regexp_replace({column}, '([가-힣])\\s+([가-힣])\\s+([가-힣])', '\\1\\2\\3', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"WITH {FX_SCANS.sql()} SELECT id, {_repaired('text')} AS text FROM fx_scans")
 def repair_ocr(spark, sf):
-    return FX_LINES.df(spark).select("id", T.repair_ocr(F.col("text")).alias("text"))
+    return FX_SCANS.df(spark).select("id", T.repair_ocr(F.col("text")).alias("text"))
+
+
+@query("""WITH m AS (SELECT doc_id, left('{"lang":"' || lang || '","price":"***","text":"' || CASE WHEN length(t) > 50 THEN left(t, 50) || '...' ELSE t END || '"}', 200) AS j FROM (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g') AS t FROM documents) WHERE lang IS NOT NULL) SELECT doc_id, j AS masked FROM m""")
+def masked_fields(spark, sf):
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", "")
+    fields = F.create_map(F.lit("lang"), F.col("lang"), F.lit("price"), F.col("n_chars").cast("string"), F.lit("text"), t)
+    return table(spark, sf, "documents").filter("lang is not null").select("doc_id", T.masked_fields(fields).alias("masked"))
 
 
 DOMAIN = ["the", "license", "camera"]

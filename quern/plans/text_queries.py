@@ -57,14 +57,31 @@ def nearest_amount(spark, sf):
     return FX_MONEY.df(spark).select("id", M.nearest_amount("text", F.array("keyword")).alias("n")).select("id", "n.*")
 
 
-@query(f"WITH {FX_MONEY.sql()}, expected(id, value) AS (VALUES (1, 123000000), (2, 50000000), (3, 12000000), (4, 333000), (5, NULL), (6, 1234567), (7, NULL), (8, 350000000), (9, NULL)) SELECT id, CAST(value AS BIGINT) AS value FROM fx_money JOIN expected USING (id)")
+_N, _M = (7, 12, 150, 999, 1000, 12345, 2370000, 98765432), ("1.5", "3", "12", "0.25", "1,200")
+_CELLS = [f(n) for n in _N for f in ("{:,}".format, "{}".format, "₩{:,} 원".format, "{:,}원".format, " {:,}.00 ".format, lambda n: f"{n:,}".replace(",", " "), "약 {}개".format)]
+_CELLS += [f.format(m, n) for m in _M for n in _N for f in ("{0}억", "{0}억 {1}만", "{0}만원", "{0}천만원", "{0}백만", "{0} 억원", "총 {0}천만 {1}만")] + ["abc", "", "-", None]
+FX_CELLS = Fixture("fx_cells", "id int, cell string", list(enumerate(_CELLS)))
+
+
+def _unit_sql(unit: str, n: int) -> str:
+    return f"coalesce(TRY_CAST(replace(regexp_extract(s, '([\\d,]+(?:\\.\\d+)?)\\s*{unit}', 1), ',', '') AS DECIMAL(24,4)) * {n}, 0)"
+
+
+@query(f"""WITH {FX_CELLS.sql()}, s AS (SELECT id, regexp_replace(trim(cell), '(\\d)\\s+(\\d)', '\\1\\2', 'g') AS s FROM fx_cells)
+SELECT id, CASE WHEN regexp_matches(s, '\\d\\s*(억|천만|백만|만)') THEN CAST(round({" + ".join(_unit_sql(u, n) for u, n in (("억", 10**8), ("천만", 10**7), ("백만", 10**6), ("만", 10**4)))}, 0) AS BIGINT)
+ ELSE TRY_CAST(regexp_replace(regexp_replace(s, '[^\\d.]', '', 'g'), '\\..*$', '') AS BIGINT) END AS value FROM s""")
 def normalize_number(spark, sf):
-    return FX_MONEY.df(spark).select("id", M.normalize_number(F.col("cell")).alias("value"))
+    return FX_CELLS.df(spark).select("id", M.normalize_number(F.col("cell")).alias("value"))
+
+
+_LABELS = ["합계", "총계:", "비용 합계 ", "합계(VAT 별도) :", "합계 검증", "소계", "합계 ₩", "총계 KRW "]
+FX_TOTALS = Fixture("fx_totals", "id int, text string", list(enumerate([f"앞 줄\n{label} {n:,}{tail}" for label in _LABELS for n in (999, 9999, 10000, 1234567, 50000000) for tail in ("원", "개", "개월", " 개 입니다", ".", "")] + ["none", None])))
 
 
-@query(f"WITH {FX_MONEY.sql()}, expected(id, total) AS (VALUES (1, NULL), (2, NULL), (3, 12000000), (4, NULL), (5, NULL), (6, NULL), (7, NULL), (8, 10000000), (9, NULL)) SELECT id, CAST(total AS BIGINT) AS total FROM fx_money JOIN expected USING (id)")
+@query(f"""WITH {FX_TOTALS.sql()}, f AS (SELECT id, text, replace(regexp_extract(regexp_replace(text, '합계\\s*검증', '__', 'g'), '(?:비용\\s*합계|합계\\s*\\(VAT\\s*별도\\)|합계|총계)\\s*[:\\s]*(?:₩|KRW)?\\s*([\\d\\.,]+)', 1), ',', '') AS f FROM fx_totals)
+SELECT id, CASE WHEN NOT regexp_matches(text || ' ', '합계\\s*[\\d,]+\\s*개[^가-힣0-9A-Za-z_]') AND regexp_full_match(f, '\\d{{1,18}}') AND TRY_CAST(f AS BIGINT) >= 10000 THEN TRY_CAST(f AS BIGINT) END AS total FROM f""")
 def claimed_total(spark, sf):
-    return FX_MONEY.df(spark).select("id", M.claimed_total(F.col("text")).alias("total"))
+    return FX_TOTALS.df(spark).select("id", M.claimed_total(F.col("text")).alias("total"))
 
 
 FX_TABLES = Fixture("fx_tables", "id int, text string, claimed bigint, vat bigint", [
@@ -88,10 +105,20 @@ def financial_consistency(spark, sf):
     return FX_FINANCE.df(spark).select("id", F.array_join(failed, ",").alias("failed"))
 
 
-FX_DATES = Fixture("fx_dates", "id int, raw string", [(1, "2024/10/4"), (2, "2024년 3월 5일"), (3, "24. 10. 24"), (4, "20241024"), (5, "2024-10-01 ~ 2024-10-05"), (6, "(2024.1.2) 10:30"), (7, "soon"), (8, None)])
+_DAYS = [(y, m, d) for y in (2019, 2024) for m in (1, 3, 10, 12) for d in (1, 5, 15, 31)]
+_SHAPES = ["{0}/{1}/{2}", "{0}.{1}.{2}", "{0}-{1}-{2}", "{0}년 {1}월 {2}일", "{0}년{1}월{2}일", "{3}. {1}. {2}", "{0}{1:02d}{2:02d}", "({0}.{1}.{2}) 10:30", "{0}-{1}-{2} ~ {0}-12-31", "{3}-{1}-{2}"]
+FX_DATES = Fixture("fx_dates", "id int, raw string", list(enumerate([f.format(y, m, d, y % 100) for f in _SHAPES for y, m, d in _DAYS] + ["soon", "", None])))
 
 
-@query(f"WITH {FX_DATES.sql()}, expected(id, date) AS (VALUES (1, '2024-10-04'), (2, '2024-03-05'), (3, '2024-10-24'), (4, '2024-10-24'), (5, '2024-10-01'), (6, '2024-01-02'), (7, 'soon'), (8, NULL)) SELECT id, date FROM fx_dates JOIN expected USING (id)")
+def _day_sql(p: str, century: str = "") -> str:
+    return f"'{century}' || regexp_extract(s, '{p}', 1) || '-' || lpad(regexp_extract(s, '{p}', 2), 2, '0') || '-' || lpad(regexp_extract(s, '{p}', 3), 2, '0')"
+
+
+_FOUR, _SIGNS, _TWO, _RUN, _SHORT = "^(\\d{4})\\s*년\\s*(\\d{1,2})\\s*월\\s*(\\d{1,2})\\s*일", "^(\\d{4})[-./](\\d{1,2})[-./](\\d{1,2})", "^(\\d{2})\\.\\s*(\\d{1,2})\\.\\s*(\\d{1,2})$", "^(20\\d{2})(\\d{2})(\\d{2})$", "^(\\d{2})-(\\d{1,2})-(\\d{1,2})$"
+
+
+@query(f"""WITH {FX_DATES.sql()}, s AS (SELECT id, raw, trim(regexp_replace(trim(regexp_replace(raw, '[(){{}}\\[\\]]', ' ', 'g')), '\\s+\\d{{1,2}}:\\d{{2}}.*$', '')) AS s FROM fx_dates)
+SELECT id, CASE WHEN regexp_matches(s, '{_FOUR}') THEN {_day_sql(_FOUR)} WHEN regexp_matches(s, '{_TWO}') THEN {_day_sql(_TWO, "20")} WHEN regexp_matches(s, '{_SIGNS}') THEN {_day_sql(_SIGNS)} WHEN regexp_matches(s, '{_RUN}') THEN {_day_sql(_RUN)} WHEN regexp_matches(s, '{_SHORT}') THEN {_day_sql(_SHORT, "20")} ELSE raw END AS date FROM s""")
 def normalize_date(spark, sf):
     return FX_DATES.df(spark).select("id", D.normalize_date(F.col("raw")).alias("date"))
 
@@ -130,10 +157,13 @@ def json_blocks(spark, sf):
     return FX_JSON.df(spark).select("id", D.last_json_block("response").alias("block"))
 
 
-FX_AUDIT = Fixture("fx_audit", "id int, value bigint, source array<string>", [(1, 1000, ["1000", "2000"]), (2, 1050, ["1000", "2000"]), (3, 5000, ["1000"]), (4, None, ["1000"]), (5, 10, [])])
-
-
-@query(f"WITH {FX_AUDIT.sql()}, e(id, action, audited) AS (VALUES (1, 'keep', 1000), (2, 'correct', 1000), (3, 'remove', NULL), (4, NULL, NULL), (5, 'remove', NULL)) SELECT id, action, CAST(audited AS BIGINT) AS audited FROM fx_audit JOIN e USING (id)")
+@query("""WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) END AS v, CASE o_orderkey % 4 WHEN 0 THEN [CAST(floor(o_totalprice) AS BIGINT), 7] WHEN 1 THEN [CAST(floor(o_totalprice * 1.05) AS BIGINT), CAST(floor(o_totalprice * 2) AS BIGINT)] WHEN 2 THEN [CAST(5 AS BIGINT)] ELSE CAST([] AS BIGINT[]) END AS src FROM orders),
+n AS (SELECT *, list_sort(list_transform(src, lambda s: {'d': abs(s - v), 's': s}))[1] AS near FROM a), j AS (SELECT *, CASE WHEN v IS NULL THEN NULL WHEN list_contains(src, v) THEN 'keep' WHEN near.d <= abs(v) * 0.1 THEN 'correct' ELSE 'remove' END AS action FROM n)
+SELECT o_orderkey, action, CASE action WHEN 'keep' THEN v WHEN 'correct' THEN near.s END AS audited FROM j""")
 def numeric_audit(spark, sf):
-    found = D.audited(F.col("value"), F.col("source").cast("array<bigint>"))
-    return FX_AUDIT.df(spark).select("id", found.alias("a")).select("id", "a.action", F.col("a.value").alias("audited"))
+    """Prices of orders against what a source is made to say."""
+    whole = lambda c: F.floor(c).cast("bigint")
+    p, k = F.col("o_totalprice"), F.col("o_orderkey")
+    source = F.when(k % 4 == 0, F.array(whole(p), F.lit(7).cast("bigint"))).when(k % 4 == 1, F.array(whole(p * 1.05), whole(p * 2))).when(k % 4 == 2, F.array(F.lit(5).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    found = D.audited(F.when(k % 11 != 0, whole(p)), source)
+    return table(spark, sf, "orders").select("o_orderkey", found.alias("a")).select("o_orderkey", "a.action", F.col("a.value").alias("audited"))

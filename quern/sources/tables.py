@@ -52,7 +52,7 @@ def page_text(text: Column, page: Column) -> Column:
     return F.when(page >= 1, F.try_element_at(F.split(text, "\f"), page))
 
 
-def file_inventory(spark: SparkSession, path: str, sampled_above: int = 10 << 20) -> DataFrame:
+def file_inventory(spark: SparkSession, path: str | list[str], sampled_above: int = 10 << 20) -> DataFrame:
     """path, size, modified, hash of files.
 
     Large files are hashed by their first, middle and last megabyte with size and time.
@@ -64,6 +64,23 @@ def file_inventory(spark: SparkSession, path: str, sampled_above: int = 10 << 20
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.md5(F.when(F.col("length") > sampled_above, sample).otherwise(F.col("content"))).alias("hash"))
 
 
+def file_listing(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, modified of files; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def updated_inventory(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """``file_inventory`` that takes the hash from ``known`` (path, size, modified, hash) where size and time are as they were.
+
+    Only the other files are read.
+    """
+    now = file_listing(spark, path)
+    same = now.join(known, ["path", "size", "modified"]).select("path", "size", "modified", "hash")
+    changed = [r[0] for r in now.join(same.select("path"), "path", "left_anti").select("path").collect()]  # the names of new and changed files
+    return same.unionByName(file_inventory(spark, changed)) if changed else same
+
+
 def fast_fingerprint(content: Column, size: Column, modified: Column) -> Column:
     """MD5 of the first and last two megabytes, size and time."""
     two = 2 << 20
