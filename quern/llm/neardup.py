@@ -282,7 +282,7 @@ def _with_partners(state: DataFrame, bodies: DataFrame, total: int, work: Work)
         there = bodies if k == 0 else bodies.join(few(work.written(state.select("node").distinct(), "nodes", members)), "node", "left_semi")
         single = there.select("node", F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("times"), F.min("node").alias("node"))
         single = fewer(single, total).filter("times = 1")
-        own = few(work.written(single.groupBy("node").agg(F.count("*").alias("u")), "single", rows_of(bodies)))
+        own = few(work.written(single.groupBy("node").agg(F.count("*").alias("u")), "single", total // 40))  # a row or more from each task for a body
         most = (F.col("n") - F.coalesce("u", F.lit(0))) * F.lit((1 + LEAST) / LEAST) - F.col("n") + F.lit(1e-6)
         state = state.select(*columns).join(own, "node", "left").select(*columns, most.alias("most"))
         sizes = state.groupBy("bucket").agg(F.min("n").alias("lo"), F.max("most").alias("hi"), F.count("*").alias("c")).filter("c > 1")
