@@ -84,6 +84,24 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramjoin import linked
+
+    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import trie
+
+    return trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -148,5 +166,87 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP11 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, k, k + 2), ' ')) AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+sized AS (SELECT * FROM grams JOIN sizes USING (doc_id)),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS c FROM sized x JOIN sized y ON x.g = y.g AND x.doc_id <> y.doc_id AND 100 * x.n >= 90 * y.n AND 100 * y.n >= 90 * x.n GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 90 * (n + m - c)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM classes LEFT JOIN sizes USING (doc_id)
+"""
+
+# CRC-32 of decimal digits, bit by bit: after each character eight steps.
+_CRC = """(xor(list_reduce(flatten(list_transform(string_split({0}, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) ELSE xor(c >> 1, (c & 1) * 3988292384) END, 4294967295::BIGINT), 4294967295::BIGINT))"""
+_OP12 = rf"""
+WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS k FROM rows_),
+convs AS (SELECT conv_id, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM rows_)),
+whole AS (
+  SELECT c.conv_id, 0 AS part, t.k, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.k < c.h
+  UNION ALL SELECT c.conv_id, 1, t.k, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.k >= c.h
+), steps AS (
+  SELECT conv_id, list(sha256(length(role) || ':' || role || text)) OVER w AS path, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM whole WINDOW w AS (PARTITION BY conv_id ORDER BY part, k)
+  UNION ALL SELECT conv_id, CAST([] AS VARCHAR[]), 0 FROM convs
+), nodes AS (
+  SELECT path, min(conv_id) AS conv_id, len(path) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved FROM steps GROUP BY path
+), children AS (
+  SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), above AS (
+  SELECT list_slice(n.path, 1, k) AS path, count(*) FILTER (c.n_children IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM nodes) n LEFT JOIN children c ON c.path = n.path GROUP BY 1
+), ends AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(path, len(path)) AS path FROM steps GROUP BY conv_id) GROUP BY path
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, a.n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN above a USING (path) LEFT JOIN children c USING (path) LEFT JOIN ends e USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = list_slice(n.path, 1, n.depth - 1)
+"""
+
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_OP13 = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, sha256({_LEAF} || {_FIELD.format("text")}) AS leaf,
+    CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({_LEAF} || {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS changed FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM hashed
+), nodes AS (
+  SELECT lang, 0 AS d, i, leaf AS h, n FROM leaves
+  UNION ALL SELECT lang, d + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY lang, d, i // 8, n
+), subroots AS (
+  SELECT lang, d AS depth, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS d, i, subroot AS h, n FROM subroots
+  UNION ALL SELECT d + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM upper WHERE n > 1 GROUP BY d, i // 8, n
+), around AS (
+  SELECT x.lang, x.d, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS before, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS after
+  FROM nodes x JOIN nodes y ON x.lang IS NOT DISTINCT FROM y.lang AND x.d = y.d AND x.i // 8 = y.i // 8 WHERE x.n > 1 GROUP BY x.lang, x.d, x.i
+), over_ AS (
+  SELECT x.d, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS before, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS after
+  FROM upper x JOIN upper y ON x.d = y.d AND x.i // 8 = y.i // 8 WHERE x.n > 1 GROUP BY x.d, x.i
+), ways AS (
+  SELECT l.doc_id, l.lang, l.leaf, s.subroot, a.d, a.before, a.after FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN around a ON a.lang IS NOT DISTINCT FROM l.lang AND a.i = l.i // CAST(pow(8, a.d) AS BIGINT)
+  UNION ALL SELECT l.doc_id, l.lang, l.leaf, s.subroot, s.depth + o.d, o.before, o.after FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN over_ o ON o.i = s.i // CAST(pow(8, o.d) AS BIGINT)
+), proofs AS (
+  SELECT doc_id, lang, leaf, string_agg(before || after, '' ORDER BY d) AS proof FROM ways GROUP BY doc_id, lang, leaf
+), folds AS (
+  SELECT doc_id, lang, leaf, 0 AS d, coalesce(changed, leaf) AS h FROM leaves
+  UNION ALL SELECT f.doc_id, f.lang, f.leaf, f.d + 1, sha256(w.before || f.h || w.after) FROM folds f JOIN ways w ON f.doc_id = w.doc_id AND f.lang IS NOT DISTINCT FROM w.lang AND f.leaf = w.leaf AND f.d = w.d
+), ended AS (
+  SELECT doc_id, lang, leaf, arg_max(h, d) AS folded_root FROM folds GROUP BY doc_id, lang, leaf
+)
+SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = r.h AS verified
+FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN (SELECT h FROM upper WHERE n = 1) r ON true
+LEFT JOIN proofs p ON l.doc_id = p.doc_id AND l.lang IS NOT DISTINCT FROM p.lang AND l.leaf = p.leaf LEFT JOIN ended e ON l.doc_id = e.doc_id AND l.lang IS NOT DISTINCT FROM e.lang AND l.leaf = e.leaf
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": _OP2, "op6_benchmark_decontamination": _OP6, "op7_url_filters": _OP7}
+    return {
+        "op2_chat_formatting": _OP2, "op6_benchmark_decontamination": _OP6, "op7_url_filters": _OP7, "op11_ngram_jaccard_join": _OP11, "op12_conversation_trie": _OP12,
+        "op13_merkle_manifest": _OP13,
+    }
