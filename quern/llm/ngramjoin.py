@@ -1,13 +1,14 @@
 """Jaccard self-join of documents on sets of word n-grams, by groups of identical prefixes.
 
-A document's set holds its distinct shingles of three words (A-Z lower-cased, parted by white space). Elements are 64-bit hashes,
-in order of the hash. Documents of one set are one node. Two sets of similarity ``LEAST`` per cent or more have an element in common within
-the prefixes of both (the first tenth or so of each), and at least 9/19 of their sizes' sum altogether.
+A document's set holds its distinct shingles of three words (A-Z lower-cased, parted by white space). Documents of one set are one
+node. First, nodes go that can have no partner: the elements that no other node has bound the sizes that a partner can have. They are
+counted among the elements in a fixed quarter of all hashes, then, for what is left, among all.
 
-First, nodes go that can have no partner: of the elements in a fixed quarter of all hashes (and the prefix), those that no other node
-has are counted, and what is left bounds the sizes a partner can have. The others fall into groups of one prefix and one size. A group
-is one member in the list of each of its prefix's elements, with the place of the element in the prefix; pairs of groups are
-filtered by sizes, by that bound and by places. Pairs that pass are expanded into members, which are compared exactly, if they are in different classes yet.
+Elements of those that are left stand in order of their frequency, rare ones first. Two sets of similarity ``LEAST`` per cent or more have an
+element in common within the prefixes of both (the first tenth or so of each). Nodes of one prefix and one size are a group; elements that
+no other node has are left out of prefixes, for they lead nowhere. A group is one member in the list of each of its prefix's elements, with the place of
+the element. Pairs of groups are filtered by sizes, by the bounds and by places. Pairs that pass are expanded into members, which are
+compared exactly, if they are in different classes yet.
 
 Lists are not expanded into all pairs. A few of a list's members, the pivots, meet the others, and leave the list when they have; lists
 go on, with more pivots, while they hold different classes. Members of one group meet in the same way before groups do. Of two groups
@@ -34,7 +35,7 @@ BLOCK = 1 << 20
 #: Hashes below this are looked at for elements that only one node has.
 LOW = 1 << 62
 #: Pivots of a list in the first round, how many times more in each later one, the most in a round; members of a list that are joined in one task on average.
-PIVOTS, MORE, MOST_PIVOTS, MEMBERS = 4, 4, 64, 10_000
+PIVOTS, MORE, MOST_PIVOTS, MEMBERS = 8, 8, 512, 10_000
 #: Elements of pivots (8 bytes each) that are broadcast at most.
 ELEMENTS = 1 << 21
 
@@ -120,14 +121,14 @@ def _least(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * LEAST / F.lit(100 + LEAST) - F.lit(1e-9))
 
 
-def _with_partners(nodes: DataFrame, low: DataFrame, work: Work) -> DataFrame:
-    """node, n, most: nodes that another one can be similar to by size, from those (node, n) and their low elements (node, element).
+def _with_partners(nodes: DataFrame, elements: DataFrame, work: Work) -> DataFrame:
+    """node, n, most: nodes that another one can be similar to by size, from those (node, n) and some or all of their elements (node, element).
 
     With u elements that no other node has, a set of n shares n - u at most, so what is similar to it has at
     most ``most`` = (n - u) 190 / 90 - n elements. Nodes that leave take their elements with them, so it is done twice.
     """
     for k in range(2):
-        there = low if k == 0 else low.join(few(nodes.select("node"), rows=rows_of(nodes)), "node", "left_semi")
+        there = elements if k == 0 else elements.join(few(nodes.select("node"), rows=rows_of(nodes)), "node", "left_semi")
         single = there.groupBy("element").agg(F.count("*").alias("times"), F.min("node").alias("node")).filter("times = 1")
         own = work.written(single.groupBy("node").agg(F.count("*").alias("u")), "single", rows_of(nodes))
         most = F.floor((F.col("n") - F.coalesce("u", F.lit(0))) * F.lit(100 + LEAST) / F.lit(LEAST) - F.col("n") + F.lit(1e-6))
@@ -136,9 +137,20 @@ def _with_partners(nodes: DataFrame, low: DataFrame, work: Work) -> DataFrame:
     return nodes
 
 
+def _prefixes(nodes: DataFrame, bodies: DataFrame, work: Work) -> DataFrame:
+    """node, first (the place of the first element that another node has), prefix (the elements from there on), by rising frequency among ``nodes``."""
+    elements = bodies.join(few(nodes.select("node"), rows=rows_of(nodes)), "node", "left_semi").select("node", F.explode("elements").alias("element"))
+    counts = elements.groupBy("element").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = elements.join(counts, "element").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "element"))).alias("shared"))  # a set's own elements
+    size = F.col("n") - F.floor((F.col("n") * LEAST + 99) / 100) + 1
+    first = F.col("n") - F.size("shared")
+    own = shared.join(few(nodes.select("node", "n"), rows=rows_of(nodes)), "node").select("node", first.alias("first"), F.transform(F.slice("shared", 1, F.greatest(size - first, F.lit(0)).cast("int")), lambda x: x["element"]).alias("prefix"))
+    return work.written(own.filter(F.size("prefix") > 0), "prefixes", rows_of(nodes))
+
+
 def _verified(pairs: DataFrame, bodies: DataFrame, sizes: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of nodes those that are similar; the elements of all a are broadcast if they are few."""
-    ends = pairs.select(F.col("a").alias("node")).distinct().join(few(sizes), "node").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ends = pairs.select(F.col("a").alias("node")).distinct().join(few(sizes, rows=rows_of(bodies)), "node").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     side = bodies.join(few(pairs.select(F.col("a").alias("node")).distinct(), rows=ends[1]), "node", "left_semi").select(F.col("node").alias("a"), F.col("elements").alias("_elements"))
     if ends[0] <= ELEMENTS and ends[1] <= FEW:
         side = F.broadcast(side)
@@ -183,10 +195,13 @@ def _rounds(lists: DataFrame, classes: Classes, fits: Callable[[Column, Column],
     ``fits`` says of two members (structs) whether items can be similar; ``meet`` gets the distinct pairs (p, q) of items that can.
     """
     sized = lists.groupBy("list").agg((F.floor((F.count("*") - 1) / MEMBERS) + 1).cast("int").alias("salts"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    salted = lists.join(few(work.written(sized, "lists")), "list")
+    sized = work.written(sized, "lists")
+    if not rows_of(sized):
+        return
+    salted = lists.join(few(sized), "list")
     state, most_pivots = work.written(salted.withColumn("salt", F.pmod(F.xxhash64("item"), F.col("salts")).cast("int")), "members"), PIVOTS
     while members := rows_of(state):
-        ranged = state.join(few(work.written(classes.ranges(), "ranges")), "item")
+        ranged = state.join(classes.ranges(), "item")
         still = ranged.groupBy("list").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b").select("list")
         open_ = work.written(ranged.join(few(work.written(still, "still", members)), "list", "left_semi"), "open", members)
         if not (members := rows_of(open_)):
@@ -219,26 +234,24 @@ def _labels(docs: DataFrame, work: Work) -> tuple[DataFrame, DataFrame, DataFram
     texts = work.written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     low = texts.select("node", F.explode("low").alias("element"))
     # Elements between LOW and the prefix's end don't count: others may have them without showing them.
-    nodes = _with_partners(texts.select("node", "n"), low.filter((F.col("element") >= 0) & (F.col("element") < LOW)), work) if rows_of(texts) else texts.select("node", "n").withColumn("most", F.col("n"))
-    nodes = work.written(nodes, "left", rows_of(texts))
-    if not rows_of(nodes):
+    if not rows_of(texts):
         return sign, texts, None
-    prefix = F.slice("low", 1, (F.col("n") - F.floor((F.col("n") * LEAST + 99) / 100) + 1).cast("int"))
-    with_prefix = texts.select("node", "key", "doc", "low").join(few(nodes), "node").withColumn("prefix", prefix)
-    members = work.written(with_prefix.withColumn("item", F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.concat_ws(",", F.col("prefix").cast("array<string>"))))))
-                           .select("node", "key", "doc", "n", "most", "item", "prefix"), "groups", rows_of(nodes))
-    groups = members.groupBy("item").agg(F.first("n").alias("n"), F.max("most").alias("most"), F.first("prefix").alias("prefix"), F.count("*").alias("size"))
-    groups = work.written(groups.withColumn("number", F.monotonically_increasing_id()), "numbered", rows_of(nodes))
-    members = work.written(members.drop("n", "prefix").join(few(groups.select("item", "number", "n", "size"), FEW // 4), "item").select("node", "key", "doc", "n", "most", F.col("number").alias("item"), "size"), "members", rows_of(nodes))
-    lists = groups.select(F.col("number").alias("item"), "n", "most", "size", F.posexplode("prefix").alias("place", "list"))
-    lists = work.written(lists, "lists")
-    shared = work.written(lists.groupBy("list").agg(F.count("*").alias("c")).filter("c > 1").select("list"), "shared")
-    lists = work.written(lists.join(few(shared), "list", "left_semi"), "lists", rows_of(lists))
-    partnered = lists.select("item").distinct()
-    wanted = work.written(members.filter("size > 1").unionByName(members.filter("size = 1").join(few(work.written(partnered, "partnered")), "item", "left_semi")), "wanted", rows_of(members))
+    nodes = _with_partners(texts.select("node", "n"), low.filter((F.col("element") >= 0) & (F.col("element") < LOW)), work)
+    wanted = work.written(texts.select("node", "key", "doc").join(few(nodes), "node"), "wanted", rows_of(texts))
     if not rows_of(wanted):
         return sign, texts, None
     bodies = work.written(_bodies(docs, wanted.select("node", "key", "doc")), "bodies", wanted.agg(F.sum("n")).first()[0] // 40 + 1)
+    nodes = _with_partners(wanted.select("node", "n"), bodies.select("node", F.explode("elements").alias("element")), work)
+    if not rows_of(nodes):
+        return sign, texts, None
+    own = nodes.join(few(_prefixes(nodes, bodies, work)), "node")
+    grouped = own.withColumn("key", F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.concat_ws(",", F.col("prefix").cast("array<string>"))))))
+    grouped = work.written(grouped, "groups", rows_of(nodes))
+    groups = grouped.groupBy("key").agg(F.first("n").alias("n"), F.max("most").alias("most"), F.min("first").alias("first"), F.first("prefix").alias("prefix"), F.count("*").alias("size"))
+    groups = work.written(groups.withColumn("item", F.monotonically_increasing_id()), "numbered", rows_of(nodes))
+    wanted = grouped.select("node", "n", "most", "key").join(few(groups.select("key", "item", "size")), "key").drop("key")
+    wanted = work.written(wanted, "members", rows_of(nodes))
+    lists = groups.select("item", "n", "most", "first", F.posexplode("prefix").alias("k", "list")).select("list", "item", "n", "most", (F.col("first") + F.col("k")).cast("int").alias("place"))
     sizes = wanted.select("node", "n")
     # Members of one group; the list is the group, the items are its nodes.
     inside = Classes(wanted.select(F.col("node").alias("item"), "node"), bodies, sizes, work)
@@ -255,18 +268,20 @@ def _labels(docs: DataFrame, work: Work) -> tuple[DataFrame, DataFrame, DataFram
     def meet(pairs: DataFrame) -> None:
         """One member for each class of two groups first; then all whose classes are still different."""
         for whole in (False, True):
+            if whole and rows_of(of) == rows_of(wanted):
+                return  # each member was one of its own
             of = between.labelled() if whole else between.labelled().groupBy("item", "label").agg(F.min("node").alias("node"))
             of = work.written(of, "of", rows_of(wanted))
             left = of.select(F.col("item").alias("p"), F.col("node").alias("a"), F.col("label").alias("_a"))
             right = of.select(F.col("item").alias("q"), F.col("node").alias("b"), F.col("label").alias("_b"))
             if whole:
-                ranges = few(work.written(between.ranges(), "ranges"))
+                ranges = between.ranges()
                 for end in ("p", "q"):
                     pairs = pairs.join(ranges.select(F.col("item").alias(end), F.col("lo").alias(f"{end}_lo"), F.col("hi").alias(f"{end}_hi")), end)
                 pairs = pairs.filter("NOT (p_lo = q_hi AND p_hi = q_lo)").select("p", "q")
             between.link(pairs.join(left, "p").join(right, "q").filter("_a <> _b").select("a", "b"))
 
-    _rounds(lists.select("list", "item", "n", "most", "place"), between, fits, meet, work)
+    _rounds(lists, between, fits, meet, work)
     return sign, texts, between.labels
 
 
