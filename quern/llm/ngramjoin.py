@@ -145,7 +145,7 @@ def _prefixes(nodes: DataFrame, bodies: DataFrame, work: Work) -> DataFrame:
     size = F.col("n") - F.floor((F.col("n") * LEAST + 99) / 100) + 1
     first = F.col("n") - F.size("shared")
     own = shared.join(few(nodes.select("node", "n"), rows=rows_of(nodes)), "node").select("node", first.alias("first"), F.transform(F.slice("shared", 1, F.greatest(size - first, F.lit(0)).cast("int")), lambda x: x["element"]).alias("prefix"))
-    return work.written(own.filter(F.size("prefix") > 0), "prefixes", rows_of(nodes))
+    return work.written(own.filter(F.size("prefix") > 0), "prefixes")  # few rows, but from all their elements
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def _labels(docs: DataFrame, work: Work) -> tuple[DataFrame, DataFrame, DataFram
     nodes = _with_partners(wanted.select("node", "n"), bodies.select("node", F.explode("elements").alias("element")), work)
     if not rows_of(nodes):
         return sign, texts, None
-    own = nodes.join(few(_prefixes(nodes, bodies, work)), "node")
+    own = nodes.join(few(_prefixes(nodes, bodies, work), FEW // 10), "node")
     grouped = own.withColumn("key", F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.concat_ws(",", F.col("prefix").cast("array<string>"))))))
     grouped = work.written(grouped, "groups", rows_of(nodes))
     groups = grouped.groupBy("key").agg(F.first("n").alias("n"), F.max("most").alias("most"), F.min("first").alias("first"), F.first("prefix").alias("prefix"), F.count("*").alias("size"))
