@@ -2,79 +2,20 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 #: fixed values: patterns of amounts, with 억 (10^8) and 만 (10^4)
 EOK_MAN = r"([\d,]+(?:\.\d+)?)\s*억(?:\s*([\d,]+(?:\.\d+)?)\s*만)?"
 MAN = r"([\d,]+(?:\.\d+)?)\s*만(?![가-힣\w])"
 WON = r"(?<!\d)(?:₩\s*)?(?:\d{1,3}(?:[,.\s]\d{3})+|\d{4,})\s*(?:원)?"
 ITEM = r"((?:₩\s*)?(?:\d{1,3}(?:[,.\s]\d{3})+|\d{4,}))\s*(?:원)?\s*[xX×＊]\s*(\d+)"
-CANDIDATES = T.ArrayType(T.StructType().add("value", T.LongType()).add("start", T.IntegerType()).add("end", T.IntegerType()).add("kind", T.StringType()))
-NEAREST = T.StructType().add("value", T.LongType()).add("start", T.IntegerType()).add("distance", T.IntegerType()).add("confidence", T.DoubleType())
-
-
-def _amount(number: str, unit: int) -> int:
-    from decimal import ROUND_HALF_EVEN, Decimal
-
-    return int((Decimal(number.replace(",", "") or "0") * unit).to_integral_value(ROUND_HALF_EVEN))
-
-
-def amounts_in(text: str) -> list[dict]:
-    """value, start, end, kind of every amount of 1,000 or more: units first, then plain numbers that do not overlap."""
-    found = []
-    for m in re.finditer(EOK_MAN, text):
-        man = _amount(m[2], 10**4) if m[2] else 0
-        found.append({"value": _amount(m[1], 10**8) + man, "start": m.start(), "end": m.end(), "kind": "eok+man" if man else "eok"})
-    within = lambda at: any(c["start"] <= at < c["end"] for c in found)
-    found += [{"value": _amount(m[1], 10**4), "start": m.start(), "end": m.end(), "kind": "man"} for m in re.finditer(MAN, text) if not within(m.start())]
-    found = [c for c in found if c["value"] >= 1000]
-    for m in re.finditer(WON, text):
-        digits = re.sub(r"\D", "", m[0])
-        if int(digits) >= 1000 and not within(m.start()):
-            found.append({"value": int(digits), "start": m.start(), "end": m.end(), "kind": "krw"})
-    return list({(c["value"], c["start"]): c for c in found}.values())
-
-
-@pandas_udf(CANDIDATES)
-def amount_candidates(text: pd.Series) -> pd.Series:
-    """``amounts_in`` of a column; Spark has no expression for the places of all matches."""
-    return text.map(lambda t: amounts_in(t if isinstance(t, str) else ""))
-
-
-@pandas_udf(NEAREST)
-def nearest_amount(text: pd.Series, keywords: pd.Series) -> pd.DataFrame:
-    """The amount nearest to a keyword, within 80 characters.
-
-    A keyword weighs 1.5 for a total, 0.8 for a unit price, else 1; the weight over 1 + distance, raised
-    by up to a tenth towards the end of the text, is the confidence (1 at most). The earlier of equals.
-    """
-    rows = []
-    for t, words in zip(text, keywords, strict=True):
-        t = t if isinstance(t, str) else ""
-        places = sorted((m.start(), n, w) for n, w in enumerate(words) for m in re.finditer(re.escape(w), t, re.IGNORECASE))
-        best = (None, None, None, None)
-        for c in amounts_in(t):
-            near = min(((abs(c["start"] - at), n, w) for at, n, w in places), default=None)
-            if near is None or near[0] > 80:
-                continue
-            weight = 1.5 if "총액" in near[2] or "합계" in near[2] else 0.8 if "단가" in near[2] else 1.0
-            sure = min(1.0, weight / (1 + near[0]) * (1 + c["start"] / len(t) * 0.1))
-            if best[3] is None or sure > best[3]:
-                best = (c["value"], c["start"], near[0], round(sure, 9))
-        rows.append(best)
-    return pd.DataFrame(rows, columns=["value", "start", "distance", "confidence"])
 
 
 def line_items(text: Column) -> Column:
     """array of (price, quantity): 10,000 to 5,000,000 each, 1 to 50 of them."""
-    prices = F.transform(F.regexp_extract_all(text, F.lit(ITEM), F.lit(1)), lambda x: F.regexp_replace(x, r"\D", "").cast("bigint"))
-    counts = F.transform(F.regexp_extract_all(text, F.lit(ITEM), F.lit(2)), lambda x: x.cast("bigint"))
+    prices = F.transform(F.regexp_extract_all(text, F.lit(ITEM), F.lit(1)), lambda x: F.regexp_replace(x, r"\D", "").try_cast("bigint"))
+    counts = F.transform(F.regexp_extract_all(text, F.lit(ITEM), F.lit(2)), lambda x: x.try_cast("bigint"))
     pairs = F.zip_with(prices, counts, lambda p, q: F.struct(p.alias("price"), q.alias("quantity")))
     return F.filter(pairs, lambda x: x["price"].between(10_000, 5_000_000) & x["quantity"].between(1, 50))
 
@@ -85,13 +26,6 @@ def items_total(items: Column) -> Column:
     return F.when(total.between(100_000, 50_000_000), total)
 
 
-def document_amount(text: Column, candidates: Column) -> Column:
-    """The line items' total, else the (upper) median of the candidates from 10,000 up to 10 million."""
-    usual = F.sort_array(F.filter(F.transform(candidates, lambda c: c["value"]), lambda v: (v >= 10_000) & (v < 10_000_000)))
-    median = F.when(F.size(usual) > 0, F.try_element_at(usual, F.floor(F.size(usual) / 2).cast("int") + 1))
-    return F.coalesce(items_total(line_items(text)), median)
-
-
 def guarded(amount: Column) -> Column:
     """null from 100 million on and below 1,000."""
     return F.when((amount >= 1000) & (amount < 100_000_000), amount)

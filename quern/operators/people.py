@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import queries as Q
 from ..functions import understanding as U
 from ..functions.text import jamo_ratio
+from .fuzzy import near_names
 
 
 def known_names(drafters: DataFrame, name: str = "drafter") -> DataFrame:
@@ -28,7 +29,7 @@ def parse_filters(queries: DataFrame, drafters: DataFrame, today: Column, least:
 
     Directives (``year:``, ``drafter:``) come first; else years as ``queries.years`` has them, and the first candidate that
     is a known name (``closed_world``) or, if none is, the likest one of ``least`` or more (``fuzzy``). Candidates meet names
-    by the normalised name, or by a length that differs by one at most.
+    by the normalised name, or as strings that are alike (``fuzzy.near_names``), of lengths that differ by one at most.
     """
     names = known_names(drafters)
     directed = F.nullif(U.normalized_name(U.directed_drafter(F.col("query"))), F.lit(""))
@@ -37,9 +38,9 @@ def parse_filters(queries: DataFrame, drafters: DataFrame, today: Column, least:
     token = F.col("y").isNotNull() | F.col("by_token").isNotNull()
     open_ = q.filter(~token).select("query_id", F.posexplode(U.name_candidates(F.col("query"))).alias("place", "c")).withColumn("key", U.normalized_name(F.col("c"))).filter(F.length("key").between(2, 4))
     exact = open_.join(names, "key").groupBy("query_id").agg(F.min_by("original", F.struct("place", "key")).alias("exact"))
-    lengths = F.array(F.length("key") - 1, F.length("key"), F.length("key") + 1)
-    others = names.select(F.col("key").alias("other"), "original", F.explode(lengths).alias("n"))
-    near = open_.select("query_id", "key", F.length("key").alias("n")).distinct().join(others, "n").withColumn("jamo", jamo_ratio(F.col("key"), F.col("other"))).filter("jamo >= 0.8")
+    pairs = near_names(open_.select(F.col("key").alias("text")), names.select(F.col("key").alias("text"))).filter(F.abs(F.length("a") - F.length("b")) <= 1)
+    pairs = pairs.withColumn("jamo", jamo_ratio(F.col("a"), F.col("b"))).filter("jamo >= 0.8").select(F.col("a").alias("key"), F.col("b").alias("other"), "jamo")
+    near = open_.select("query_id", "key").distinct().join(pairs, "key").join(names.select(F.col("key").alias("other"), "original"), "other")
     plain = F.greatest(F.lit(0.0), 1 - F.levenshtein("key", "other") / F.greatest(F.length("key"), F.length("other")))
     near = near.withColumn("score", F.round(0.5 * plain + 0.5 * F.col("jamo"), 9)).filter(F.col("score") >= least)
     fuzzy = near.groupBy("query_id").agg(F.min_by("original", F.struct(-F.col("score"), "other")).alias("fuzzy"))

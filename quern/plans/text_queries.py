@@ -36,27 +36,12 @@ FX_MONEY = Fixture("fx_money", "id int, text string, cell string, keyword string
 ])
 
 
-@query()
-def amount_candidates(spark, sf):
-    return FX_MONEY.df(spark).select("id", F.inline(M.amount_candidates("text")))
-
-
 @query(f"""WITH {FX_MONEY.sql()}, i AS (SELECT id, unnest(regexp_extract_all(text, '((?:₩\\s*)?(?:\\d{{1,3}}(?:[,.\\s]\\d{{3}})+|\\d{{4,}}))\\s*(?:원)?\\s*[xX×＊]\\s*(\\d+)', 1)) AS p, unnest(regexp_extract_all(text, '((?:₩\\s*)?(?:\\d{{1,3}}(?:[,.\\s]\\d{{3}})+|\\d{{4,}}))\\s*(?:원)?\\s*[xX×＊]\\s*(\\d+)', 2)) AS q FROM fx_money)
 SELECT id, CAST(regexp_replace(p, '\\D', '', 'g') AS BIGINT) AS price, CAST(q AS BIGINT) AS quantity FROM i""")
 def line_items(spark, sf):
     return FX_MONEY.df(spark).select("id", F.inline(M.line_items(F.col("text"))))
 
 
-@query()
-def document_amount(spark, sf):
-    return FX_MONEY.df(spark).select("id", M.guarded(M.document_amount(F.col("text"), M.amount_candidates("text"))).alias("amount"))
-
-
-@query()
-def nearest_amount(spark, sf):
-    return FX_MONEY.df(spark).select("id", M.nearest_amount("text", F.array("keyword")).alias("n")).select("id", "n.*")
-
-
 _N, _M = (7, 12, 150, 999, 1000, 12345, 2370000, 98765432), ("1.5", "3", "12", "0.25", "1,200")
 _CELLS = [f(n) for n in _N for f in ("{:,}".format, "{}".format, "₩{:,} 원".format, "{:,}원".format, " {:,}.00 ".format, lambda n: f"{n:,}".replace(",", " "), "약 {}개".format)]
 _CELLS += [f.format(m, n) for m in _M for n in _N for f in ("{0}억", "{0}억 {1}만", "{0}만원", "{0}천만원", "{0}백만", "{0} 억원", "총 {0}천만 {1}만")] + ["abc", "", "-", None]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +26,13 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return path.toString()
 
 
+def stored(df: DataFrame, what: str = "table") -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and there if executors are lost; it goes when the application ends."""
+    path = fresh_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def state_of(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """Files, bytes and last change of all that lies under a path; reads no contents."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,11 +20,6 @@ def values(spark, column, *texts):
     return [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(column(F.col("t"))).collect()]
 
 
-@pytest.mark.parametrize("text,expected", [("1억 2,300만", [(123_000_000, "eok+man")]), ("3.5억", [(350_000_000, "eok")]), ("12만", [(120_000, "man")]), ("₩333,000", [(333_000, "krw")]), ("999", []), ("1,000원", [(1000, "krw")]), ("", [])])
-def test_amounts(text, expected):
-    assert [(c["value"], c["kind"]) for c in M.amounts_in(text)] == expected
-
-
 def test_numbers(spark):
     assert values(spark, M.normalize_number, "1,234,567", "1 234 567", "₩ 1,234,567 원", "abc", "5천만", "1,200만원", None) == [1234567, 1234567, 1234567, None, 50_000_000, 12_000_000, None]
     assert values(spark, M.claimed_total, "합계: 1,000,000원", "합계 2000개", "총계 9,999", "비용 합계 50,000") == [1_000_000, None, None, 50_000]
