@@ -14,7 +14,7 @@ NAMES = [n for n in __spark_entry__.queries() if n.startswith("op")]
 
 
 def test_all_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
 
 
