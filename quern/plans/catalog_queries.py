@@ -29,13 +29,13 @@ def docs_range(spark, sf):
 
 @query(f"WITH {FX_FILES.sql()} SELECT doc_id, filename FROM fx_files WHERE lower(filename) = lower('2023-11-05_xrn-1620b2_교체.pdf')")
 def docs_nocase(spark, sf):
-    return C.nocase(FX_FILES.df(spark), "filename", "2023-11-05_xrn-1620b2_교체.pdf").select("doc_id", "filename")
+    return C.nocase(FX_FILES.df(spark, sf), "filename", "2023-11-05_xrn-1620b2_교체.pdf").select("doc_id", "filename")
 
 
 @query(f"""WITH {FX_FILES.sql()}, s AS (SELECT doc_id, filename, regexp_replace(lower(filename), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS slug FROM fx_files)
 SELECT doc_id, filename FROM s WHERE contains(slug, 'report') OR contains('report', slug) ORDER BY abs(length(slug) - 6), doc_id LIMIT 1""")
 def docs_fuzzy_slug(spark, sf):
-    return C.fuzzy_slug(FX_FILES.df(spark), "Re-port").select("doc_id", "filename")
+    return C.fuzzy_slug(FX_FILES.df(spark, sf), "Re-port").select("doc_id", "filename")
 
 
 @query("SELECT name, value, count(*) AS count FROM (SELECT 'all' AS name, '' AS value FROM documents UNION ALL SELECT 'lang', lang FROM documents WHERE trim(lang) <> '' UNION ALL SELECT 'source', source FROM documents WHERE trim(source) <> '') GROUP BY ALL")
@@ -78,7 +78,7 @@ def ratio_candidates(spark, sf):
 
 @query(f"""WITH {FX_FILES.sql()} SELECT * FROM (SELECT doc_id, concat_ws(', ', CASE WHEN drafter IS NULL OR trim(drafter) = '' THEN 'drafter' END, CASE WHEN date IS NULL OR trim(date) = '' THEN 'date' END) AS missing FROM fx_files) WHERE missing <> ''""")
 def required_fields(spark, sf):
-    return C.missing_fields(FX_FILES.df(spark), "drafter", "date")
+    return C.missing_fields(FX_FILES.df(spark, sf), "drafter", "date")
 
 
 @query("""SELECT o_orderkey, round(items, 2) AS items, abs(items - o_totalprice) <= greatest(1, 0.01 * o_totalprice) AS sum_match, n FROM orders JOIN
@@ -106,7 +106,7 @@ _KEY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_repla
 
 @query(f"WITH {FX_FILES.sql()} SELECT key, min_by(doc_id, created_at) AS doc_id, count(*) AS copies FROM (SELECT *, {_KEY} AS key FROM fx_files) GROUP BY key")
 def dedupe_filename(spark, sf):
-    named = FX_FILES.df(spark).withColumn("key", T.filename_key(F.col("filename")))
+    named = FX_FILES.df(spark, sf).withColumn("key", T.filename_key(F.col("filename")))
     return named.groupBy("key").agg(F.min_by("doc_id", "created_at").alias("doc_id"), F.count("*").alias("copies"))
 
 
@@ -119,21 +119,21 @@ def consecutive_lines(spark, sf):
 
 FX_PAGES = Fixture("fx_pages", "doc_id int, page int, page_text string", [
     (1, 1, "Head  Line\nfirst\nbody\nfoot"), (1, 2, "head line\nsecond\nmore\nFoot"), (1, 3, "HEAD LINE\n\nthird\nfoot"), (2, 1, "a\nb"), (2, 2, "a\nc"), (3, 1, ""),
-])
+], also=("documents", "1000000 + doc_id - doc_id % 4", "1 + doc_id % 4", "text"))
 
 
 @query(f"""WITH {FX_PAGES.sql()}, l AS (SELECT doc_id, page, list_filter(list_transform(string_split(page_text, chr(10)), lambda x: trim(regexp_replace(lower(x), '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM fx_pages),
 h AS (SELECT doc_id, page, unnest(list_distinct(list_concat(l[1:2], l[-2:]))) AS line FROM l) SELECT doc_id, line, count(DISTINCT page) AS pages FROM h GROUP BY ALL HAVING count(DISTINCT page) >= 3""")
 def repeated_lines(spark, sf):
-    return C.repeated_lines(FX_PAGES.df(spark))
+    return C.repeated_lines(FX_PAGES.df(spark, sf))
 
 
-FX_SNAPSHOTS = Fixture("fx_snapshots", "snap int, path string, hash string", [(1, "a", "1"), (1, "b", "2"), (1, "c", "3"), (2, "b", "2"), (2, "c", "4"), (2, "d", "5")])
+FX_SNAPSHOTS = Fixture("fx_snapshots", "snap int, path string, hash string", [(1, "a", "1"), (1, "b", "2"), (1, "c", "3"), (2, "b", "2"), (2, "c", "4"), (2, "d", "5")], also=("documents", "1 + doc_id % 2", "concat(source, '/', doc_id - doc_id % 2)", "md5(text)"))
 
 
 @query(f"WITH {FX_SNAPSHOTS.sql()} SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' WHEN o.hash <> n.hash THEN 'modified' ELSE 'same' END AS change FROM (SELECT * FROM fx_snapshots WHERE snap = 1) o FULL JOIN (SELECT * FROM fx_snapshots WHERE snap = 2) n ON o.path = n.path")
 def snapshot_diff(spark, sf):
-    both = FX_SNAPSHOTS.df(spark)
+    both = FX_SNAPSHOTS.df(spark, sf)
     return C.snapshot_diff(both.filter("snap = 1"), both.filter("snap = 2"))
 
 
@@ -175,13 +175,13 @@ def latency_percentiles(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), *[E.nearest_rank("value", p).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)])
 
 
-FX_EVAL = Fixture("fx_eval", "query_id int, mode string, sources int, rank int, fields array<string>", [(1, "rag", 2, 1, ["answer", "sources"]), (2, "rag", 0, None, ["answer"]), (3, "chat", 0, 3, []), (4, "rag", 1, 12, ["answer", "sources", "mode", "extra"])])
+FX_EVAL = Fixture("fx_eval", "query_id int, mode string, sources int, rank int, fields array<string>", [(1, "rag", 2, 1, ["answer", "sources"]), (2, "rag", 0, None, ["answer"]), (3, "chat", 0, 3, []), (4, "rag", 1, 12, ["answer", "sources", "mode", "extra"])], also=("documents", "1000000 + doc_id", "lang", "n_chars % 3", "n_chars % 14", "split('answer,sources', ',')"))
 
 
 @query(f"WITH {FX_EVAL.sql()} SELECT round(avg(CASE WHEN mode = 'rag' THEN CASE WHEN sources > 0 THEN 1.0 ELSE 0.0 END END), 6) AS citation_rate, round(avg(len(list_intersect(fields, ['answer', 'sources', 'mode'])) / 3), 6) AS schema_score FROM fx_eval")
 def citation_schema(spark, sf):
     cited = F.avg(F.when(F.col("mode") == "rag", F.when(F.col("sources") > 0, 1.0).otherwise(0.0)))
-    return FX_EVAL.df(spark).agg(F.round(cited, 6).alias("citation_rate"), F.round(F.avg(E.schema_score(F.col("fields"), ["answer", "sources"], ["mode"])), 6).alias("schema_score"))
+    return FX_EVAL.df(spark, sf).agg(F.round(cited, 6).alias("citation_rate"), F.round(F.avg(E.schema_score(F.col("fields"), ["answer", "sources"], ["mode"])), 6).alias("schema_score"))
 
 
 @query("SELECT *, round(count / sum(count) OVER (PARTITION BY day), 6) AS share FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS mode, count(*) AS count, round(avg(value), 6) AS mean_confidence, count(*) FILTER (value < 0.7) AS low FROM events GROUP BY ALL)")

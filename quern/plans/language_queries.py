@@ -23,37 +23,37 @@ def _matches(pattern: str, column: str = "query", flags: str = "i") -> str:
 SELECT query_id, CASE WHEN cost_intent THEN 'COST' WHEN (file OR ref OR kind) AND content_intent THEN 'DOCUMENT' WHEN list_intent THEN 'SEARCH' WHEN qa THEN 'QA' WHEN file OR ref THEN 'SEARCH' ELSE 'QA' END AS mode,
 CAST(CASE WHEN cost_intent THEN 0.95 WHEN (file OR ref OR kind) AND content_intent THEN 0.9 WHEN list_intent THEN 0.9 WHEN qa THEN 0.8 WHEN file OR ref THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence, cost_intent, list_intent, content_intent FROM i""")
 def route_queries(spark, sf):
-    return FX_QUERIES.df(spark).select("query_id", Q.route(F.col("query")).alias("r")).select("query_id", "r.*")
+    return FX_QUERIES.df(spark, sf).select("query_id", Q.route(F.col("query")).alias("r")).select("query_id", "r.*")
 
 
-FX_YEARS = Fixture("fx_years", "id int, query string, today string", [(1, "작년 문서", "2025-06-01"), (2, "2023~25 비용", "2025-06-01"), (3, "2023-2025년", "2025-06-01"), (4, "'24 구매", "2025-06-01"), (5, "렌즈", "2025-06-01"), (6, "재작년", "2025-06-01"), (7, "98년 문서", "2025-06-01"), (8, "2024년 3월", "2025-06-01")])
+FX_YEARS = Fixture("fx_years", "id int, query string, today string", [(1, "작년 문서", "2025-06-01"), (2, "2023~25 비용", "2025-06-01"), (3, "2023-2025년", "2025-06-01"), (4, "'24 구매", "2025-06-01"), (5, "렌즈", "2025-06-01"), (6, "재작년", "2025-06-01"), (7, "98년 문서", "2025-06-01"), (8, "2024년 3월", "2025-06-01")], also=("documents", "1000000 + doc_id", "text", "'2025-06-01'"))
 
 
-@query(f"""WITH {FX_YEARS.sql()}, y AS (SELECT *, CAST(year(CAST(today AS DATE)) AS INTEGER) AS ty, regexp_extract(query, '''?(\\d{{4}}|\\d{{2}})년?\\s*[~\\-–]\\s*''?(\\d{{4}}|\\d{{2}})', 1) AS a, regexp_extract(query, '''?(\\d{{4}}|\\d{{2}})년?\\s*[~\\-–]\\s*''?(\\d{{4}}|\\d{{2}})', 2) AS b,
- nullif(regexp_extract(query, '((?:19|20)\\d{{2}})', 1), '') AS four, coalesce(nullif(regexp_extract(query, '''(\\d{{2}})', 1), ''), nullif(regexp_extract(query, '(?:^|\\D)(\\d{{2}})년', 1), '')) AS two FROM fx_years),
+@query(f"""WITH {FX_YEARS.sql()}, y AS (SELECT *, CAST(year(CAST(today AS DATE)) AS INTEGER) AS ty, regexp_extract(query, '''?(\\d{{4}}|\\d{{2}})년?\\s*[~\\-–]\\s*''?(\\d{{4}}|\\d{{2}})(?:\\D|$)', 1) AS a, regexp_extract(query, '''?(\\d{{4}}|\\d{{2}})년?\\s*[~\\-–]\\s*''?(\\d{{4}}|\\d{{2}})(?:\\D|$)', 2) AS b,
+ nullif(regexp_extract(query, '(?:^|\\D)((?:19|20)\\d{{2}})(?:\\D|$)', 1), '') AS four, coalesce(nullif(regexp_extract(query, '''(\\d{{2}})(?:\\D|$)', 1), ''), nullif(regexp_extract(query, '(?:^|\\D)(\\d{{2}})년', 1), '')) AS two FROM fx_years),
 n AS (SELECT *, list_transform([a, b, two], lambda x: CASE WHEN length(x) = 4 THEN CAST(x AS INTEGER) WHEN length(x) = 2 THEN CASE WHEN ty // 100 * 100 + CAST(x AS INTEGER) > ty + 20 THEN ty // 100 * 100 + CAST(x AS INTEGER) - 100 ELSE ty // 100 * 100 + CAST(x AS INTEGER) END END) AS v,
  CASE WHEN contains(query, '재작년') THEN ty - 2 WHEN contains(query, '작년') THEN ty - 1 WHEN contains(query, '올해') THEN ty END AS rel FROM y)
 SELECT id, CAST(CASE WHEN rel IS NULL AND v[1] IS NOT NULL AND v[2] IS NOT NULL THEN least(v[1], v[2]) ELSE coalesce(rel, CAST(four AS INTEGER), v[3]) END AS INTEGER) AS lo, CAST(CASE WHEN rel IS NULL AND v[1] IS NOT NULL AND v[2] IS NOT NULL THEN greatest(v[1], v[2]) ELSE coalesce(rel, CAST(four AS INTEGER), v[3]) END AS INTEGER) AS hi FROM n""")
 def parse_years(spark, sf):
-    return FX_YEARS.df(spark).select("id", Q.years(F.col("query"), F.to_date("today")).alias("y")).select("id", "y.*")
+    return FX_YEARS.df(spark, sf).select("id", Q.years(F.col("query"), F.to_date("today")).alias("y")).select("id", "y.*")
 
 
 @query(f"{_FX} SELECT query_id, CASE " + " ".join(f"WHEN {_matches(p)} THEN '{n}'" for n, p in Q.TYPES.items()) + " ELSE 'general' END AS type FROM fx_queries")
 def question_type(spark, sf):
-    return FX_QUERIES.df(spark).select("query_id", Q.question_type(F.col("query")).alias("type"))
+    return FX_QUERIES.df(spark, sf).select("query_id", Q.question_type(F.col("query")).alias("type"))
 
 
 @query(f"{_FX}, c AS (SELECT query_id, CASE WHEN {_matches(Q.COMPARISON, 'lower(query)')} THEN 'comparison' WHEN {_matches(Q.HARD, 'lower(query)')} THEN 'complex' WHEN {_matches(Q.EASY, 'lower(query)')} THEN 'simple' WHEN len(regexp_split_to_array(trim(query), '\\s+')) > 5 THEN 'complex' ELSE 'simple' END AS complexity FROM fx_queries) SELECT *, CAST(CASE complexity WHEN 'comparison' THEN 10 WHEN 'complex' THEN 7 ELSE 3 END AS INTEGER) AS k FROM c")
 def query_complexity(spark, sf):
-    return FX_QUERIES.df(spark).select("query_id", Q.complexity(F.col("query")).alias("complexity"), Q.adaptive_k(F.col("query")).alias("k"))
+    return FX_QUERIES.df(spark, sf).select("query_id", Q.complexity(F.col("query")).alias("complexity"), Q.adaptive_k(F.col("query")).alias("k"))
 
 
 @query(f"{_FX} SELECT query_id, CASE " + " ".join(f"WHEN {_matches(p, 'lower(query)')} THEN '{n}'" for n, p in Q.SECTIONS.items()) + " END AS section FROM fx_queries")
 def detect_section(spark, sf):
-    return FX_QUERIES.df(spark).select("query_id", Q.section(F.col("query")).alias("section"))
+    return FX_QUERIES.df(spark, sf).select("query_id", Q.section(F.col("query")).alias("section"))
 
 
-FX_KEYS = Fixture("fx_keys", "id int, query string", list(enumerate(f.format(a, b) for f in ("{0} {1}", "{0}  {1}?", "{1}, {0}!", " {0}/{1}", "{0}.") for a in ("LVM-180A", "lvm 180a", "NVR", "녹화기", "a b c", "XRN_1620 b2") for b in ("사양", "비용", "full ver", "2024"))))
+FX_KEYS = Fixture("fx_keys", "id int, query string", list(enumerate(f.format(a, b) for f in ("{0} {1}", "{0}  {1}?", "{1}, {0}!", " {0}/{1}", "{0}.") for a in ("LVM-180A", "lvm 180a", "NVR", "녹화기", "a b c", "XRN_1620 b2") for b in ("사양", "비용", "full ver", "2024"))), also=("documents", "1000000 + doc_id", "text"))
 _PLAIN = "regexp_replace(regexp_replace(lower(trim(query)), '[?!.,;:]', '', 'g'), '[-/_]', ' ', 'g')"
 # Patterns that look at both sides of a space without taking them: twice is enough for pieces of one character.
 _JOINED = "regexp_replace(regexp_replace({0}, '([a-z0-9])\\s+([a-z0-9])', '\\1\\2', 'g'), '([a-z0-9])\\s+([a-z0-9])', '\\1\\2', 'g')"
@@ -62,7 +62,7 @@ _JOINED = "regexp_replace(regexp_replace({0}, '([a-z0-9])\\s+([a-z0-9])', '\\1\\
 @query(f"""WITH {FX_KEYS.sql()}, c AS (SELECT id, trim(regexp_replace({_JOINED.format(_PLAIN)}, '\\s+', ' ', 'g')) AS q FROM fx_keys)
 SELECT id, left(sha256(array_to_string(list_transform(string_split(q, ' '), lambda x: CASE WHEN x = '녹화기' THEN 'nvr' ELSE x END), ' ')), 16) AS key FROM c""")
 def smart_key(spark, sf):
-    return FX_KEYS.df(spark).select("id", Q.smart_key(F.col("query"), synonyms={"녹화기": "nvr"}).alias("key"))
+    return FX_KEYS.df(spark, sf).select("id", Q.smart_key(F.col("query"), synonyms={"녹화기": "nvr"}).alias("key"))
 
 
 SYNONYMS = {"렌즈": ["lens", "광학계"], "비용": ["금액", "가격"]}
@@ -70,15 +70,15 @@ SYNONYMS = {"렌즈": ["lens", "광학계"], "비용": ["금액", "가격"]}
 
 @query(f"{_FX} SELECT query_id, unnest(list_distinct(list_concat([query], CASE WHEN contains(query, '렌즈') THEN [replace(query, '렌즈', 'lens'), replace(query, '렌즈', '광학계')] ELSE [] END, CASE WHEN contains(query, '비용') THEN [replace(query, '비용', '금액'), replace(query, '비용', '가격')] ELSE [] END))) AS expanded FROM fx_queries")
 def expand_synonyms(spark, sf):
-    return FX_QUERIES.df(spark).select("query_id", F.explode(Q.expansions(F.col("query"), SYNONYMS)).alias("expanded"))
+    return FX_QUERIES.df(spark, sf).select("query_id", F.explode(Q.expansions(F.col("query"), SYNONYMS)).alias("expanded"))
 
 
-FX_SPELLINGS = Fixture("fx_spellings", "id int, code string", [(1, "XRN–1620B2"), (2, "lvm/180a"), (3, "COM/GW AP"), (4, "FX3")])
+FX_SPELLINGS = Fixture("fx_spellings", "id int, code string", [(1, "XRN–1620B2"), (2, "lvm/180a"), (3, "COM/GW AP"), (4, "FX3")], also=("pages", "1000000 + page_id", "url"))
 
 
 @query(f"WITH {FX_SPELLINGS.sql()}, b AS (SELECT id, upper(trim(regexp_replace(translate(code, '‐‑‒–—−', '------'), '\\s+', ' ', 'g'))) AS b FROM fx_spellings) SELECT id, unnest(list_distinct([b, replace(b, '-', ' '), replace(b, '/', ' '), replace(b, '/', '-'), regexp_replace(b, '[-/\\s]', '', 'g')])) AS variant FROM b")
 def expand_variants(spark, sf):
-    return FX_SPELLINGS.df(spark).select("id", F.explode(T.code_variants(F.col("code"))).alias("variant"))
+    return FX_SPELLINGS.df(spark, sf).select("id", F.explode(T.code_variants(F.col("code"))).alias("variant"))
 
 
 _W = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> ''))"

@@ -15,12 +15,12 @@ _SUMS = ["총액: 1,650,000원\nVAT: 165,000원", "합계 : 3억", "금액 2.5
 _FILES = ["2024-03-01_렌즈_구매.pdf", "2023-11-05_기술부_김하늘_카메라 수리.pdf", "notes.txt", "2022_점검 1_x.pdf"]
 FX_PAPERS = Fixture("fx_papers", "id int, text string, filename string, drafter string", [
     (k, "\n".join(x for x in p if x), _FILES[k % 4], (None, "", "박나무", "홍")[k // 4 % 4]) for k, p in enumerate((a, b, c) for a in _LEADS for b in _BODIES for c in _SUMS)
-])
+], also=("documents", "1000000 + doc_id", "text", "concat(source, '_', lang, '.pdf')", "source"))
 _P = f"WITH {FX_PAPERS.sql()}"
 
 
-def _papers(spark):
-    return FX_PAPERS.df(spark)
+def _papers(spark, sf):
+    return FX_PAPERS.df(spark, sf)
 
 
 def _rx(pattern: str, group: int = 1, column: str = "text") -> str:
@@ -44,7 +44,7 @@ _DAYS = "list_transform(regexp_extract_all(text, '(?:19|20)\\d{2}[-./]\\d{1,2}[-
 
 @query(f"""{_P} SELECT id, list_reverse_sort(list_distinct(list_transform(list_filter({_DAYS}, lambda p: CAST(p[1] AS INTEGER) BETWEEN 1990 AND 2035 AND CAST(p[2] AS INTEGER) BETWEEN 1 AND 12 AND CAST(p[3] AS INTEGER) BETWEEN 1 AND 31), lambda p: p[1] || '-' || lpad(p[2], 2, '0') || '-' || lpad(p[3], 2, '0')))) AS days FROM fx_papers""")
 def all_dates(spark, sf):
-    return _papers(spark).select("id", M.all_days(F.col("text")).alias("days"))
+    return _papers(spark, sf).select("id", M.all_days(F.col("text")).alias("days"))
 
 
 def _dept_sql() -> str:
@@ -58,14 +58,14 @@ def _dept_sql() -> str:
 @query(f"{_P} SELECT id, {_dept_sql()} AS department, {_first([(_words('lower(text)', w), _text(n)) for n, w in M.TYPES])} AS type, {_first([(_words('lower(text)', w), _text(n)) for n, w in M.SIMPLE_TYPES], _text('기타문서'))} AS simple_type, coalesce({', '.join(_rx(p) for p in M.DRAFTERS)}) AS drafter FROM fx_papers")
 def department_and_type(spark, sf):
     t = F.col("text")
-    return _papers(spark).select("id", M.department(t).alias("department"), M.type_by_words(t).alias("type"), M.type_by_words(t, M.SIMPLE_TYPES, "기타문서").alias("simple_type"), M.drafter(t).alias("drafter"))
+    return _papers(spark, sf).select("id", M.department(t).alias("department"), M.type_by_words(t).alias("type"), M.type_by_words(t, M.SIMPLE_TYPES, "기타문서").alias("simple_type"), M.drafter(t).alias("drafter"))
 
 
 @query(f"""{_P}, n AS (SELECT id, unnest(list_filter(regexp_split_to_array(text || chr(10) || 'Lee JH' || chr(10) || '김하늘' || chr(10) || 'J. Kim 7', '\\n'), lambda x: x <> '')) AS name FROM fx_papers)
 SELECT id, name, NOT regexp_matches(trim(name), '{'|'.join(M.NO_AUTHOR)}') AND trim(name) <> '' AND (regexp_full_match(trim(name), '[가-힣]{{2,4}}') OR regexp_full_match(trim(name), '[A-Za-z][A-Za-z.\\- ,]{{1,30}}')) AS valid FROM n""")
 def author_validation(spark, sf):
     more = F.concat_ws("\n", F.col("text"), F.lit("Lee JH"), F.lit("김하늘"), F.lit("J. Kim 7"))
-    names = _papers(spark).select("id", F.explode(F.filter(F.split(more, "\n"), lambda x: x != "")).alias("name"))
+    names = _papers(spark, sf).select("id", F.explode(F.filter(F.split(more, "\n"), lambda x: x != "")).alias("name"))
     return names.select("id", "name", M.is_author(F.col("name")).alias("valid"))
 
 
@@ -77,7 +77,7 @@ def _tagged_date_sql() -> str:
 
 @query(f"{_P} SELECT id, {_tagged_date_sql()} FROM fx_papers")
 def tagged_date(spark, sf):
-    return _papers(spark).select("id", M.tagged_date(F.col("text"), F.col("filename"), F.to_date(F.lit(TODAY))).alias("d")).select("id", "d.*")
+    return _papers(spark, sf).select("id", M.tagged_date(F.col("text"), F.col("filename"), F.to_date(F.lit(TODAY))).alias("d")).select("id", "d.*")
 
 
 _AMOUNT = {p: f"TRY_CAST(replace({_rx(p)}, ',', '') AS BIGINT)" for p, _, _ in M.AMOUNTS}
@@ -85,7 +85,7 @@ _AMOUNT = {p: f"TRY_CAST(replace({_rx(p)}, ',', '') AS BIGINT)" for p, _, _ in M
 
 @query(f"{_P} SELECT id, {_first([(f'{_AMOUNT[p]} BETWEEN 1000 AND 1000000000', _AMOUNT[p]) for p, _, _ in M.AMOUNTS])} AS value, {_first([(f'{_AMOUNT[p]} BETWEEN 1000 AND 1000000000', _text(m)) for p, m, _ in M.AMOUNTS], _text(''))} AS method, CAST({_first([(f'{_AMOUNT[p]} BETWEEN 1000 AND 1000000000', str(c)) for p, _, c in M.AMOUNTS], '0.0')} AS DOUBLE) AS confidence FROM fx_papers")
 def tagged_amount(spark, sf):
-    return _papers(spark).select("id", M.tagged_amount(F.col("text")).alias("a")).select("id", "a.*")
+    return _papers(spark, sf).select("id", M.tagged_amount(F.col("text")).alias("a")).select("id", "a.*")
 
 
 def _title_sql() -> str:
@@ -101,7 +101,7 @@ def _vendor_sql() -> str:
 @query(f"{_P} SELECT id, {_title_sql()} AS title, {_vendor_sql()} AS vendor, list_sort(list_distinct(flatten([{', '.join(f'regexp_extract_all(text, {_text(p)}, 1)' for p in M.GEAR)}]))) AS gear FROM fx_papers")
 def title_vendor_gear(spark, sf):
     t = F.col("text")
-    return _papers(spark).select("id", M.title(t).alias("title"), M.vendor(t).alias("vendor"), F.array_sort(M.gear(t)).alias("gear"))
+    return _papers(spark, sf).select("id", M.title(t).alias("title"), M.vendor(t).alias("vendor"), F.array_sort(M.gear(t)).alias("gear"))
 
 
 def _money_sql(c: str) -> str:
@@ -114,29 +114,34 @@ SELECT id, {_money_sql('text')} AS first_money, {_has(M.DECISIONS)} AS decided,
  CAST(TRY_CAST(replace({_rx(M.VAT_LABEL)}, ',', '') AS DECIMAL(24,4)) AS BIGINT) AS vat FROM w""")
 def money_in_prose(spark, sf):
     t = F.col("text")
-    return _papers(spark).select("id", M.money(t).alias("first_money"), t.rlike(M.DECISIONS).alias("decided"), M.labelled(t, M.TOTAL_LABELS).alias("claimed"), M.labelled(t, [M.VAT_LABEL]).alias("vat"))
+    return _papers(spark, sf).select("id", M.money(t).alias("first_money"), t.rlike(M.DECISIONS).alias("decided"), M.labelled(t, M.TOTAL_LABELS).alias("claimed"), M.labelled(t, [M.VAT_LABEL]).alias("vat"))
+
+
+def _bounded(pattern: str) -> str:
+    """Word boundaries of all letters, not of ASCII alone."""
+    return pattern.replace(r"\bAS\b", r"(?:^|[^\p{L}\p{N}_])AS(?:[^\p{L}\p{N}_]|$)")
 
 
 _KIND = f"lower(filename || chr(10) || left(text, 2000))"
 
 
-@query(f"{_P}, s AS (SELECT id, text, {_KIND} AS s FROM fx_papers) SELECT id, CASE WHEN {_has(M.MINUTES_SIGN, 's')} AND len(list_filter({_list(M.MINUTES)}, lambda w: contains(s, w))) >= 2 THEN 'minutes' ELSE {_first([(_has(p, 's'), _text(n)) for n, p in M.KINDS], _text('generic'))} END AS kind, list_filter([{', '.join(f'CASE WHEN {_has(p)} THEN {_text(p)} END' for p in M.HEADERS)}], lambda x: x IS NOT NULL) AS headers FROM s")
+@query(f"{_P}, s AS (SELECT id, text, {_KIND} AS s FROM fx_papers) SELECT id, CASE WHEN {_has(M.MINUTES_SIGN, 's')} AND len(list_filter({_list(M.MINUTES)}, lambda w: contains(s, w))) >= 2 THEN 'minutes' ELSE {_first([(_has(_bounded(p), 's'), _text(n)) for n, p in M.KINDS], _text('generic'))} END AS kind, list_filter([{', '.join(f'CASE WHEN {_has(p)} THEN {_text(p)} END' for p in M.HEADERS)}], lambda x: x IS NOT NULL) AS headers FROM s")
 def document_kind(spark, sf):
-    return _papers(spark).select("id", M.document_kind(F.col("filename"), F.col("text")).alias("kind"), M.found_headers(F.col("text")).alias("headers"))
+    return _papers(spark, sf).select("id", M.document_kind(F.col("filename"), F.col("text")).alias("kind"), M.found_headers(F.col("text")).alias("headers"))
 
 
 @query(f"""{_P}, p AS (SELECT id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: trim(s)), lambda s: length(s) BETWEEN 8 AND 240 AND {_words('s', M.REASONS)}) AS ps FROM fx_papers),
 u AS (SELECT id, unnest(ps) AS s, unnest(range(len(ps))) AS i FROM p), r AS (SELECT id, s, row_number() OVER (PARTITION BY id ORDER BY len(list_filter({_list(M.REASONS)}, lambda w: contains(s, w))) * 2.0 + least(length(s), 160) / 160.0 DESC, i) AS n FROM u)
 SELECT id, s AS reason FROM fx_papers LEFT JOIN (SELECT * FROM r WHERE n = 1) USING (id)""")
 def replacement_reason(spark, sf):
-    return _papers(spark).select("id", M.reason(F.col("text")).alias("reason"))
+    return _papers(spark, sf).select("id", M.reason(F.col("text")).alias("reason"))
 
 
 @query(f"""{_P}, f AS (SELECT id, filename, drafter, string_split(filename, '_') AS p FROM fx_papers), n AS (SELECT *, list_filter([p[2], p[3]], lambda x: x IS NOT NULL AND length(x) BETWEEN 2 AND 4 AND NOT regexp_matches(x, '\\d') AND NOT contains(x, '기술')) AS g FROM f)
 SELECT id, coalesce(nullif(trim(drafter), ''), g[1], CASE WHEN id % 3 = 0 THEN '영상팀' END, '미확인') AS drafter FROM n""")
 def drafter_resolution(spark, sf):
     dept = F.when(F.col("id") % 3 == 0, "영상팀").otherwise("")
-    return _papers(spark).select("id", M.resolved_drafter(F.col("drafter"), F.col("filename"), dept, ("기술",)).alias("drafter"))
+    return _papers(spark, sf).select("id", M.resolved_drafter(F.col("drafter"), F.col("filename"), dept, ("기술",)).alias("drafter"))
 
 
 @query(f"""{_P}, d AS (SELECT id, drafter, CASE id % 4 WHEN 0 THEN '2024. 3. 5' WHEN 1 THEN '2023/11/5' WHEN 2 THEN '20220109' END AS a, CASE id % 3 WHEN 0 THEN '2024-03-09 10:20' END AS b, filename FROM fx_papers),
@@ -145,7 +150,7 @@ s AS (SELECT id, drafter, coalesce(a, b, '{M.NONE}') AS display, CASE WHEN a IS
 SELECT id, display, '**기안자/부서:** ' || coalesce(drafter, '{M.NONE}') || ' / ' || '{M.NONE}' || chr(10) || '**기안일자 / 시행일자:** ' || detail || chr(10) || '**유형/카테고리:** 구매' || CASE WHEN id % 2 = 0 THEN chr(10) || '**문서번호:** N-' || id ELSE '' END AS shown FROM s""")
 def metadata_display(spark, sf):
     draft = F.expr("CASE id % 4 WHEN 0 THEN '2024. 3. 5' WHEN 1 THEN '2023/11/5' WHEN 2 THEN '20220109' END")
-    df = _papers(spark).withColumn("d", M.dates_of(draft, F.when(F.col("id") % 3 == 0, "2024-03-09 10:20"), F.lit("notes.txt")))
+    df = _papers(spark, sf).withColumn("d", M.dates_of(draft, F.when(F.col("id") % 3 == 0, "2024-03-09 10:20"), F.lit("notes.txt")))
     number = F.when(F.col("id") % 2 == 0, F.concat(F.lit("N-"), F.col("id").cast("string")))
     return df.select("id", "d.display", M.meta_display(F.col("drafter"), F.lit(None).cast("string"), F.col("d.detail"), F.lit("구매"), number, F.lit(None).cast("string")).alias("shown"))
 

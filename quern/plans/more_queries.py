@@ -39,14 +39,14 @@ def priority_union(spark, sf):
 FX_HITS = Fixture("fx_hits", "filename string, date string, drafter string, category string, content string, score double", [
     (f"{stem}{tail}{suffix}", (f"2024-0{k % 9 + 1}-02", None)[k % 5 == 0], ("kim", "", None)[k % 3], ("구매", None, " x ")[k % 4 % 3], ("text  one", None, "  ", "two\nlines " * 30)[k % 4], round(k * 37 % 101 / 100, 2))
     for k, (stem, tail, suffix) in enumerate((s, t, x) for s in ("a_b", "a b", "a-b", "report 2024", "c") for t in ("", " (1)", "_2", "(12)") for x in (".pdf", ".PDF", ".txt"))
-])
+], also=("documents", "concat(source, ' ', doc_id % 50, '.PDF')", "concat('2024-0', 1 + doc_id % 9)", "source", "lang", "text", "n_chars % 97"))
 _KEY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(filename, '\\.[A-Za-z0-9]+$', ''), '[\\s\\-]+', '_', 'g'), '_*\\(\\d+\\)$', ''), '_\\d$', ''), '_+', '_', 'g') || lower(regexp_extract(filename, '(\\.[A-Za-z0-9]+)$', 1))"
 
 
 @query(f"""WITH {FX_HITS.sql()}, k AS (SELECT *, {_KEY} AS key, trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g')) AS t, concat_ws(' | ', nullif(trim(category), ''), nullif(trim(drafter), ''), nullif(trim(date), '')) AS about FROM fx_hits),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, filename) AS n FROM k) SELECT filename, score, CASE WHEN t = '' THEN about ELSE left(t, 200) END AS snippet FROM r WHERE n = 1""")
 def result_list(spark, sf):
-    return C.result_list(FX_HITS.df(spark)).select("filename", "score", "snippet")
+    return C.result_list(FX_HITS.df(spark, sf)).select("filename", "score", "snippet")
 
 
 @query("WITH " + _bm25_sql("robertson") + """, m AS (SELECT query_id, doc_id, rank, regexp_matches(source, '^src1') AS m FROM bm25 JOIN documents USING (doc_id)) SELECT query_id, doc_id FROM (SELECT *, bool_or(m) OVER (PARTITION BY query_id) AS any_ FROM m) WHERE CASE WHEN any_ THEN m ELSE rank <= 6 END""")
@@ -57,12 +57,12 @@ def allowed_or_first(spark, sf):
 
 @query(f"WITH {FX_FILES.sql()} SELECT count(*) FILTER (e = 'pdf') AS pdf, count(*) FILTER (e = 'txt') AS txt, count(*) FILTER (e NOT IN ('pdf', 'txt')) AS other FROM (SELECT lower(regexp_extract(filename, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM fx_files)")
 def extension_counts(spark, sf):
-    return C.extension_counts(FX_FILES.df(spark))
+    return C.extension_counts(FX_FILES.df(spark, sf))
 
 
 @query(f"WITH {FX_FILES.sql()} SELECT doc_id, filename FROM fx_files WHERE contains(filename, 'report') ORDER BY CASE WHEN filename = 'report' THEN 1 WHEN starts_with(filename, 'report') THEN 2 ELSE 3 END, doc_id LIMIT 1")
 def title_lookup(spark, sf):
-    return C.title_lookup(FX_FILES.df(spark), "report", "filename").select("doc_id", "filename")
+    return C.title_lookup(FX_FILES.df(spark, sf), "report", "filename").select("doc_id", "filename")
 
 
 @query("SELECT doc_id, len(regexp_extract_all(m, '\\[email\\]')) AS emails, sha256(m) AS masked FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\d{6}-[1-4]\\d{6}', '[id]', 'g'), '\\b0\\d{1,2}-\\d{3,4}-\\d{4}\\b', '[phone]', 'g') AS m FROM documents)")
@@ -71,15 +71,15 @@ def mask_sensitive(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.regexp_count(m, F.lit(r"\[email\]")).cast("bigint").alias("emails"), F.sha2(F.encode(m, "UTF-8"), 256).alias("masked"))
 
 
-FX_LINES = Fixture("fx_lines", "id int, text string", [(1, "한글\n漢字 행\nabc"), (2, "カナ"), (3, ""), (4, "가격 1l5,O00원")])
+FX_LINES = Fixture("fx_lines", "id int, text string", [(1, "한글\n漢字 행\nabc"), (2, "カナ"), (3, ""), (4, "가격 1l5,O00원")], also=("documents", "1000000 + doc_id", "text"))
 
 
 @query(f"WITH {FX_LINES.sql()} SELECT id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '[\\x{{3001}}-\\x{{303f}}\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}]')), chr(10)) AS text FROM fx_lines")
 def drop_foreign_lines(spark, sf):
-    return FX_LINES.df(spark).select("id", T.drop_foreign_lines(F.col("text")).alias("text"))
+    return FX_LINES.df(spark, sf).select("id", T.drop_foreign_lines(F.col("text")).alias("text"))
 
 
-FX_SCANS = Fixture("fx_scans", "id int, text string", list(enumerate(f.format(n) for f in ("합계 l{0},300,000 원", "HP O8 {0} , 0 0 0", "XRN{0}B2 워크스테이숀", "중 계 차  보 수", "I{0},000,000 and 3 3 6", "none {0}") for n in (10, 79, 42, 5))))
+FX_SCANS = Fixture("fx_scans", "id int, text string", list(enumerate(f.format(n) for f in ("합계 l{0},300,000 원", "HP O8 {0} , 0 0 0", "XRN{0}B2 워크스테이숀", "중 계 차  보 수", "I{0},000,000 and 3 3 6", "none {0}") for n in (10, 79, 42, 5))), also=("documents", "1000000 + doc_id", "text"))
 
 
 def _repaired(column: str) -> str:
@@ -90,7 +90,7 @@ def _repaired(column: str) -> str:
 
 @query(f"WITH {FX_SCANS.sql()} SELECT id, {_repaired('text')} AS text FROM fx_scans")
 def repair_ocr(spark, sf):
-    return FX_SCANS.df(spark).select("id", T.repair_ocr(F.col("text")).alias("text"))
+    return FX_SCANS.df(spark, sf).select("id", T.repair_ocr(F.col("text")).alias("text"))
 
 
 @query("""WITH m AS (SELECT doc_id, left('{"lang":"' || lang || '","price":"***","text":"' || CASE WHEN length(t) > 50 THEN left(t, 50) || '...' ELSE t END || '"}', 200) AS j FROM (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g') AS t FROM documents) WHERE lang IS NOT NULL) SELECT doc_id, j AS masked FROM m""")

@@ -38,18 +38,27 @@ _KINDS = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "
 
 
 class Fixture:
-    """A few rows for Spark and for SQL."""
+    """A few rows for Spark and for SQL, and those of a given table behind them.
 
-    def __init__(self, name: str, schema: str, rows: list[tuple]):
-        self.name, self.schema, self.rows = name, schema, rows
+    ``also``: the table and, for each column, an expression that both engines understand.
+    """
+
+    def __init__(self, name: str, schema: str, rows: list[tuple], also: tuple[str, ...] = ()):
+        self.name, self.schema, self.rows, self.also = name, schema, rows, also
         self.columns = [c.split() for c in schema.split(", ")]
 
-    def df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+    def df(self, spark: SparkSession, sf_dir: str = "") -> DataFrame:
+        own = spark.createDataFrame(self.rows, self.schema)
+        if not self.also:
+            return own
+        given = spark.read.parquet(f"{sf_dir}/{self.also[0]}.parquet")
+        return own.union(given.selectExpr(*[f"CAST({x} AS {k}) AS {c}" for x, (c, k) in zip(self.also[1:], self.columns, strict=True)]))
 
     def sql(self) -> str:
         """A common table expression."""
         names = ", ".join(c for c, _ in self.columns)
         casts = ", ".join(f"CAST({c} AS {_KINDS[k]}) AS {c}" for c, k in self.columns)
         rows = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in self.rows)
-        return f"{self.name} AS (SELECT {casts} FROM (VALUES {rows}) AS v({names}))"
+        given = ", ".join(f"CAST({x} AS {_KINDS[k]})" for x, (_, k) in zip(self.also[1:], self.columns, strict=False))
+        more = f" UNION ALL SELECT {given} FROM {self.also[0]}" if self.also else ""
+        return f"{self.name} AS (SELECT {casts} FROM (VALUES {rows}) AS v({names}){more})"

@@ -156,24 +156,24 @@ def rerank_analysis(spark, sf):
 FX_RANKED = Fixture("fx_ranked", "query_id int, doc_id int, score double, filename string, content string, year string", [
     (1, 1, 0.9, "2024-03-01_lens.pdf", "렌즈 2,370,000원 구매", "2024"), (1, 2, 0.8, "2023-01-01_camera.pdf", "카메라 2370000 ECM-77BC", "2024"),
     (1, 3, 0.7, "mic.pdf", "마이크 홍길동", "2024"), (2, 1, 0.5, "2024-03-01_lens.pdf", "렌즈", None), (2, 4, 0.5, "x.pdf", "", None), (3, 5, 0.0, "zero.pdf", "0", "2020"),
-])
+], also=("documents", "1000000 + doc_id % 50", "doc_id", "(1 + n_chars % 97) / CAST(97 AS DOUBLE)", "concat(source, '.pdf')", "text", "concat('', 2015 + doc_id % 10)"))
 
 
 @query(f"WITH {FX_RANKED.sql()} SELECT query_id, doc_id, round(CASE WHEN year IS NOT NULL AND contains(filename, year) THEN score * 1.5 ELSE score END, 6) AS score FROM fx_ranked")
 def year_boost(spark, sf):
-    return FX_RANKED.df(spark).select("query_id", "doc_id", F.round(U.year_boost(F.col("score"), F.col("year"), F.col("filename"), F.lit("")), 6).alias("score"))
+    return FX_RANKED.df(spark, sf).select("query_id", "doc_id", F.round(U.year_boost(F.col("score"), F.col("year"), F.col("filename"), F.lit("")), 6).alias("score"))
 
 
 @query(f"""WITH {FX_RANKED.sql()} SELECT query_id, doc_id, round(score * (CASE WHEN contains(content, '2,370,000원') THEN 2.0 WHEN contains(replace(content, ',', ''), '2370000') THEN 1.8 ELSE 1.0 END)
  * (CASE WHEN contains(content, 'ECM-77BC') THEN 1.7 ELSE 1.0 END) * (CASE WHEN contains(content, '홍길동') THEN 1.5 ELSE 1.0 END), 6) AS score FROM fx_ranked""")
 def keyword_boost(spark, sf):
     lists = [F.array(F.lit(x)) for x in ("2,370,000원", "ECM-77BC", "홍길동")]
-    return FX_RANKED.df(spark).select("query_id", "doc_id", F.round(F.col("score") * U.keyword_boost(*lists, F.col("content"), F.col("filename")), 6).alias("score"))
+    return FX_RANKED.df(spark, sf).select("query_id", "doc_id", F.round(F.col("score") * U.keyword_boost(*lists, F.col("content"), F.col("filename")), 6).alias("score"))
 
 
 FX_PHASES = Fixture("fx_phases", "query_id int, doc_id int, vector_score double, bm25_score double, keyword_score double, rerank_score double, k int", [
     (q, d, round(0.15 + (d * 37 % 80) / 100, 4), round((d * 53 % 100) / 100, 4), round((d * 17 % 10) / 10, 4), round((d * 29 % 97) / 97, 6), 3 if q == 1 else 7) for q, n in ((1, 60), (2, 8)) for d in range(n)
-])
+], also=("documents", "1000000 + doc_id % 40", "doc_id", "(n_chars % 101) / CAST(101 AS DOUBLE)", "(n_chars % 89) / CAST(89 AS DOUBLE)", "(n_chars % 83) / CAST(83 AS DOUBLE)", "(n_chars % 79) / CAST(79 AS DOUBLE)", "5"))
 
 
 @query(f"""WITH {FX_PHASES.sql()},
@@ -183,17 +183,17 @@ three AS (SELECT query_id, doc_id, k, CASE WHEN n > 10 THEN rerank_score ELSE s
 four AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM three)
 SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM four WHERE rank <= least(10, k)""")
 def multilevel_filter(spark, sf):
-    return U.multilevel(FX_PHASES.df(spark), F.col("k"))
+    return U.multilevel(FX_PHASES.df(spark, sf), F.col("k"))
 
 
 FX_FILES = Fixture("fx_files", "doc_id int, filename string, drafter string, date string, amount bigint, created_at string, content_hash string", [
     (1, "2024-03-01_렌즈_구매.pdf", "kim", "2024-03-01", 2370000, "2024-03-02", "a"), (2, "2024-03-01_렌즈_구매 (1).pdf", "kim", "2024-03-01", 2370000, "2024-03-03", "a"),
     (3, "2023-11-05_XRN-1620B2_교체.PDF", "lee", "2023-11-05", 0, "2023-11-06", "b"), (4, "LVM 180A manual.pdf", "", None, None, "2022-01-01", "c"),
     (5, "report_1.pdf", None, "2023", 150000000, "2023-05-05", "d"), (6, "report.pdf", "park", "2023-05-01", 999, "2023-05-04", "d"),
-])
+], also=("documents", "1000000 + doc_id", "concat(source, '-', doc_id, '_', lang, '.pdf')", "source", "concat('2024-01-0', 1 + doc_id % 9)", "n_chars * 1000", "concat('2024-02-0', 1 + doc_id % 9)", "md5(text)"))
 FX_QUERIES = Fixture("fx_queries", "query_id int, query string", [
     (1, "2024년 총액은?"), (2, "이 문서 요약해줘"), (3, "2024년 문서 목록 보여줘"), (4, "렌즈 구매 이유가 뭐야"), (5, "이 문서"), (6, "XRN-1620B2 교체 왜 했어"), (7, "총액 요약해줘 얼마"), (8, "hello world"), (9, "report.pdf 내용 알려줘"), (10, "A와 B 비교해줘"),
-])
+], also=("benchmark", "1000000 + item_id", "text"))
 
 
 @query(f"""WITH {FX_QUERIES.sql()}, {FX_FILES.sql()}, t AS (
@@ -202,7 +202,7 @@ FX_QUERIES = Fixture("fx_queries", "query_id int, query string", [
 s AS (SELECT *, greatest(len(list_intersect(q, f)) / greatest(len(list_distinct(list_concat(q, f))), 1), len(list_intersect(q, f)) / greatest(len(q), 1)) AS likeness FROM t)
 SELECT query_id, doc_id, CAST(CASE WHEN likeness >= 0.8 THEN 30 WHEN likeness >= 0.6 THEN 20 WHEN likeness >= 0.4 THEN 10 ELSE 0 END AS DOUBLE) AS bonus FROM s""")
 def filename_bonus(spark, sf):
-    both = FX_QUERIES.df(spark).join(FX_FILES.df(spark))
+    both = FX_QUERIES.df(spark, sf).join(FX_FILES.df(spark, sf))
     return both.select("query_id", "doc_id", R.filename_bonus(F.col("query"), F.col("filename")).alias("bonus"))
 
 
@@ -213,12 +213,12 @@ r AS (SELECT *, len(list_filter(q, lambda w: contains(body, w))) AS met FROM t),
 r2 AS (SELECT *, 0.7 * (CASE WHEN contains(body, phrase) THEN least(1.0, met / len(q) + 0.3) ELSE met / len(q) END) AS ratio FROM r)
 SELECT query_id, doc_id, round(least(10.0, greatest(0.0, 6 * (CASE WHEN ratio = 0 AND met = 0 THEN 1e-6 ELSE ratio END) + least(4.0, 0.4 * len(list_filter(q, lambda w: contains(name, w))) + CASE WHEN len(q) >= 2 AND contains(name, phrase) THEN 1.5 ELSE 0.0 END))), 6) AS score FROM r2""")
 def relevance_rescore(spark, sf):
-    both = FX_QUERIES.df(spark).join(FX_FILES.df(spark))
+    both = FX_QUERIES.df(spark, sf).join(FX_FILES.df(spark, sf))
     return both.select("query_id", "doc_id", F.round(R.relevance(F.col("query"), F.col("filename"), F.lit(""), F.col("drafter")), 6).alias("score"))
 
 
-FX_CODES = Fixture("fx_codes", "doc_id int, code string, norm_code string", [(1, "XRN-1620B2", "XRN1620B2"), (2, "LVM 180A", "LVM180A"), (3, "xrn 1620b2", "XRN1620B2"), (3, "COM/GW/AP", "COMGWAP")])
-FX_CODE_QUERIES = Fixture("fx_code_queries", "query_id int, code string", [(1, "XRN–1620B2"), (2, "lvm-180a"), (3, "COM/GW"), (4, "report")])
+FX_CODES = Fixture("fx_codes", "doc_id int, code string, norm_code string", [(1, "XRN-1620B2", "XRN1620B2"), (2, "LVM 180A", "LVM180A"), (3, "xrn 1620b2", "XRN1620B2"), (3, "COM/GW/AP", "COMGWAP")], also=("documents", "1000000 + doc_id", "concat(source, '-', doc_id)", "upper(concat(source, doc_id))"))
+FX_CODE_QUERIES = Fixture("fx_code_queries", "query_id int, code string", [(1, "XRN–1620B2"), (2, "lvm-180a"), (3, "COM/GW"), (4, "report")], also=("benchmark", "1000000 + item_id", "concat('src', item_id % 20, '-', item_id)"))
 
 
 def _variants_sql(code: str) -> str:
@@ -232,9 +232,9 @@ h AS (SELECT q.query_id, c.doc_id, 3.0 AS score, 'code' AS match_type FROM fx_co
  UNION ALL SELECT query_id, doc_id, CASE WHEN list_contains(regexp_split_to_array(upper(filename), '[-_\\s.]+'), variant) THEN 1.5 ELSE 1.0 END, CASE WHEN list_contains(regexp_split_to_array(upper(filename), '[-_\\s.]+'), variant) THEN 'filename_token' ELSE 'filename_part' END
  FROM v JOIN fx_files ON contains(upper(filename), variant)),
 b AS (SELECT query_id, doc_id, CAST(max(score) AS DOUBLE) AS score, max_by(match_type, score) AS match_type FROM h GROUP BY ALL)
-SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM b""")
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""")
 def exact_code_lookup(spark, sf):
-    return R.code_hits(FX_CODES.df(spark), FX_FILES.df(spark), FX_CODE_QUERIES.df(spark))
+    return R.code_hits(FX_CODES.df(spark, sf), FX_FILES.df(spark, sf), FX_CODE_QUERIES.df(spark, sf))
 
 
 @query()
@@ -250,4 +250,4 @@ def cascade_search(spark, sf):
 @query(f"WITH {FX_FILES.sql()} SELECT doc_id, filename, CASE WHEN regexp_matches(filename, '_[0-9]\\.pdf$') THEN 'copy' ELSE 'single' END AS kind FROM fx_files WHERE regexp_matches(lower(filename), '\\.(pdf|txt)$')")
 def filename_copies(spark, sf):
     kind = F.when(F.col("filename").rlike(r"_[0-9]\.pdf$"), "copy").otherwise("single")
-    return FX_FILES.df(spark).filter(F.lower("filename").rlike(r"\.(pdf|txt)$")).select("doc_id", "filename", kind.alias("kind"))
+    return FX_FILES.df(spark, sf).filter(F.lower("filename").rlike(r"\.(pdf|txt)$")).select("doc_id", "filename", kind.alias("kind"))

@@ -265,20 +265,20 @@ def index_tokens(spark, sf):
     return d.select("doc_id", F.md5(F.array_join(T.index_tokens(F.coalesce("text", F.lit(""))), " ")).alias("words"))
 
 
-@query(f"{_Q}, f AS (SELECT query_id, query || '.PDF' AS f FROM fx_asked) SELECT query_id, regexp_replace(regexp_replace(upper(regexp_replace(f, '\\.[A-Za-z0-9]+$', '')), '\\s+', '_', 'g'), '[^A-Z0-9_-]', '', 'g') || lower(regexp_extract(f, '(\\.[A-Za-z0-9]+)$', 1)) AS name FROM f")
+@query(f"{_Q}, f AS (SELECT query_id, query || '.PDF' AS f FROM fx_asked) SELECT query_id, regexp_replace(regexp_replace(upper(replace(regexp_replace(f, '\\.[A-Za-z0-9]+$', ''), 'ß', 'ss')), '\\s+', '_', 'g'), '[^A-Z0-9_-]', '', 'g') || lower(regexp_extract(f, '(\\.[A-Za-z0-9]+)$', 1)) AS name FROM f")
 def display_filename(spark, sf):
-    return _asked(spark).select("query_id", T.display_filename(F.concat("query", F.lit(".PDF"))).alias("name"))
+    return _asked(spark, sf).select("query_id", T.display_filename(F.concat("query", F.lit(".PDF"))).alias("name"))
 
 
 @query(f"{_Q} SELECT query_id, trim(regexp_replace(translate(query, '‐‑‒–—−', '------'), '\\s+', ' ', 'g')) AS text FROM fx_asked")
 def normalize_text(spark, sf):
-    return _asked(spark).select("query_id", T.normalize_text(F.col("query")).alias("text"))
+    return _asked(spark, sf).select("query_id", T.normalize_text(F.col("query")).alias("text"))
 
 
 @query(f"""{_Q} SELECT query_id, coalesce(nullif(concat_ws('|', CASE WHEN regexp_matches(query, {_text('(?i)' + Q.COST)}) THEN 'cost_intent' END, CASE WHEN regexp_matches(query, {_text('(?i)' + Q.LIST)}) THEN 'list_intent' END, CASE WHEN regexp_matches(query, {_text('(?i)' + Q.CONTENT)}) THEN 'content_intent' END,
  CASE WHEN regexp_matches(query, {_text(Q.REFERENCE)}) THEN 'doc_reference' END, CASE WHEN regexp_matches(query, {_text(Q.FILE)}) THEN 'filename_detected' END), ''), 'default_qa') AS reason, regexp_matches(query, '^[\\d\\s+\\-*/().=?]+$') OR regexp_matches(lower(query), '^(안녕|하이|hello|hi|thanks|고마워)') OR length(trim(query)) <= 2 AS chat FROM fx_asked""")
 def routing_reason(spark, sf):
-    return _asked(spark).select("query_id", Q.routing_reason(F.col("query")).alias("reason"), Q.is_chat(F.col("query")).alias("chat"))
+    return _asked(spark, sf).select("query_id", Q.routing_reason(F.col("query")).alias("reason"), Q.is_chat(F.col("query")).alias("chat"))
 
 
 @query("WITH a AS (SELECT doc_id, 'see ' || source || CASE WHEN doc_id % 2 = 0 THEN ' and extra.pdf' ELSE '' END AS answer, [source, 'extra.pdf'] AS sources FROM documents), m AS (SELECT *, list_filter(sources, lambda s: NOT contains(answer, s)) AS missing FROM a) SELECT doc_id, CASE WHEN len(missing) > 0 THEN answer || chr(10) || array_to_string(list_transform(missing, lambda s: '- ' || s), chr(10)) ELSE answer END AS answer FROM m")
