@@ -130,7 +130,7 @@ def _with_partners(nodes: DataFrame, elements: DataFrame, work: Work) -> DataFra
     for k in range(2):
         there = elements if k == 0 else elements.join(few(nodes.select("node"), rows=rows_of(nodes)), "node", "left_semi")
         single = there.groupBy("element").agg(F.count("*").alias("times"), F.min("node").alias("node")).filter("times = 1")
-        own = work.written(single.groupBy("node").agg(F.count("*").alias("u")), "single", rows_of(nodes))
+        own = work.written(single.groupBy("node").agg(F.count("*").alias("u")), "single")  # few rows, but from many elements
         most = F.floor((F.col("n") - F.coalesce("u", F.lit(0))) * F.lit(100 + LEAST) / F.lit(LEAST) - F.col("n") + F.lit(1e-6))
         left = nodes.select("node", "n").join(few(own), "node", "left").select("node", "n", most.alias("most"))
         nodes = work.written(left.filter(F.col("most") * 100 >= F.col("n") * LEAST), "nodes", rows_of(nodes))
