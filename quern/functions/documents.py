@@ -83,42 +83,6 @@ def model_code(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.upper(F.trim(text)), r"[\s_]+", "-"), r"(?<=[A-Z])(?=\d)", "-")
 
 
-#: fixed values: words of a table's columns
-COLUMNS = {"name": "품명|품목|항목|내역|name|item", "quantity": "수량|qty|quantity", "unit_price": "단가|unit|price", "amount": "금액|합계|amount|total"}
-ITEM = T.StructType().add("name", T.StringType()).add("quantity", T.LongType()).add("unit_price", T.LongType()).add("amount", T.LongType())
-TABLE = T.StructType().add("items", T.ArrayType(ITEM)).add("total", T.LongType()).add("status", T.StringType())
-
-
-def table_of(text: str) -> tuple[list[dict], int | None, str]:
-    """Line items under the best header, their sum, and success, partial or failed.
-
-    Cells are parted by tabs, bars or two spaces. A missing amount is quantity x price; the table ends at an empty line
-    or a row that begins with a total.
-    """
-    number = lambda x: int(d) if (d := re.sub(r"\D", "", x or "")) else None
-    rows = [[c.strip() for c in re.split(r"\s*[|\t]\s*|\s{2,}", line.strip().strip("|")) if c.strip()] for line in text.split("\n")]
-    kinds = lambda row: {k: n for k, p in COLUMNS.items() for n, c in reversed(list(enumerate(row))) if re.search(p, c, re.IGNORECASE)}
-    head, at = max(((len(kinds(r)), -n) for n, r in enumerate(rows[:300]) if 2 <= len(r) <= 10), default=(0, 0))
-    if head < 2:
-        return [], None, "failed"
-    place, items = kinds(rows[-at]), []
-    for row in rows[-at + 1 :]:
-        if not row or re.match("합계|총계|총액|소계|total", row[0], re.IGNORECASE):
-            break
-        cell = lambda k, r=row: r[place[k]] if k in place and place[k] < len(r) else None
-        item = {"name": cell("name"), "quantity": number(cell("quantity")), "unit_price": number(cell("unit_price")), "amount": number(cell("amount"))}
-        if item["amount"] is None and None not in (item["quantity"], item["unit_price"]):
-            item["amount"] = item["quantity"] * item["unit_price"]
-        items.append(item)
-    amounts = [i["amount"] for i in items if i["amount"] is not None]
-    return items, sum(amounts) if amounts else None, "failed" if not amounts else "success" if len(amounts) == len(items) else "partial"
-
-
-@pandas_udf(TABLE)
-def cost_table(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([table_of(t if isinstance(t, str) else "") for t in text], columns=["items", "total", "status"])
-
-
 def last_json(text: str) -> str | None:
     """The last balanced block of braces outside of strings that is JSON (commas before an end forgiven), compact."""
     found, depth, start, inside, escaped = None, 0, 0, False, False

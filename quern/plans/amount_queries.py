@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import amounts as A
+from ..operators import tables as B
 from ..sources.tables import table
 from .registry import Fixture, query
 
@@ -77,3 +78,56 @@ middle AS (SELECT doc_id, value FROM (SELECT doc_id, value, row_number() OVER (P
 SELECT doc_id, CASE WHEN coalesce(total, value) BETWEEN 1000 AND 99999999 THEN CAST(coalesce(total, value) AS BIGINT) END AS amount FROM bills LEFT JOIN totals USING (doc_id) LEFT JOIN middle USING (doc_id)""")
 def document_amount(spark, sf):
     return A.document_amounts(_bills(spark, sf))
+
+
+# --- cost tables: papers with tables among the documents, some with misspelt headers, sums that differ and rows without amounts ---
+
+_HEADS = ["품명  수량  단가  금액", "품목\t\t수량  \t금액", "모 델  비 고", "번호  수 량  가격", "수량 | 단가", "품명  규격  금액  합계  비고", "없음"]
+_ROWS = [["렌즈  2  1,000  2,000", "마이크  1  500  500"], ["A  3  1.2만  ", "B  2  500"], ["", "케이블  10  300  ", "x", "뒤  1  1  1"], ["가  1,000", "합계  9,999", "나  2,000"], ["한 칸"], []]
+_TAILS = ["합계: 2,500원", "총계 100,000\nVAT: 250", "합계: 12,500원 부가세 : 1만원", ""]
+FX_BOOKS = Fixture("fx_books", "doc_id bigint, text string", [(-1 - k, "\n".join(["앞 줄", h, *r, "", t])) for k, (h, r, t) in enumerate((h, r, t) for h in _HEADS for r in _ROWS for t in _TAILS)] + [(-999, None)])
+_KEYS = "|".join(f".{a}{b}|{a}.{b}|{a}{b}." for a, b in B.KEYS)
+_CELLS = "list_filter(list_transform(string_split(regexp_replace(regexp_replace({0}, '[|\\t]', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]{{2,}}', '  ', 'g'), '  '), lambda c: trim(c)), lambda c: c <> '')"
+_NUM = "TRY_CAST(replace(nullif(regexp_extract({0}, '{1}', 1), ''), ',', '') AS DECIMAL(24, 4))"
+_PARSED = """CASE WHEN regexp_matches({0}, '[0-9]\\s*(억|천만|백만|만)') THEN CAST(round(%s, 0) AS BIGINT)
+  ELSE TRY_CAST(nullif(regexp_replace(regexp_replace(regexp_replace({0}, '[^0-9.]', '', 'g'), '\\..*$', ''), '[^0-9]', '', 'g'), '') AS BIGINT) END""" % " + ".join(f"coalesce({_NUM.format('{0}', '([0-9,]+(?:\\.[0-9]+)?)\\s*' + u)} * {n}, 0)" for u, n in (("억", 10**8), ("천만", 10**7), ("백만", 10**6), ("만", 10**4))).replace("{{0}}", "{0}")
+
+
+def _number(cell: str) -> str:
+    return _PARSED.replace("{0}", f"regexp_replace(regexp_replace(trim({cell}), '([0-9])\\s+([0-9])', '\\1\\2', 'g'), '([0-9])\\s+([0-9])', '\\1\\2', 'g')")
+
+
+def _place(kind: str) -> str:
+    case = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in B.COLUMNS) + " END"
+    return f"list_max(list_transform(range(1, len(header) + 1), lambda i: CASE WHEN list_transform(header, lambda x: {case})[i] = '{kind}' THEN i END))"
+
+
+_CLAIM = r"(?:비용\s*합계|합계\s*\(VAT\s*별도\)|합계|총계)\s*[:\s]*(?:₩|KRW)?\s*([\d\.,]+)"
+
+
+@query(f"""WITH {FX_BOOKS.sql()},
+books AS (SELECT doc_id, coalesce(text, '') AS text, string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)) AS lines FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM fx_books)),
+lined AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM books),
+celled AS (SELECT *, {_CELLS.format("line")} AS cells FROM lined),
+scored AS (SELECT *, CASE WHEN len(cells) BETWEEN 2 AND 10 AND pos <= 300 THEN CASE WHEN kinds > 0 THEN kinds WHEN near THEN 0.8 ELSE 0 END ELSE 0 END AS score FROM (
+  SELECT *, {" + ".join(f"CAST(regexp_matches(line, '{p}') AS INTEGER)" for p in B.HEADERS)} AS kinds, len(list_filter(cells, lambda c: regexp_full_match(c, '{_KEYS}'))) > 0 AS near FROM celled)),
+heads AS (SELECT doc_id, pos AS h, cells AS header FROM scored WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1),
+starts AS (SELECT doc_id, h, header, min(pos) FILTER (len(cells) >= 2) AS s FROM heads JOIN celled USING (doc_id) WHERE pos > h GROUP BY ALL),
+stops AS (SELECT doc_id, h, header, s, min(pos) FILTER (len(cells) < 2) AS fewer, min(pos) FILTER (regexp_matches(line, '{B.ENDS}')) AS ends FROM starts JOIN celled USING (doc_id) WHERE pos >= s GROUP BY ALL),
+placed AS (SELECT *, {", ".join(f"{_place(n)} AS {n}_at" for n, _ in B.COLUMNS)} FROM stops),
+parsed AS (SELECT doc_id, pos, coalesce(CASE WHEN name_at <= len(cells) THEN cells[name_at] END, cells[1]) AS name, {", ".join(f"CASE WHEN {n}_at <= len(cells) THEN {_number(f'cells[{n}_at]')} END AS {n}" for n in ("quantity", "unit_price", "amount"))}
+  FROM placed JOIN celled USING (doc_id) WHERE pos >= s AND pos < coalesce(fewer, 1000000000) AND pos <= coalesce(ends, 1000000000)),
+items AS (SELECT doc_id, count(*) AS n_items, md5(string_agg(concat_ws('/', name, coalesce(CAST(quantity AS VARCHAR), '-'), coalesce(CAST(unit_price AS VARCHAR), '-'), coalesce(CAST(coalesce(amount, quantity * unit_price) AS VARCHAR), '-')), chr(10) ORDER BY pos)) AS items,
+  CAST(sum(coalesce(amount, quantity * unit_price, 0)) AS BIGINT) AS total FROM parsed GROUP BY doc_id),
+sums AS (SELECT doc_id, CASE WHEN regexp_matches(text, '합계\\s*[\\d,]+\\s*개(?:[^가-힣\\w]|$)') THEN NULL WHEN TRY_CAST(replace(regexp_extract(text, '{_CLAIM}', 1), ',', '') AS BIGINT) >= 10000 AND regexp_full_match(replace(regexp_extract(text, '{_CLAIM}', 1), ',', ''), '[0-9]+') THEN TRY_CAST(replace(regexp_extract(text, '{_CLAIM}', 1), ',', '') AS BIGINT) END AS claimed,
+  {_number("nullif(regexp_extract(text, '" + B.VAT + "', 1) || regexp_extract(text, '" + B.VAT + "', 2), '')")} AS vat FROM books),
+judged AS (SELECT doc_id, array_to_string(header, '/') AS header, coalesce(n_items, 0) AS n_items, coalesce(items, md5('')) AS items, coalesce(total, 0) AS total, CASE WHEN n_items > 0 THEN claimed END AS claimed_total, CASE WHEN n_items > 0 THEN vat END AS vat,
+  CASE WHEN n_items > 0 THEN claimed IS NULL OR (abs(total - claimed) <= greatest(1, floor(claimed * 0.01)) AND (vat IS NULL OR abs(total + vat - claimed) <= greatest(1, floor(claimed * 0.01)))) END AS sum_match
+  FROM books LEFT JOIN heads USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN sums USING (doc_id))
+SELECT *, CASE WHEN header IS NULL THEN 'failed' WHEN n_items = 0 OR NOT sum_match THEN 'partial' ELSE 'success' END AS parse_status, CASE WHEN header IS NULL THEN 'header_not_found' WHEN n_items = 0 THEN 'items_empty' WHEN NOT sum_match THEN 'sum_mismatch' END AS reason FROM judged""")
+def table_parse(spark, sf):
+    books = table(spark, sf, "documents").select("doc_id", "text").unionByName(FX_BOOKS.df(spark))
+    dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    line = lambda x: F.concat_ws("/", x["name"], dash(x["quantity"]), dash(x["unit_price"]), dash(x["amount"]))
+    out = B.cost_tables(books)
+    return out.withColumns({"n_items": F.size("items").cast("bigint"), "items": F.md5(F.array_join(F.transform("items", line), "\n")), "header": F.array_join("header", "/")})

@@ -113,7 +113,10 @@ def compress_stop(spark, sf):
     return X.compress_stop(_scored(spark, sf), "query_id")
 
 
-@query()
+@query("WITH RECURSIVE " + _bm25_sql("robertson") + _SENTENCES + """, ordered AS (SELECT query_id, pos, length(sentence) AS n, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS k FROM rated),
+walk AS (SELECT query_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST([] AS INTEGER[]) AS kept FROM (SELECT DISTINCT query_id FROM ordered)
+  UNION ALL SELECT w.query_id, o.k, CASE WHEN used + n <= 600 THEN used + n ELSE used END, CASE WHEN used + n <= 600 THEN list_append(kept, pos) ELSE kept END FROM walk w JOIN ordered o ON o.query_id = w.query_id AND o.k = w.k + 1)
+SELECT query_id, list_sort(arg_max(kept, k)) AS kept FROM walk GROUP BY query_id""")
 def compress_skip(spark, sf):
     return X.compress_skip(_scored(spark, sf), "query_id", 600)
 

@@ -69,18 +69,6 @@ def claimed_total(spark, sf):
     return FX_TOTALS.df(spark, sf).select("id", M.claimed_total(F.col("text")).alias("total"))
 
 
-FX_TABLES = Fixture("fx_tables", "id int, text string, claimed bigint, vat bigint", [
-    (1, "품명  수량  단가  금액\n렌즈  2  1,000  2,000\n마이크  1  500  500\n합계  2,500", 2500, None), (2, "name\tqty\tprice\tamount\nlens\t2\t1000\t\nmic\t1\t500\t500\n\nx", 2501, None),
-    (3, "nothing here", 1, None), (4, "품목  금액\nA  1,000\nB  -", 2000, None), (5, "품목  금액\nA  1,000", 1100, 100),
-], also=("documents", "1000000 + doc_id", "text", "n_chars", "NULL"))
-
-
-@query()
-def table_parse(spark, sf):
-    parsed = FX_TABLES.df(spark, sf).select("id", D.cost_table("text").alias("t"), "claimed", "vat")
-    return parsed.select("id", F.to_json("t.items").alias("items"), "t.total", "t.status", M.sum_match(F.col("t.total"), F.col("claimed"), F.col("vat")).alias("sum_match"))
-
-
 FX_FINANCE = Fixture("fx_finance", "id int, unit bigint, quantity bigint, amount bigint, vat bigint, total bigint, mode string", [(1, 100, 2, 200, 20, 220, "excluded"), (2, 100, 2, 300, 20, 300, "included"), (3, 100, None, 100, None, 150, "none")], also=("lineitem", "l_orderkey % 1000000 + 1000", "floor(l_extendedprice / 50)", "floor(l_quantity)", "floor(l_extendedprice)", "floor(l_extendedprice * l_tax)", "floor(l_extendedprice * (1 + l_tax))", "l_returnflag"))
 
 
