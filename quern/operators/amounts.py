@@ -107,3 +107,39 @@ def document_amounts(docs: DataFrame) -> DataFrame:
     items = keyed.select(*KEY, M.items_total(M.line_items(F.col("text"))).alias("items"))
     found = middle.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "value")
     return items.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left").select("doc_id", M.guarded(F.coalesce("items", "value")).alias("amount"))
+
+
+def prose_amounts(docs: DataFrame) -> DataFrame:
+    """doc_id, total, kind, amount, formatted, position: the document's amount (``validated_total``, position 0) if the guard lets it pass, else all its candidates, largest first as ``turn`` says."""
+    keyed = with_key(docs).dropDuplicates(KEY)
+    total = document_amounts(keyed).filter("amount IS NOT NULL").select("doc_id", F.col("amount").alias("total"))
+    won = lambda c: F.concat(F.lit("₩"), F.format_number(c, 0))
+    sure = total.select("doc_id", "total", F.lit("validated_total").alias("kind"), F.col("total").alias("amount"), won(F.col("total")).alias("formatted"), F.lit(0).alias("position"))
+    rest = amounts(keyed).join(total.select(F.col("doc_id").alias("_doc")), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    rest = rest.select("doc_id", F.lit(None).cast("bigint").alias("total"), F.lit("candidate").alias("kind"), F.col("value").alias("amount"), won(F.col("value")).alias("formatted"), F.col("start").alias("position"))
+    return sure.unionByName(rest).withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("amount"), "position")))
+
+
+def reindex_targets(lines: DataFrame) -> DataFrame:
+    """doc_id, path from lines (value) ``id<tab>path``; blank lines, comments (``#``) and lines without a path are left out."""
+    own = lines.select(F.trim("value").alias("v")).filter("v <> '' AND NOT startswith(v, '#')").select(F.split("v", "\t").alias("p")).filter("size(p) >= 2")
+    return own.select(F.trim(F.col("p")[0]).cast("bigint").alias("doc_id"), F.trim(F.col("p")[1]).alias("path"))
+
+
+def reindexed(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``documents`` (doc_id, text, amount, ...) with the amounts of the targets (doc_id) found anew, null where there is none, and a report: doc_id, amount, ok.
+
+    Targets that are in no document are reported as not ok; other documents stay as they are.
+    """
+    wanted = targets.select("doc_id").distinct()
+    anew = document_amounts(documents.join(wanted, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max("amount").alias("_amount"))
+    marked = anew.withColumn("_anew", F.lit(True))
+    out = documents.join(marked, "doc_id", "left").withColumn("amount", F.when(F.col("_anew"), F.col("_amount")).otherwise(F.col("amount"))).select(*documents.columns)
+    report = wanted.join(anew, "doc_id", "left").select("doc_id", F.col("_amount").alias("amount"), F.col("_amount").isNotNull().alias("ok"))
+    return out, report
+
+
+def padded_codes(codes: DataFrame) -> DataFrame:
+    """Codes with ``padded_norm``, the normalised code between spaces, for whole-word look-ups; codes that have it stay as they are."""
+    padded = F.concat(F.lit(" "), F.col("norm_code"), F.lit(" "))
+    return codes.withColumn("padded_norm", F.coalesce("padded_norm", padded) if "padded_norm" in codes.columns else padded)

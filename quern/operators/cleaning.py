@@ -77,3 +77,25 @@ def cleaned(docs: DataFrame, patterns: dict[str, str] | None = None, edge: int =
     step = step.withColumn("_pages", F.split(F.array_join("_n.kept", "\n"), "\f")).withColumn("_bad", repeated(page_edges(F.col("_pages"), edge), least))
     step = step.withColumn("_lines", F.filter("_n.kept", lambda x: ~F.array_contains("_bad", line_key(x)))).withColumn("_once", at_most(F.col("_lines"), most))
     return step.select(*docs.columns, F.array_join(blank_lines(F.col("_once")), "\n").alias("cleaned"), F.col("_n.counts").alias("noise"), (F.size("_n.kept") - F.size("_lines")).alias("repeated"), (F.size("_lines") - F.size("_once")).alias("consecutive"), F.col("_n.samples").alias("samples"))
+
+
+#: fixed values: what printing a page of an approval system leaves in a line, and lines that are only a page number
+PRINT_REMAINS = (r"mode=getPrint", r"menu_depth=\d+", r"is_mark=", r"idx=\d+")
+PAGE_LINE = r"(?m)^\s*\d+/\d+\s*$\n"
+
+
+def without_print_remains(text: Column, hosts: tuple[str, ...] = ()) -> Column:
+    """A text without lines that name a host (regular expressions) or hold what printing left, and without page numbers.
+
+    Four line ends or more go altogether, blanks at the ends of lines too, three line ends become two, and the ends are trimmed. If fewer than 50
+    characters of more than 100 are left, the text stays as it was.
+    """
+    out = text
+    for p in hosts:
+        out = F.regexp_replace(out, f".*{p}.*\\n?", "")
+    out = F.regexp_replace(out, PAGE_LINE, "")
+    for p in PRINT_REMAINS:
+        out = F.regexp_replace(out, f".*{p}.*\\n?", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\n{4,}", ""), r"(?m)[ \t]+$", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
+    return F.when((F.length(out) < 50) & (F.length(text) > 100), text).otherwise(out)

@@ -131,3 +131,45 @@ def table_parse(spark, sf):
     line = lambda x: F.concat_ws("/", x["name"], dash(x["quantity"]), dash(x["unit_price"]), dash(x["amount"]))
     out = B.cost_tables(books)
     return out.withColumns({"n_items": F.size("items").cast("bigint"), "items": F.md5(F.array_join(F.transform("items", line), "\n")), "header": F.array_join("header", "/")})
+
+
+@query(f"""WITH {_AMOUNTS},
+items AS (SELECT doc_id, unnest(regexp_extract_all(text, '((?:₩\\s*)?(?:\\d{{1,3}}(?:[,.\\s]\\d{{3}})+|\\d{{4,}}))\\s*(?:원)?\\s*[xX×＊]\\s*(\\d+)', 1)) AS p, unnest(regexp_extract_all(text, '((?:₩\\s*)?(?:\\d{{1,3}}(?:[,.\\s]\\d{{3}})+|\\d{{4,}}))\\s*(?:원)?\\s*[xX×＊]\\s*(\\d+)', 2)) AS q FROM bills),
+totals AS (SELECT doc_id, sum(price * n) AS total FROM (SELECT doc_id, TRY_CAST(regexp_replace(p, '\\D', '', 'g') AS BIGINT) AS price, TRY_CAST(q AS BIGINT) AS n FROM items) WHERE price BETWEEN 10000 AND 5000000 AND n BETWEEN 1 AND 50 GROUP BY doc_id HAVING sum(price * n) BETWEEN 100000 AND 50000000),
+middle AS (SELECT doc_id, value FROM (SELECT doc_id, value, row_number() OVER (PARTITION BY doc_id ORDER BY value) AS turn, count(*) OVER (PARTITION BY doc_id) AS n FROM amounts WHERE value >= 10000 AND value < 10000000) WHERE turn = n // 2 + 1),
+found AS (SELECT doc_id, CAST(coalesce(total, value) AS BIGINT) AS total FROM bills LEFT JOIN totals USING (doc_id) LEFT JOIN middle USING (doc_id) WHERE coalesce(total, value) BETWEEN 1000 AND 99999999),
+rows_ AS (SELECT doc_id, total, 'validated_total' AS kind, total AS amount, 0 AS position FROM found
+  UNION ALL SELECT doc_id, NULL, 'candidate', value, s FROM amounts WHERE doc_id NOT IN (SELECT doc_id FROM found))
+SELECT doc_id, total, kind, amount, '₩' || format('{{:,}}', amount) AS formatted, CAST(position AS INTEGER) AS position, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY amount DESC, position) AS INTEGER) AS turn FROM rows_""")
+def prose_amounts(spark, sf):
+    return A.prose_amounts(_bills(spark, sf))
+
+
+# Lines of a target file made of the documents: every third has a line, every fifth of these a comment, every seventh no path; and two of unknown ids.
+_LINES = """lines AS (SELECT CASE WHEN doc_id % 5 = 0 THEN '# ' ELSE '  ' END || doc_id || CASE WHEN doc_id % 7 = 0 THEN '' ELSE chr(9) || ' ' || source || '.pdf ' END AS value FROM (SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, 'bill' FROM fx_bills) WHERE doc_id % 3 = 0
+  UNION ALL VALUES (''), ('123456789' || chr(9) || 'gone.pdf'))"""
+
+
+@query(f"""WITH {_AMOUNTS}, {_LINES},
+targets AS (SELECT DISTINCT CAST(trim(string_split(trim(value), chr(9))[1]) AS BIGINT) AS doc_id FROM lines WHERE trim(value) <> '' AND NOT starts_with(trim(value), '#') AND len(string_split(trim(value), chr(9))) >= 2),
+items AS (SELECT doc_id, unnest(regexp_extract_all(text, '((?:₩\\s*)?(?:\\d{{1,3}}(?:[,.\\s]\\d{{3}})+|\\d{{4,}}))\\s*(?:원)?\\s*[xX×＊]\\s*(\\d+)', 1)) AS p, unnest(regexp_extract_all(text, '((?:₩\\s*)?(?:\\d{{1,3}}(?:[,.\\s]\\d{{3}})+|\\d{{4,}}))\\s*(?:원)?\\s*[xX×＊]\\s*(\\d+)', 2)) AS q FROM bills),
+totals AS (SELECT doc_id, sum(price * n) AS total FROM (SELECT doc_id, TRY_CAST(regexp_replace(p, '\\D', '', 'g') AS BIGINT) AS price, TRY_CAST(q AS BIGINT) AS n FROM items) WHERE price BETWEEN 10000 AND 5000000 AND n BETWEEN 1 AND 50 GROUP BY doc_id HAVING sum(price * n) BETWEEN 100000 AND 50000000),
+middle AS (SELECT doc_id, value FROM (SELECT doc_id, value, row_number() OVER (PARTITION BY doc_id ORDER BY value) AS turn, count(*) OVER (PARTITION BY doc_id) AS n FROM amounts WHERE value >= 10000 AND value < 10000000) WHERE turn = n // 2 + 1),
+anew AS (SELECT doc_id, CASE WHEN coalesce(total, value) BETWEEN 1000 AND 99999999 THEN CAST(coalesce(total, value) AS BIGINT) END AS amount FROM bills LEFT JOIN totals USING (doc_id) LEFT JOIN middle USING (doc_id))
+SELECT b.doc_id, CASE WHEN t.doc_id IS NULL THEN length(b.text) ELSE a.amount END AS amount, CASE WHEN t.doc_id IS NOT NULL THEN a.amount IS NOT NULL END AS ok FROM bills b JOIN anew a USING (doc_id) LEFT JOIN targets t USING (doc_id)
+UNION ALL SELECT doc_id, NULL, false FROM targets WHERE doc_id NOT IN (SELECT doc_id FROM bills)""")
+def reindexed_amounts(spark, sf):
+    """Every document with the amount it had (its length) or, if it is a target, the one found anew."""
+    bills = _bills(spark, sf).withColumn("amount", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
+    named = table(spark, sf, "documents").select("doc_id", "source").unionByName(FX_BILLS.df(spark).select("doc_id", F.lit("bill").alias("source"))).filter("doc_id % 3 = 0")
+    path = F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("\t "), "source", F.lit(".pdf ")))
+    lines = named.select(F.concat(F.when(F.col("doc_id") % 5 == 0, F.lit("# ")).otherwise(F.lit("  ")), F.col("doc_id").cast("string"), path).alias("value"))
+    lines = lines.unionByName(spark.createDataFrame([("",), ("123456789\tgone.pdf",)], "value string"))
+    out, report = A.reindexed(bills, A.reindex_targets(lines))
+    return out.select("doc_id", "amount").join(report.select("doc_id", "ok"), "doc_id", "full")
+
+
+@query("SELECT doc_id, source || '-' || doc_id AS code, ' ' || upper(source || doc_id) || ' ' AS padded_norm FROM documents")
+def padded_codes(spark, sf):
+    codes = table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("code"), F.upper(F.concat("source", F.col("doc_id").cast("string"))).alias("norm_code"))
+    return A.padded_codes(codes).select("doc_id", "code", "padded_norm")

@@ -292,3 +292,24 @@ def fast_fingerprint(spark, sf):
     d = table(spark, sf, "documents").withColumn("t", F.coalesce("text", F.lit(""))).filter(~F.col("t").rlike(r"[^\x00-\x7F]"))
     content = F.encode("t", "UTF-8")
     return d.select("doc_id", S.fast_fingerprint(content, F.octet_length("t"), F.lit("2024-01-01")).alias("fingerprint"))
+
+
+_PRINTED = """printed AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') || chr(10) || 'see mode=getPrint here' || chr(10) || ' 1/2 ' || chr(10) || 'end  ' || chr(10) || chr(10) || chr(10) || 'x?idx=12&y' WHEN 1 THEN '1/3' || chr(10) || coalesce(text, '')
+  WHEN 2 THEN 'one' || chr(10) || repeat('menu_depth=3 ', 20) || chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || 'two ' ELSE coalesce(text, '') END AS text FROM documents)"""
+
+
+def _printed_clean() -> str:
+    out = "regexp_replace(text, '(?m)^[ \\t\\n\\x0B\\f\\r]*[0-9]+/[0-9]+[ \\t\\n\\x0B\\f\\r]*$\\n', '', 'g')"
+    for p in L.PRINT_REMAINS:
+        out = f"regexp_replace({out}, '[^\\n]*{p}[^\\n]*\\n?', '', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '\\n{{4,}}', '', 'g'), '(?m)[ \\t]+$', '', 'g')"
+    return f"regexp_replace(regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')"
+
+
+@query(f"WITH {_PRINTED}, c AS (SELECT doc_id, text, {_printed_clean()} AS c FROM printed) SELECT doc_id, md5(CASE WHEN length(c) < 50 AND length(text) > 100 THEN text ELSE c END) AS text FROM c")
+def extracted_text_clean(spark, sf):
+    text = F.coalesce("text", F.lit(""))
+    forms = [F.concat(text, F.lit("\nsee mode=getPrint here\n 1/2 \nend  \n\n\nx?idx=12&y")), F.concat(F.lit("1/3\n"), text), F.lit("one\n" + "menu_depth=3 " * 20 + "\n\n\n\n\ntwo "), text]
+    printed = table(spark, sf, "documents").select("doc_id", F.array(*forms)[(F.col("doc_id") % 4).cast("int")].alias("text"))
+    out = printed.withColumn("c", L.without_print_remains(F.col("text")))
+    return out.select("doc_id", F.md5("c").alias("text"))
