@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,18 +65,28 @@ def latest_percentiles(df: DataFrame, value: str, ts: str, key: str, n: int, by:
     return last.groupBy(by).agg(F.count("*").alias("n"), nearest_rank(value, 0.5).alias("p50"), nearest_rank(value, 0.95).alias("p95"))
 
 
-def ewma_rate(events: DataFrame, by: str, ts: str, horizon: float = 60.0) -> DataFrame:
+def ewma_rate(events: DataFrame, by: str, ts: str, horizon: float = 60.0, span: int = 3600) -> DataFrame:
     """by, n, rate: events a second, averaged with weights that fall with time.
 
     Each event after dt seconds moves the rate to rate + a (1 / dt - rate), with a = 1 - exp(-dt / horizon). Over a group in
     order of time that is a sum of each step's a / dt times the exponentials of the time after it, so
     it needs no state from row to row: rate = sum (1 - exp(-dt / h)) / dt x exp(-(end - t) / h).
+    The first event counts as one after 1e-6 seconds, the least dt. The sum is taken within spans of ``span`` seconds first, each brought to its own end; the spans, few for each group, add what lies between them.
+    So a group of any size is spread over tasks by time.
     """
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    w = Window.partitionBy(by).orderBy("_t")
-    own = events.select(by, seconds.alias("_t")).withColumn("_dt", F.greatest(F.col("_t") - F.lag("_t").over(w), F.lit(1e-6))).withColumn("_end", F.max("_t").over(Window.partitionBy(by)))
-    step = (1 - F.exp(-F.col("_dt") / horizon)) / F.col("_dt") * F.exp((F.col("_t") - F.col("_end")) / horizon)
-    return own.groupBy(by).agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum(step), F.lit(0.0)), 9).alias("rate"))
+    weigh = lambda dt, age: (1 - F.exp(-dt / horizon)) / dt * F.exp(-age / horizon)
+    within = Window.partitionBy(by, "_span")
+    own = events.select(by, seconds.alias("_t")).withColumn("_span", F.floor(F.col("_t") / span))
+    since = F.col("_t") - F.lag("_t").over(within.orderBy("_t"))
+    own = own.withColumn("_dt", F.when(since.isNotNull(), F.greatest(since, F.lit(1e-6)))).withColumn("_last", F.max("_t").over(within))
+    part = F.coalesce(F.sum(weigh(F.col("_dt"), F.col("_last") - F.col("_t"))), F.lit(0.0))
+    spans = own.groupBy(by, "_span").agg(F.count("*").alias("_n"), F.min("_t").alias("_first"), F.max("_t").alias("_last"), part.alias("_part"))
+    whole = Window.partitionBy(by)
+    joined = spans.withColumn("_gap", F.greatest(F.col("_first") - F.lag("_last").over(whole.orderBy("_span")), F.lit(1e-6))).withColumn("_end", F.max("_last").over(whole))
+    between = F.coalesce(weigh(F.col("_gap"), F.col("_last") - F.col("_first")), F.lit(0.0))
+    rate = F.sum((F.col("_part") + between) * F.exp((F.col("_last") - F.col("_end")) / horizon))
+    return joined.groupBy(by).agg(F.sum("_n").alias("n"), F.round(rate, 9).alias("rate"))
 
 
 def case_results(hits: DataFrame, cases: DataFrame, k: int = 3) -> DataFrame:
@@ -93,10 +101,6 @@ def exposition(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.format_string("%s %s", F.col("name"), F.col("value").cast("string")).alias("line"))
 
 
-def decay(seconds: float, horizon: float = 60.0) -> float:
-    return 1 - math.exp(-seconds / horizon)
-
-
 def verdicts(results: DataFrame) -> DataFrame:
     """``results`` (expected_mode, actual_mode, expected_citations, has_citations, error) with status PASS, FAIL or ERROR."""
     good = (F.col("actual_mode") == F.col("expected_mode")) & (F.col("has_citations") == F.col("expected_citations"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stored import stored
 
 #: Tables of texts: work on a row is worth a move.
 TEXTS = {"documents", "pages", "conversations"}
@@ -70,15 +71,25 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+#: Names of files that are on the driver at once.
+NAMES = 10_000
+
+
 def updated_inventory(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
     """``file_inventory`` that takes the hash from ``known`` (path, size, modified, hash) where size and time are as they were.
 
-    Only the other files are read.
+    Only the other files are read, ``NAMES`` at a time; what has been read is kept in the shared folder.
     """
     now = file_listing(spark, path)
-    same = now.join(known, ["path", "size", "modified"]).select("path", "size", "modified", "hash")
-    changed = [r[0] for r in now.join(same.select("path"), "path", "left_anti").select("path").collect()]  # the names of new and changed files
-    return same.unionByName(file_inventory(spark, changed)) if changed else same
+    out = now.join(known, ["path", "size", "modified"]).select("path", "size", "modified", "hash")
+    names: list[str] = []
+    changed = stored(now.join(out.select("path"), "path", "left_anti").select("path"), "changed")
+    for row in [*changed.toLocalIterator(), None]:
+        if row is not None:
+            names.append(row[0])
+        if names and (row is None or len(names) == NAMES):
+            out, names = out.unionByName(stored(file_inventory(spark, names), "inventory")), []
+    return out
 
 
 def fast_fingerprint(content: Column, size: Column, modified: Column) -> Column:
