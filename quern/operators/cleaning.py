@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: fixed values: times and pages that a printer leaves
 NOISE = {
     "printed_at": r"\d{1,2}\.\s*\d{1,2}\.\s*\d{1,2}\.\s*(오전|오후)\s*\d{1,2}:\d{2}",
@@ -48,22 +50,24 @@ def page_edges(pages: Column, edge: int) -> Column:
 
 def repeated(keys: Column, least: int) -> Column:
     """Keys that stand in the array ``least`` times or more; sorted once, so equal ones stand together."""
-    s = F.array_sort(keys)
-    return F.array_distinct(F.filter(s, lambda x, i: F.get(s, i + (least - 1)) == x))
+    return let(F.array_sort(keys), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.get(s, i + (least - 1)) == x)))
 
 
 def at_most(lines: Column, most: int) -> Column:
     """Of each run of equal lines the first ``most``."""
-    same = lambda x, i: F.forall(F.sequence(F.lit(1), F.lit(most)), lambda k: F.get(lines, i - k) == x)
-    return F.filter(lines, lambda x, i: ~((i >= most) & F.coalesce(same(x, i), F.lit(False))))
+    def of(own: Column) -> Column:
+        same = lambda x, i: F.forall(F.sequence(F.lit(1), F.lit(most)), lambda k: F.get(own, i - k) == x)
+        return F.filter(own, lambda x, i: ~((i >= most) & F.coalesce(same(x, i), F.lit(False))))
+
+    return let(lines, of)
 
 
 def blank_lines(lines: Column) -> Column:
     """Runs of blank lines as one empty line, none at the ends."""
     bare = F.transform(lines, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(x))
-    one = F.filter(bare, lambda x, i: (x != "") | (i == 0) | (F.get(bare, i - 1) != ""))
-    first = F.when(F.get(one, F.lit(0)) == "", F.slice(one, F.lit(2), F.size(one))).otherwise(one)
-    return F.when(F.element_at(first, -1) == "", F.slice(first, F.lit(1), F.size(first) - 1)).otherwise(first)
+    one = let(bare, lambda b: F.filter(b, lambda x, i: (x != "") | (i == 0) | (F.get(b, i - 1) != "")))
+    first = let(one, lambda o: F.when(F.get(o, F.lit(0)) == "", F.slice(o, F.lit(2), F.size(o))).otherwise(o))
+    return let(first, lambda f: F.when(F.element_at(f, -1) == "", F.slice(f, F.lit(1), F.size(f) - 1)).otherwise(f))
 
 
 def cleaned(docs: DataFrame, patterns: dict[str, str] | None = None, edge: int = 3, least: int = 3, most: int = 2, text: str = "text") -> DataFrame:
@@ -75,7 +79,7 @@ def cleaned(docs: DataFrame, patterns: dict[str, str] | None = None, edge: int =
     whole = F.coalesce(F.col(text), F.lit(""))
     step = docs.withColumn("_n", without_noise(F.split(whole, "\n"), patterns or NOISE))
     step = step.withColumn("_pages", F.split(F.array_join("_n.kept", "\n"), "\f")).withColumn("_bad", repeated(page_edges(F.col("_pages"), edge), least))
-    step = step.withColumn("_lines", F.filter("_n.kept", lambda x: ~F.array_contains("_bad", line_key(x)))).withColumn("_once", at_most(F.col("_lines"), most))
+    step = step.withColumn("_lines", let(F.col("_bad"), lambda b: F.filter("_n.kept", lambda x: ~F.array_contains(b, line_key(x))))).withColumn("_once", at_most(F.col("_lines"), most))
     return step.select(*docs.columns, F.array_join(blank_lines(F.col("_once")), "\n").alias("cleaned"), F.col("_n.counts").alias("noise"), (F.size("_n.kept") - F.size("_lines")).alias("repeated"), (F.size("_lines") - F.size("_once")).alias("consecutive"), F.col("_n.samples").alias("samples"))
 
 

@@ -196,24 +196,28 @@ FX_QUERIES = Fixture("fx_queries", "query_id int, query string", [
 ], also=("benchmark", "1000000 + item_id", "text"))
 
 
-@query(f"""WITH {FX_QUERIES.sql()}, {FX_FILES.sql()}, t AS (
+#: A stated set of ten queries, for what is scored against every file.
+FX_FEW = Fixture("fx_queries", FX_QUERIES.schema, FX_QUERIES.rows)
+
+
+@query(f"""WITH {FX_FEW.sql()}, {FX_FILES.sql()}, t AS (
  SELECT query_id, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS q,
   list_distinct(list_filter(regexp_split_to_array(lower(replace(regexp_replace(regexp_replace(filename, '^\\d{{4}}-\\d{{2}}-\\d{{2}}_', ''), '\\.\\w+$', ''), '_', ' ')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS f FROM fx_queries, fx_files),
 s AS (SELECT *, greatest(len(list_intersect(q, f)) / greatest(len(list_distinct(list_concat(q, f))), 1), len(list_intersect(q, f)) / greatest(len(q), 1)) AS likeness FROM t)
 SELECT query_id, doc_id, CAST(CASE WHEN likeness >= 0.8 THEN 30 WHEN likeness >= 0.6 THEN 20 WHEN likeness >= 0.4 THEN 10 ELSE 0 END AS DOUBLE) AS bonus FROM s""")
 def filename_bonus(spark, sf):
-    both = FX_QUERIES.df(spark, sf).join(FX_FILES.df(spark, sf))
+    both = FX_FILES.df(spark, sf).join(F.broadcast(FX_FEW.df(spark)))
     return both.select("query_id", "doc_id", R.filename_bonus(F.col("query"), F.col("filename")).alias("bonus"))
 
 
-@query(f"""WITH {FX_QUERIES.sql()}, {FX_FILES.sql()}, t AS (
+@query(f"""WITH {FX_FEW.sql()}, {FX_FILES.sql()}, t AS (
  SELECT query_id, doc_id, lower(query) AS phrase, lower(filename) AS name, lower(filename) || ' ' || '' || ' ' || lower(coalesce(drafter, '')) AS body,
   list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) AS q FROM fx_queries, fx_files),
 r AS (SELECT *, len(list_filter(q, lambda w: contains(body, w))) AS met FROM t),
 r2 AS (SELECT *, 0.7 * (CASE WHEN contains(body, phrase) THEN least(1.0, met / len(q) + 0.3) ELSE met / len(q) END) AS ratio FROM r)
 SELECT query_id, doc_id, round(least(10.0, greatest(0.0, 6 * (CASE WHEN ratio = 0 AND met = 0 THEN 1e-6 ELSE ratio END) + least(4.0, 0.4 * len(list_filter(q, lambda w: contains(name, w))) + CASE WHEN len(q) >= 2 AND contains(name, phrase) THEN 1.5 ELSE 0.0 END))), 6) AS score FROM r2""")
 def relevance_rescore(spark, sf):
-    both = FX_QUERIES.df(spark, sf).join(FX_FILES.df(spark, sf))
+    both = FX_FILES.df(spark, sf).join(F.broadcast(FX_FEW.df(spark)))
     return both.select("query_id", "doc_id", F.round(R.relevance(F.col("query"), F.col("filename"), F.lit(""), F.col("drafter")), 6).alias("score"))
 
 
