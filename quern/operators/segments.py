@@ -168,9 +168,10 @@ class SegmentedIndex:
 
     def _add(self, number: int, place: str, docs: DataFrame) -> dict | None:
         rows = self._tokenised(docs)
-        counted = self._exploded(rows).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", F.size("places").cast("bigint").alias("tf")))).alias("terms"))
-        kept = rows.select("doc_id", "hash", F.size("words").cast("bigint").alias("dl")).join(counted, "doc_id", "left")
-        kept.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<term: string, tf: bigint>>"))).write.parquet(f"{self.path}/segments/{place}/docs")
+        counted = rows.select("doc_id", "hash", F.size("words").cast("bigint").alias("dl"), F.explode_outer("words").alias("term")).groupBy("doc_id", "hash", "dl", "term").agg(F.count("*").alias("tf"))
+        own = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+        kept = counted.groupBy("doc_id", "hash", "dl").agg(F.array_sort(F.collect_list(own)).alias("terms"))  # the terms of one document
+        kept.write.parquet(f"{self.path}/segments/{place}/docs")
         return self._write_segment(number, place, rows)
 
     def apply(self, upserts: DataFrame | None = None, removals: DataFrame | None = None, merge: bool = True) -> None:
