@@ -142,3 +142,36 @@ def expansions(query: Column, synonyms: dict[str, list[str]], most: int = 3) ->
     for word, others in synonyms.items():
         out = F.concat(out, F.when(query.contains(word), F.array(*[F.replace(query, F.lit(word), F.lit(o)) for o in others[:most]])).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(out)
+
+
+def dated(query: Column, today: Column) -> Column:
+    """A query in which today, yesterday and this month are written as dates."""
+    day = lambda d: F.date_format(d, "yyyy년 MM월 dd일")
+    out = F.replace(query, F.lit("오늘"), day(today))
+    out = F.replace(out, F.lit("어제"), day(F.date_sub(today, 1)))
+    return F.replace(F.replace(out, F.lit("이번달"), F.date_format(today, "yyyy년 MM월")), F.lit("이번 달"), F.date_format(today, "yyyy년 MM월"))
+
+
+#: fixed values: words of a quick search, and of questions that need an analysis
+QUICK_WORDS = ("찾아", "보여", "검색", "있어", "목록", "리스트", "몇 개", "개수", "언제", "누가", "어디", "어느")
+ANALYSIS_WORDS = (
+    "요약", "분석", "비교", "설명", "왜", "어떻게", "특징", "차이", "공통점", "패턴", "추천", "이유", "원인", "결과", "영향", "관계",
+    "내용", "알려", "말해", "정리", "상세", "자세", "구체적", "전체", "모든", "다", "전부",
+)
+#: fixed values: words of plain and of hard questions
+PLAIN_WORDS = ("금액", "가격", "비용", "얼마", "언제", "날짜", "일자", "누가", "기안자", "담당자", "어디", "장소", "위치", "무엇", "장비", "제품")
+HARD_WORDS = ("왜", "이유", "원인", "어떻게", "방법", "적절", "타당", "평가", "비교", "차이", "분석", "검토", "문제", "해결", "상세", "자세")
+
+
+def _any(query: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.lower(query).contains(w))
+
+
+def needs_analysis(query: Column) -> Column:
+    """Whether a question needs an analysis: never with a word of a quick search, always with one of analyses, else if it is longer than 25 characters."""
+    return F.when(_any(query, QUICK_WORDS), False).when(_any(query, ANALYSIS_WORDS), True).otherwise(F.length(query) > 25)
+
+
+def plain_or_hard(query: Column) -> Column:
+    """``simple`` for a question with plain words and no hard ones, else ``complex``."""
+    return F.when(_any(query, HARD_WORDS), "complex").when(_any(query, PLAIN_WORDS), "simple").otherwise("complex")

@@ -253,3 +253,29 @@ def index_metrics(docs: DataFrame, **indexes: DataFrame) -> DataFrame:
     for name, index in indexes.items():
         out = out.join(index.agg(F.count("*").alias(name)))  # one row each
     return out.withColumn("unindexed", F.greatest(F.lit(0), F.col("documents") - F.greatest(*[F.col(n) for n in indexes], F.lit(0))))
+
+
+def unique_files(docs: DataFrame, suffixes: tuple[str, ...] = ("pdf", "txt"), name: str = "filename") -> DataFrame:
+    """files: the number of distinct file names with one of the suffixes, in any case; all names if there are none."""
+    met = F.lower(name).rlike(r"\.(?:" + "|".join(suffixes) + r")$") if suffixes else F.col(name).isNotNull()
+    return docs.filter(met).agg(F.countDistinct(name).alias("files"))
+
+
+def listed(docs: DataFrame, offset: int = 0, limit: int = 1000, least: int = 100) -> DataFrame:
+    """id (doc_ and the number), filename, path, text_length of one page of the documents by doc_id, those with a preview of ``least`` characters or more."""
+    rows = docs.filter(F.length("text_preview") >= least).orderBy("doc_id").offset(offset).limit(limit)
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return rows.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), blank("filename"), blank("path"), F.length("text_preview").alias("text_length"))
+
+
+def summaries(docs: DataFrame, most: int = 100) -> DataFrame:
+    """The ``most`` latest documents (by date, then doc_id) with a file name; ``keywords`` (a JSON list) as an array, an empty one if it is none."""
+    words = F.coalesce(F.from_json("keywords", "array<string>"), F.array().cast("array<string>"))
+    return docs.filter("filename IS NOT NULL").withColumn("keywords", words).orderBy(F.desc_nulls_last("date"), "doc_id").limit(most)
+
+
+def with_previews(docs: DataFrame, changes: DataFrame, now: Column, most: int = 1000) -> DataFrame:
+    """``docs`` (path, text_preview, updated_at, ...) with the previews of changes (path, text_preview, turn): of several for a path the last, cut at ``most`` characters."""
+    last = changes.groupBy("path").agg(F.max_by("text_preview", "turn").alias("_preview")).withColumn("_met", F.lit(True))
+    new = docs.join(last, "path", "left")
+    return new.withColumns({"text_preview": F.when(F.col("_met"), F.left("_preview", F.lit(most))).otherwise(F.col("text_preview")), "updated_at": F.when(F.col("_met"), now).otherwise(F.col("updated_at"))}).select(*docs.columns)

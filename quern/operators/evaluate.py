@@ -47,6 +47,26 @@ def schema_score(fields: Column, required: list[str], optional: list[str]) -> Co
     return F.size(F.array_intersect(fields, wanted)) / F.lit(len(required) + len(optional))
 
 
+def schema_check(fields: Column, required: list[str], optional: list[str], tolerated: float = 0.0) -> Column:
+    """struct valid, score, missing (required fields that are not there), present (optional ones that are), missing_rate.
+
+    A response is valid with all required fields, or if no greater share of them than ``tolerated`` is missing.
+    """
+    need, may = (F.array(*map(F.lit, x)).cast("array<string>") for x in (required, optional))
+    missing, present = F.array_except(need, fields), F.array_intersect(may, fields)
+    rate = F.size(missing) / F.lit(len(required)) if required else F.lit(0.0)
+    all_ = len(required) + len(optional)
+    score = (F.lit(len(required)) - F.size(missing) + F.size(present)) / F.lit(all_) if all_ else F.lit(0.0)
+    return F.struct((rate <= F.lit(tolerated)).alias("valid"), score.alias("score"), missing.alias("missing"), present.alias("present"), rate.alias("missing_rate"))
+
+
+def low_confidence(log: DataFrame, day: Column, least: float = 0.7, first: int = 10) -> DataFrame:
+    """Of each day the ``first`` decisions (ts, query, mode, confidence) below ``least``, in order of time, numbered."""
+    low = log.filter(F.col("confidence") < least).withColumn("day", day)
+    order = Window.partitionBy("day").orderBy("ts", "query", "mode", "confidence")
+    return low.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= first).select("day", "turn", "query", "mode", "confidence")
+
+
 def routing_stats(log: DataFrame, day: Column) -> DataFrame:
     """day, mode, count, share of the day, mean confidence, low (below 0.7)."""
     found = log.groupBy(day.alias("day"), "mode").agg(F.count("*").alias("count"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.count_if(F.col("confidence") < 0.7).alias("low"))

@@ -231,3 +231,29 @@ def sliding_window(spark, sf):
 def session_window(spark, sf):
     w = F.session_window("ts", "30 minutes")
     return table(spark, sf, "events").groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
+
+
+@query("""WITH log AS (SELECT strftime(ts, '%Y-%m-%d') AS day, ts, CAST(event_id AS VARCHAR) AS query, event_type AS mode, value AS confidence FROM events WHERE value < 0.7)
+SELECT day, CAST(turn AS INTEGER) AS turn, query, mode, confidence FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts, query, mode, confidence) AS turn FROM log) WHERE turn <= 10""")
+def low_confidence_decisions(spark, sf):
+    log = table(spark, sf, "events").select("ts", F.col("event_id").cast("string").alias("query"), F.col("event_type").alias("mode"), F.col("value").alias("confidence"))
+    return E.low_confidence(log, F.date_format("ts", "yyyy-MM-dd"))
+
+
+@query("SELECT count(DISTINCT f) AS files FROM (SELECT source || '_' || (doc_id // 3) || CASE doc_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.txt' WHEN 2 THEN '.pdf' ELSE '.pdf.bak' END AS f FROM documents) WHERE lower(f) LIKE '%.pdf' OR lower(f) LIKE '%.txt'")
+def unique_files(spark, sf):
+    suffix = F.element_at(F.array(*map(F.lit, (".PDF", ".txt", ".pdf", ".pdf.bak"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    name = F.concat("source", F.lit("_"), F.expr("doc_id div 3").cast("string"), suffix)
+    return C.unique_files(table(spark, sf, "documents").select(name.alias("filename")))
+
+
+@query("""WITH r AS (SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 THEN 'answer' END, CASE WHEN doc_id % 3 > 0 THEN 'sources' END, CASE WHEN doc_id % 5 = 0 THEN 'mode' END, CASE WHEN n_chars > 500 THEN 'pages' END, 'other'], lambda x: x IS NOT NULL) AS fields FROM documents),
+c AS (SELECT doc_id, list_filter(['answer', 'sources', 'pages'], lambda x: NOT list_contains(fields, x)) AS missing, list_filter(['mode'], lambda x: list_contains(fields, x)) AS present FROM r)
+SELECT doc_id, len(missing) / 3 <= 0.34 AS valid, round((3 - len(missing) + len(present)) / 4, 6) AS score, array_to_string(missing, ',') AS missing, array_to_string(present, ',') AS present, round(len(missing) / 3, 6) AS missing_rate FROM c""")
+def schema_checks(spark, sf):
+    when = lambda c, n: F.when(c, F.lit(n))
+    d = F.col("doc_id")
+    fields = F.array_compact(F.array(when(d % 2 == 0, "answer"), when(d % 3 > 0, "sources"), when(d % 5 == 0, "mode"), when(F.col("n_chars") > 500, "pages"), F.lit("other")))
+    rows = table(spark, sf, "documents").select("doc_id", E.schema_check(fields, ["answer", "sources", "pages"], ["mode"], 0.34).alias("s"))
+    text = lambda n: F.array_join(f"s.{n}", ",").alias(n)
+    return rows.select("doc_id", "s.valid", F.round("s.score", 6).alias("score"), text("missing"), text("present"), F.round("s.missing_rate", 6).alias("missing_rate"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import queries as Q
 from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import context as X
@@ -108,3 +109,57 @@ def keyword_coverage(spark, sf):
     texts = _bm25(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").groupBy("query_id").agg(F.collect_list("text").alias("texts"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return texts.join(asked, "query_id").select("query_id", X.keyword_coverage(F.col("query"), F.col("texts"), DOMAIN).alias("coverage"))
+
+
+# --- questions: those of the benchmark with words that tell what they ask for ---
+
+_ENDS = ["", " 오늘 어제", " 이번달 요약", " 이번 달 목록", " 왜?", " 금액", " 어떻게 어디", "다"]
+_WISHES = "wishes AS (SELECT item_id AS query_id, left(coalesce(text, ''), item_id % 40) || [" + ", ".join(f"'{x}'" for x in _ENDS) + "][item_id % 8 + 1] AS query FROM benchmark)"
+
+
+def _wishes(spark, sf):
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("item_id") % 8 + 1).cast("int"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.left(F.coalesce("text", F.lit("")), (F.col("item_id") % 40).cast("int")), end).alias("query"))
+
+
+@query(f"WITH {_WISHES} SELECT query_id, replace(replace(replace(replace(query, '오늘', '2024년 03월 01일'), '어제', '2024년 02월 29일'), '이번달', '2024년 03월'), '이번 달', '2024년 03월') AS query FROM wishes")
+def dated_queries(spark, sf):
+    return _wishes(spark, sf).withColumn("query", Q.dated(F.col("query"), F.to_date(F.lit("2024-03-01"))))
+
+
+def _met(words) -> str:
+    return "len(list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda w: contains(lower(query), w))) > 0"
+
+
+@query(f"WITH {_WISHES} SELECT query_id, CASE WHEN {_met(Q.QUICK_WORDS)} THEN false WHEN {_met(Q.ANALYSIS_WORDS)} THEN true ELSE length(query) > 25 END AS analysis, CASE WHEN {_met(Q.HARD_WORDS)} THEN 'complex' WHEN {_met(Q.PLAIN_WORDS)} THEN 'simple' ELSE 'complex' END AS kind FROM wishes")
+def analysis_needs(spark, sf):
+    return _wishes(spark, sf).select("query_id", Q.needs_analysis(F.col("query")).alias("analysis"), Q.plain_or_hard(F.col("query")).alias("kind"))
+
+
+# --- pages of the document table, the latest documents, previews ---
+
+_SHELF = "shelf AS (SELECT doc_id, CASE WHEN doc_id % 13 > 0 THEN source || '_' || doc_id || '.pdf' END AS filename, '/x/' || doc_id AS path, left(text, CAST(n_chars % 400 AS BIGINT)) AS text_preview, '2024-0' || (1 + doc_id % 9) AS date, CASE doc_id % 3 WHEN 0 THEN '[\"' || lang || '\", \"x\"]' WHEN 1 THEN 'no list' END AS keywords FROM documents)"
+
+
+def _shelf(spark, sf):
+    d = F.col("doc_id")
+    words = F.when(d % 3 == 0, F.concat(F.lit('["'), "lang", F.lit('", "x"]'))).when(d % 3 == 1, F.lit("no list"))
+    return table(spark, sf, "documents").select("doc_id", F.when(d % 13 > 0, F.concat("source", F.lit("_"), d.cast("string"), F.lit(".pdf"))).alias("filename"), F.concat(F.lit("/x/"), d.cast("string")).alias("path"), F.left("text", (F.col("n_chars") % 400).cast("int")).alias("text_preview"), F.concat(F.lit("2024-0"), (1 + d % 9).cast("string")).alias("date"), words.alias("keywords"))
+
+
+@query(f"WITH {_SHELF} SELECT 'doc_' || doc_id AS id, coalesce(filename, '') AS filename, path, CAST(length(text_preview) AS INTEGER) AS text_length FROM shelf WHERE length(text_preview) >= 100 ORDER BY doc_id LIMIT 50 OFFSET 20")
+def list_documents(spark, sf):
+    return C.listed(_shelf(spark, sf), 20, 50)
+
+
+@query(f"WITH {_SHELF} SELECT doc_id, filename, date, array_to_string(CASE WHEN doc_id % 3 = 0 THEN json_extract_string(keywords, '$[*]') ELSE [] END, '/') AS keywords FROM shelf WHERE filename IS NOT NULL ORDER BY date DESC, doc_id LIMIT 100")
+def document_summaries(spark, sf):
+    return C.summaries(_shelf(spark, sf)).select("doc_id", "filename", "date", F.array_join("keywords", "/").alias("keywords"))
+
+
+@query(f"""WITH {_SHELF}, changes AS (SELECT '/x/' || (doc_id - doc_id % 3) AS path, text AS text_preview, doc_id AS turn FROM documents WHERE doc_id % 2 = 0), last AS (SELECT path, arg_max(left(text_preview, 1000), turn) AS preview FROM changes GROUP BY path)
+SELECT doc_id, md5(coalesce(CASE WHEN l.path IS NOT NULL THEN preview ELSE text_preview END, '-')) AS text_preview, CASE WHEN l.path IS NOT NULL THEN 'now' ELSE 'before' END AS updated_at FROM shelf LEFT JOIN last l USING (path)""")
+def updated_previews(spark, sf):
+    changes = table(spark, sf, "documents").filter("doc_id % 2 = 0").select(F.concat(F.lit("/x/"), (F.col("doc_id") - F.col("doc_id") % 3).cast("string")).alias("path"), F.col("text").alias("text_preview"), F.col("doc_id").alias("turn"))
+    out = C.with_previews(_shelf(spark, sf).withColumn("updated_at", F.lit("before")), changes, F.lit("now"))
+    return out.select("doc_id", F.md5(F.coalesce("text_preview", F.lit("-"))).alias("text_preview"), "updated_at")

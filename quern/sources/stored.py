@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,12 +34,18 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def state_of(spark: SparkSession, path: str) -> tuple[int, int, int]:
-    """Files, bytes and last change of all that lies under a path; reads no contents."""
+def state_of(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of all files under a path; reads no contents."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
-    n, size, changed = 0, 0, 0
+    found = []
     while files.hasNext():
         f = files.next()
-        n, size, changed = n + 1, size + f.getLen(), max(changed, f.getModificationTime())
-    return n, size, changed
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return md5("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Takes a stored table away."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

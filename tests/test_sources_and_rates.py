@@ -66,3 +66,16 @@ def test_words_of_queries_and_money(spark):
     assert row["models"] == ["LVM-180A"] and "1,200원" in row["amounts"] and row["names"] == ["김하늘"]
     assert [r[0] for r in spark.createDataFrame([(1234567,), (None,)], "a bigint").select(M.format_won(F.col("a"))).collect()] == ["1,234,567원", None]
     assert values(spark, D.largest_money, "합계: 3,000,000원 그리고 1,500원", "없음")[0] == 3_000_000
+
+
+def test_a_changed_table_gets_a_new_index(spark, tmp_path):
+    from quern.operators import retrieval as R
+
+    path = str(tmp_path / "documents.parquet")
+    found = []
+    for text in ("one two", "six two"):  # of the same size
+        spark.createDataFrame([(1, text)], "doc_id bigint, text string").coalesce(1).write.mode("overwrite").parquet(path)
+        index = R.stored_index(spark.read.parquet(path), path)
+        assert R.stored_index(spark.read.parquet(path), path).terms.count() == 2
+        found.append(sorted(r["term"] for r in index.terms.collect()))
+    assert found == [["one", "two"], ["six", "two"]]
