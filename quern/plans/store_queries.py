@@ -115,7 +115,7 @@ def error_stats(spark, sf):
 def index_metrics(spark, sf):
     from .retrieval_queries import _index
 
-    return C.index_metrics(table(spark, sf, "documents"), bm25=_index(spark, sf).postings.select("doc_id").distinct(), vectors=table(spark, sf, "embeddings"))
+    return C.index_metrics(table(spark, sf, "documents"), bm25=_index(spark, sf).texts.filter("dl > 0").select("doc_id").distinct(), vectors=table(spark, sf, "embeddings"))
 
 
 @query("SELECT lang, round(avg(n_chars), 6) AS mean, CAST(sum(n_chars) AS BIGINT) AS total, count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents WHERE lang IS NOT NULL AND lang NOT IN ('fr') GROUP BY lang")
