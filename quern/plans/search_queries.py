@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import searches as X
 from ..operators.retrieval import bm25
+from ..sources.stored import stored
 from ..sources.tables import table
 from .index_queries import _FTS, _RANKED, _TOKENS, _index as _fts_index, _words
 from .registry import Fixture, query
@@ -156,7 +157,7 @@ first AS (SELECT doc_id, left(p[1], 1200) AS lite, p[1:5] AS p FROM cut),
 whole AS (SELECT doc_id, lite, array_to_string(list_transform(list_filter(list_zip(p, range(len(p))), lambda x: x[2] = 0 OR list_sum(list_transform(p[1:x[2]], lambda y: length(y) + 2)) <= 15000), lambda x: x[1] || chr(10) || chr(10)), '') AS whole FROM first)
 SELECT query_id, doc_id, rank, md5(lite) AS lite, md5(whole) AS whole, CAST(length(whole) AS BIGINT) AS chars FROM bm25 JOIN whole USING (doc_id)""")
 def enriched_hits(spark, sf):
-    hits, docs = bm25(_plain_index(spark, sf), _queries(spark, sf)), _paged(spark, sf)
+    hits, docs = stored(bm25(_plain_index(spark, sf), _queries(spark, sf))), _paged(spark, sf)
     lite = X.with_contents(hits.select("query_id", "doc_id", "rank"), docs).withColumnRenamed("content", "lite")
     both = X.with_contents(lite, docs, "full")
     return both.select("query_id", "doc_id", "rank", F.md5("lite").alias("lite"), F.md5("content").alias("whole"), F.length("content").cast("bigint").alias("chars"))
