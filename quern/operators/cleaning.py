@@ -94,12 +94,14 @@ def without_print_remains(text: Column, hosts: tuple[str, ...] = ()) -> Column:
     Four line ends or more go altogether, blanks at the ends of lines too, three line ends become two, and the ends are trimmed. If fewer than 50
     characters of more than 100 are left, the text stays as it was.
     """
+    # A pattern is tried where a line or a run of blanks begins, not at each of its characters.
+    line = lambda p: f"(?<![^\\n])[^\\n]*{p}[^\\n]*\\n?"
     out = text
     for p in hosts:
-        out = F.regexp_replace(out, f".*{p}.*\\n?", "")
+        out = F.regexp_replace(out, line(p), "")
     out = F.regexp_replace(out, PAGE_LINE, "")
     for p in PRINT_REMAINS:
-        out = F.regexp_replace(out, f".*{p}.*\\n?", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"\n{4,}", ""), r"(?m)[ \t]+$", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
-    return F.when((F.length(out) < 50) & (F.length(text) > 100), text).otherwise(out)
+        out = F.regexp_replace(out, line(p), "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\n{4,}", ""), r"(?m)(?<![ \t])[ \t]+$", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|(?<!\s)\s+\z", "")
+    return let(F.struct(out.alias("out"), text.alias("text")), lambda s: F.when((F.length(s["out"]) < 50) & (F.length(s["text"]) > 100), s["text"]).otherwise(s["out"]))
