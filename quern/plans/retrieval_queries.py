@@ -98,8 +98,7 @@ _RANK9 = " SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY
 
 
 def _two_lists(spark, sf):
-    index = _index(spark, sf)
-    return R.bm25(index, _queries(spark, sf), k1=1.6, idf="lucene"), R.bm25(index, _queries(spark, sf))
+    return R.bm25_lists(_index(spark, sf), _queries(spark, sf), [{"k1": 1.6, "idf": "lucene"}, {}])
 
 
 @query(_BOTH + _RANK9.format("SELECT query_id, doc_id, coalesce(0.1 / (20 + v.rank), 0) + coalesce(0.9 / (20 + b.rank), 0) AS score FROM lucene v FULL JOIN bm25 b USING (query_id, doc_id)"))
