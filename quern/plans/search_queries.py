@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import searches as X
-from ..operators.retrieval import bm25
+from ..operators.retrieval import bm25, bm25_lists
 from ..sources.stored import stored
 from ..sources.tables import table
 from .index_queries import _FTS, _RANKED, _TOKENS, _index as _fts_index, _words
@@ -73,8 +73,7 @@ _LISTS = "WITH " + _bm25_sql("robertson").replace("WHERE rank <= 10", "WHERE ran
 
 
 def _lists(spark, sf):
-    index, asked = _plain_index(spark, sf), _queries(spark, sf)
-    return bm25(index, asked, 50), bm25(index, asked, 50, k1=1.6, idf="lucene")
+    return bm25_lists(_plain_index(spark, sf), _queries(spark, sf), [{}, {"k1": 1.6, "idf": "lucene"}], 50)
 
 
 @query(f"""{_LISTS},
