@@ -94,12 +94,15 @@ def priority_union(key: str, *sources: DataFrame) -> DataFrame:
 def result_list(hits: DataFrame) -> DataFrame:
     """Copies of a file once, with the best score; a snippet for each; the newest first.
 
-    ``hits``: filename, date, drafter, category, content, score.
+    ``hits``: filename, date, drafter, category, content, score. Of copies of one name and score the newest stays, then
+    the least by snippet and the other columns (texts by their hash, so that rows need not carry them): the list does
+    not hang on how the input is split.
     """
     text = F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " "))
     about = F.concat_ws(" | ", F.nullif(F.trim(F.col("category")), F.lit("")), F.nullif(F.trim(F.col("drafter")), F.lit("")), F.nullif(F.trim(F.col("date")), F.lit("")))
     named = hits.withColumn("key", T.filename_key(F.col("filename"))).withColumn("snippet", F.when(text == "", about).otherwise(F.left(text, F.lit(200))))
-    return first_of_key(named, "key", F.desc("score"), "filename").drop("key").orderBy(F.desc_nulls_last("date"), "filename")
+    order = F.desc("score"), "filename", F.desc_nulls_last("date"), "snippet", "drafter", "category", F.xxhash64("content")
+    return first_of_key(named, "key", *order).drop("key").orderBy(F.desc_nulls_last("date"), "filename")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", hash_: str = "hash") -> DataFrame:
